@@ -37,7 +37,9 @@ class DigestIndex:
         if self.rows().where(F.col("batch") == batch).limit(1).count():
             return
         groups = keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        fresh = groups.join(self.rows().hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch))
+        known = self.rows().select(F.col("digest").alias("known")).hint("merge")
+        # The second condition keeps the join above the aggregate: below it, a hot text's rows would all be shuffled.
+        fresh = groups.join(known, (F.col("digest") == F.col("known")) & (F.col("group_size") > 0), "left_anti").withColumn("batch", F.lit(batch))
         fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
 
     def decide(self, keyed: DataFrame, batch: str) -> DataFrame:
