@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import exact_dedup, packing, token_output
+from tributary.llm import byte_bpe, exact_dedup, packing, token_output
 from tributary.llm.common import table
 
 
@@ -24,12 +24,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op2_exact_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.op9_byte_bpe(spark, table(spark, sf_dir, "documents"), _public("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op10_packing(spark, table(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op9_byte_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
