@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import byte_bpe, exact_dedup, packing, token_output
+from tributary.llm import byte_bpe, exact_dedup, language_id, packing, pii, token_output, vector_search
 from tributary.llm.common import table
 
 
@@ -24,6 +24,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op2_exact_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op3_pii(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.op5_vector_search(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op7_language_id(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,8 +47,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op9_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_pii, op5_vector_search, op7_language_id, op9_byte_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_vector_search": vector_search.ORACLE_SQL}
