@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import byte_bpe, exact_dedup, language_id, packing, pii, token_output, vector_search
+from tributary.llm import byte_bpe, exact_dedup, jaccard_join, language_id, packing, pii, token_output, vector_search
 from tributary.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op3_pii(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op4_jaccard_join(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.op5_vector_search(spark, table(spark, sf_dir, "embeddings"))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_pii, op5_vector_search, op7_language_id, op9_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_pii, op4_jaccard_join, op5_vector_search, op7_language_id, op9_byte_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
