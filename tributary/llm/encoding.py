@@ -16,19 +16,33 @@ import numpy as np
 MAX_CACHED = 300_000
 
 
-#: White space at either end or in a row, or other than spaces and line feeds.
-ODD_SPACE = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
+#: White space other than spaces and line feeds.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: A comma or stop before white space that does not follow a letter or number.
+ODD_STOP = re.compile(r"[,.](?<![^\W_][,.])(?=[ \n])")
 PLAIN_CHUNK = re.compile(r"[ \n]?[^ \n]+")
 
 
+def odd_space(text: str) -> bool:
+    """White space at either end or in a row, or other than spaces and line feeds."""
+    return text[:1].isspace() or text[-1:].isspace() or "  " in text or "\n\n" in text or "\n " in text or " \n" in text or any(c in text for c in OTHER_SPACE)
+
+
+def odd_stop(text: str) -> bool:
+    """A comma or stop that may not be cut off, or the character that marks cuts."""
+    return "\x01" in text or ODD_STOP.search(text) is not None
+
+
 def cut_spaced(text: str) -> list[str]:
-    """Cuts before each single space or line feed between two other characters.
+    """Cuts before each single space or line feed between two other characters, and before a comma or stop after a word.
 
     In byte-level BPE patterns (` ?\\p{L}+` and the like) a pre-token must begin there. In texts with white
     space in a row, cuts are at single spaces alone, and pieces stay joined where spaces touch other white space.
     """
-    if not ODD_SPACE.search(text):
-        return PLAIN_CHUNK.findall(text)
+    if not odd_space(text):
+        if odd_stop(text):
+            return PLAIN_CHUNK.findall(text)
+        return text.replace(" ", "\x01 ").replace("\n", "\x01\n").replace(",\x01", "\x01,\x01").replace(".\x01", "\x01.\x01").split("\x01")
     parts = text.split(" ")
     out = [parts[0]]
     for p in parts[1:]:
@@ -40,8 +54,18 @@ def cut_spaced(text: str) -> list[str]:
 
 
 def cut_words(text: str) -> list[str]:
-    """Cuts at spaces and line feeds, for tokenizers that drop white space."""
-    return text.replace("\n", " ").split(" ")
+    """Cuts at spaces and line feeds and before a comma or stop after a word, for tokenizers that drop white space and case.
+
+    Case goes here already where only Latin-1 letters occur, whose lower case does not depend on the context.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").split(" ")
+    text = text.lower().replace("\n", " ")
+    if not odd_stop(text):
+        text = text.replace(", ", " , ").replace(". ", " . ")
+    return text.split(" ")
 
 
 @functools.lru_cache(maxsize=4)
