@@ -19,6 +19,7 @@ import base64
 import functools
 import hashlib
 import zlib
+from collections import defaultdict
 from itertools import groupby
 
 import numpy as np
@@ -32,7 +33,7 @@ from tributary.llm.common import map_arrow, shuffle_partitions, small_batches
 from tributary.llm.encoding import cut_spaced
 
 #: A block ends at so many chunks or distinct chunks.
-BLOCK_CHUNKS, BLOCK_DISTINCT = 1_500_000, 120_000
+BLOCK_CHUNKS, BLOCK_DISTINCT = 8_000_000, 400_000
 KEYED = "bin int, block long, kind int, seq long, doc_id long, payload binary"
 NAMES = ["bin", "block", "kind", "seq", "doc_id", "payload"]
 IDS, SPELLING, DOC = 0, 1, 2
@@ -62,31 +63,38 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], NAMES)
 
 
+def _numbering() -> defaultdict:
+    """A dict that numbers its keys in the order in which they are first looked up."""
+    known: defaultdict[str, int] = defaultdict()
+    known.default_factory = known.__len__
+    return known
+
+
 def _blocks(batches):
     """Blocks of documents: (part, number, distinct chunks, [(doc_id, chunk numbers)])."""
-    known: dict[str, int] = {}
+    known = _numbering()
     docs, total, number, part = [], 0, 0, 0
     for b in small_batches(batches, "text", 1 << 20):
         part = b.column(2)[0].as_py()
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             chunks = cut_spaced(text) if text else []
-            for c in chunks:
-                if c not in known:
-                    known[c] = len(known)
             docs.append((doc, np.fromiter(map(known.__getitem__, chunks), np.uint32, len(chunks))))
             total += len(chunks)
             if total >= BLOCK_CHUNKS or len(known) >= BLOCK_DISTINCT:
                 yield part, number, list(known), docs
-                known, docs, total, number = {}, [], 0, number + 1
+                known, docs, total, number = _numbering(), [], 0, number + 1
     if docs:
         yield part, number, list(known), docs
 
 
 def _binned(chunks: list[str], pattern: str, bins: int):
-    """Distinct pre-tokens in the order of bin and text with their bins, and each chunk's pre-tokens."""
+    """Distinct pre-tokens with their bins, in the order of bin and first place, and each chunk's pre-tokens."""
     find = regex.compile(pattern).findall
-    spelt = [find(c) for c in chunks]
-    words = sorted((zlib.crc32(w.encode()) % bins, w) for w in set().union(*spelt))
+    # A run of letters after a space or nothing is one pre-token, as in all patterns of this kind.
+    spelt = [(c,) if c[c[0] == " " :].isalpha() else find(c) for c in chunks]
+    distinct = list(dict.fromkeys(w for x in spelt for w in x))
+    bin_of = np.fromiter((zlib.crc32(w.encode()) for w in distinct), np.uint32, len(distinct)) % bins
+    words = [(int(bin_of[i]), distinct[i]) for i in np.argsort(bin_of, kind="stable").tolist()]
     return words, spelt
 
 
