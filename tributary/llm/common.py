@@ -63,7 +63,7 @@ def join_by_class(rows: DataFrame, classes: DataFrame, key: str, size: str, tota
     return tagged.join(cold, "_k", "left").select(*rows.columns, *(F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in values))
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], schema) -> DataFrame:
     """mapInArrow; `make` runs once in each task and returns the function over its batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -310,5 +310,15 @@ def similar_components(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without those that are similar to another and not the smallest doc_id of their component.
+
+    A document without words is its own component and stays; so does one whose doc_id is null.
+    """
+    spare = materialise(similar_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "spare")
+    few = spare.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(spare) if few else spare, "doc_id", "left_anti")
+
+
 def op4_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return similar_components(docs)

@@ -163,6 +163,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text", held_out().alias("held_out")), lambda: _predict(model), "doc_id long, held_out boolean, lang_pred string, score double, spans string")
 
 
+def _known(model: Model, least: float):
+    def over(batches):
+        for b in batches:
+            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            keep = [lang != "und" and score >= least for part in range(0, len(texts), 200) for lang, score, _ in label(model, texts[part : part + 200])]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return over
+
+
+def filter_rows(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language with at least this score."""
+    return map_arrow(docs, lambda: _known(model, least), docs.schema)
+
+
 def op7_language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, held_out, lang_pred, score, spans. Held-out rows are not learnt from."""
     return predict(docs, learn(docs.where(~held_out())))

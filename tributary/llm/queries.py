@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import byte_bpe, exact_dedup, jaccard_join, language_id, packing, pii, token_output, vector_search
+from tributary.llm import byte_bpe, chat, exact_dedup, jaccard_join, language_id, packing, pii, quality, token_output, vector_search
 from tributary.llm.common import table
 
 
@@ -36,6 +36,14 @@ def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.op5_vector_search(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op6_quality(spark, sf_dir)
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op8_chat(spark, table(spark, sf_dir, "conversations"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op7_language_id(spark, table(spark, sf_dir, "documents"))
 
@@ -51,8 +59,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_pii, op4_jaccard_join, op5_vector_search, op7_language_id, op9_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_pii, op4_jaccard_join, op5_vector_search, op6_quality, op7_language_id, op8_chat, op9_byte_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_vector_search": vector_search.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_vector_search": vector_search.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}
