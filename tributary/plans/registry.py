@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("label_queries", "profile_queries", "feature_queries")
+MODULES = ("label_queries", "profile_queries", "feature_queries", "decision_queries", "model_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
