@@ -10,6 +10,9 @@ Costs decide which segments a set probes with: first by their size, as subsets o
 it is known how many sets share each subset, those that many share are left out as long as H + 1 remain. A pair
 must share as many of the probed subsets as exceed H.
 
+Each set also has an odd sketch, a bit for the parity of its hashes in each of SKETCH_BITS cells: two sketches differ in
+at most as many bits as the sets differ in shingles, so pairs whose sketches differ by more than H never leave a join.
+
 Equal sets are one vertex, under the fingerprint of the set. In a first round each set is verified against the sets
 that share most subsets in its groups (stars, so a large group of near copies costs one verification or a few for each
 member); in a second one, pairs that share a subset but are in no common component yet. Verification counts the
@@ -43,6 +46,8 @@ STARS = 3
 #: Up to so many ids of candidates (16 bytes each) are broadcast to fetch their texts; beyond it their join is shuffled.
 BROADCAST_IDS = 1_000_000
 OWN, PROBE, LOW = 1, 2, 4
+SKETCH_BITS = 512
+SKETCH = [f"o{i}" for i in range(SKETCH_BITS // 64)]
 _BANDS = [1]
 while _BANDS[-1] < 1 << 31:
     _BANDS.append(max(_BANDS[-1] + 1, _BANDS[-1] * 5 // 4))
@@ -117,10 +122,17 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(s))], np.uint64))[0].astype(np.int64))
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes by cell, as signed 64-bit numbers."""
+    cell = ((s * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - (SKETCH_BITS - 1).bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=SKETCH_BITS).astype(np.uint8) & 1).view("<i8")
+
+
 def _classify(batches):
     for b in small_batches(batches, "text", 1 << 20):
         sets = shingle_sets([t or "" for t in b.column(1).to_pylist()])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], ["doc_id", "n", "fp"])
+        odd = np.array([odd_sketch(s) for s in sets]).reshape(-1, len(SKETCH))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(odd.T))], ["doc_id", "n", "fp", *SKETCH])
 
 
 def _emit(bins: int, most: int = 6_000_000):
@@ -277,15 +289,17 @@ def link(docs: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFrame:
     open_ = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("g").alias("g")).where("lo <> hi").select("sig", "g", F.lit(True).alias("open"))
     open_ = materialise(open_, "open")
     rest = materialise(join_by_class(placed.drop("g").withColumnRenamed("sig", "_s").withColumn("sig", F.col("_s")), open_, "sig", "g", total, F.col("fp")).where("open").drop("_s", "open"), "rest")
+    rest = rest.join(classes.select("fp", *SKETCH), "fp")
     by_cost = Window.partitionBy("fp", F.col("flag").bitwiseAND(LOW)).orderBy(F.desc("g"), "sig")
     spare = F.col("f") - F.col("must")
     must = F.floor((F.col("n") + F.col("n")) / 9) + 1
     probing = rest.where(F.col("flag").bitwiseAND(PROBE) != 0).withColumn("must", must).withColumn("r", F.row_number().over(by_cost))
     left_out = (F.col("g") > COMMON) & (F.col("r") <= spare)
     dropped = F.sum(left_out.cast("int")).over(Window.partitionBy("fp", F.col("flag").bitwiseAND(LOW)))
-    probing = probing.withColumn("dropped", dropped).where(~left_out).select("sig", F.col("fp").alias("a"), F.col("n").alias("n_a"), (F.col("f") - F.col("dropped")).alias("f"), F.col("label").alias("label_a"))
-    indexed = rest.where(F.col("flag").bitwiseAND(OWN) != 0).select(F.col("sig").alias("sig_b"), F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    fits = (F.col("label_a") != F.col("label_b")) & ((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") > F.col("b")))) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
+    probing = probing.withColumn("dropped", dropped).where(~left_out).select("sig", F.col("fp").alias("a"), F.col("n").alias("n_a"), (F.col("f") - F.col("dropped")).alias("f"), F.col("label").alias("label_a"), *(F.col(o).alias(f"a_{o}") for o in SKETCH))
+    indexed = rest.where(F.col("flag").bitwiseAND(OWN) != 0).select(F.col("sig").alias("sig_b"), F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), *(F.col(o).alias(f"b_{o}") for o in SKETCH))
+    apart = sum((F.bit_count(F.col(f"a_{o}").bitwiseXOR(F.col(f"b_{o}"))) for o in SKETCH[1:]), F.bit_count(F.col("a_o0").bitwiseXOR(F.col("b_o0"))))
+    fits = (F.col("label_a") != F.col("label_b")) & ((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") > F.col("b")))) & (5 * F.col("n_b") >= 4 * F.col("n_a")) & (apart <= _allowed(F.col("n_a"), F.col("n_b")))
     met = probing.join(indexed.hint("merge"), (F.col("sig") == F.col("sig_b")) & fits)
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("f").alias("f"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     pairs = materialise(pairs.where(F.col("common") >= F.col("f") - _allowed(F.col("n_a"), F.col("n_b"))).select("a", "b"), "pairs")
@@ -296,9 +310,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     spark = docs.sparkSession
     texts, bins = docs.select("doc_id", "text"), shuffle_partitions(spark)
-    sets = materialise(map_arrow(texts, lambda: _classify, "doc_id long, n long, fp long"), "sets")
+    sets = materialise(map_arrow(texts, lambda: _classify, "doc_id long, n long, fp long, " + ", ".join(f"{o} long" for o in SKETCH)), "sets")
     total = sets.count()
-    classes = materialise(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size")), "classes")
+    classes = materialise(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), *(F.max(o).alias(o) for o in SKETCH)), "classes")
     packs = map_arrow(docs.select("text"), lambda: _emit(bins), "bin int, payload binary").repartition(bins, "bin").sortWithinPartitions("bin")
     shared = materialise(map_arrow(packs, lambda: _shared, "sig long, fp long, n long, f int, flag int, g long"), "shared")
     labels = components(link(texts, shared, classes), "components")
@@ -306,7 +320,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     roots = labels.join(smallest, "label").select("fp", "component_id")
     places = classes.join(roots, "fp", "left").select("fp", "size", F.coalesce("component_id", "doc_id").alias("component_id"))
     places = materialise(places, "places")
-    joined = join_by_class(sets, places, "fp", "size", total, F.coalesce("doc_id", F.lit(0)))
+    joined = join_by_class(sets.select("doc_id", "n", "fp"), places, "fp", "size", total, F.coalesce("doc_id", F.lit(0)))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
