@@ -6,7 +6,7 @@ products and bin counts, and summed by a small aggregate; rows are never explode
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -39,7 +39,7 @@ MISSED = (0, 1, 1024, 65536, 1048576)
 @dataclass(frozen=True)
 class Feature:
     name: str
-    expr: Column
+    expr: Callable[[], Column]  # made when a session exists
     edges: tuple[float, ...]
     requires: tuple[str, ...]
     log: bool = True
@@ -54,20 +54,27 @@ def _zero(name: str) -> Column:
     return F.coalesce(col(name).cast("double"), F.lit(0.0))
 
 
+def _sum(x: str, y: str) -> Callable[[], Column]:
+    return lambda: _zero(x) + _zero(y)
+
+
+def _per(x: str, y: str) -> Callable[[], Column]:
+    return lambda: ratio(_zero(x), _zero(y))
+
+
 def default_features() -> list[Feature]:
     """The ruler's numeric features."""
     plain = [("duration", SECONDS), ("orig_bytes", BYTES), ("resp_bytes", BYTES), ("orig_ip_bytes", BYTES), ("resp_ip_bytes", BYTES), ("missed_bytes", MISSED), ("orig_pkts", PACKETS), ("resp_pkts", PACKETS)]
-    out = [Feature(n, _zero(n), e, (n,)) for n, e in plain]
-    ob, rb, op, rp = (_zero(n) for n in ("orig_ip_bytes", "resp_ip_bytes", "orig_pkts", "resp_pkts"))
-    return out + [
-        Feature("total_bytes", ob + rb, TOTALS, ("orig_ip_bytes", "resp_ip_bytes")),
-        Feature("total_pkts", op + rp, PACKETS, ("orig_pkts", "resp_pkts")),
-        Feature("orig_bytes_per_pkt", ratio(ob, op), PER_PACKET, ("orig_ip_bytes", "orig_pkts")),
-        Feature("resp_bytes_per_pkt", ratio(rb, rp), PER_PACKET, ("resp_ip_bytes", "resp_pkts")),
-        Feature("pkt_rate", ratio(op + rp, col("duration")), RATES, ("orig_pkts", "resp_pkts", "duration")),
-        Feature("byte_ratio", F.log10((rb + 1.0) / (ob + 1.0)), LOG_RATIO, ("orig_ip_bytes", "resp_ip_bytes"), False),
-        Feature("resp_port", F.coalesce(col("resp_p").cast("double"), F.lit(-1.0)), PORTS, ("resp_p",), False),
-        Feature("history_len", F.coalesce(F.length("history"), F.lit(0)).cast("double"), HISTORY, ("history",), False),
+    ob, rb, op, rp = "orig_ip_bytes", "resp_ip_bytes", "orig_pkts", "resp_pkts"
+    return [Feature(n, lambda n=n: _zero(n), e, (n,)) for n, e in plain] + [
+        Feature("total_bytes", _sum(ob, rb), TOTALS, (ob, rb)),
+        Feature("total_pkts", _sum(op, rp), PACKETS, (op, rp)),
+        Feature("orig_bytes_per_pkt", _per(ob, op), PER_PACKET, (ob, op)),
+        Feature("resp_bytes_per_pkt", _per(rb, rp), PER_PACKET, (rb, rp)),
+        Feature("pkt_rate", lambda: ratio(_zero(op) + _zero(rp), col("duration")), RATES, (op, rp, "duration")),
+        Feature("byte_ratio", lambda: F.log10((_zero(rb) + 1.0) / (_zero(ob) + 1.0)), LOG_RATIO, (ob, rb), False),
+        Feature("resp_port", lambda: F.coalesce(col("resp_p").cast("double"), F.lit(-1.0)), PORTS, ("resp_p",), False),
+        Feature("history_len", lambda: F.coalesce(F.length("history"), F.lit(0)).cast("double"), HISTORY, ("history",), False),
     ]
 
 
@@ -90,7 +97,7 @@ class Ruler:
 
 def project(df: DataFrame, ruler: Ruler, extra: Sequence[str] = ()) -> DataFrame:
     """Each feature computed once, under its name, beside the group and the columns asked for."""
-    return df.select(col(ruler.group), *(col(c) for c in extra), *(f.expr.alias(f.name) for f in ruler.features))
+    return df.select(col(ruler.group), *(col(c) for c in extra), *(f.expr().alias(f.name) for f in ruler.features))
 
 
 def moments(df: DataFrame, ruler: Ruler) -> DataFrame:
