@@ -59,8 +59,8 @@ def write_csv(df: DataFrame, path: str) -> int:
     return read_text_csv(df.sparkSession, path).count()
 
 
-def list_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
-    """(path, bytes) of the files that a pattern matches, in any file system Spark knows."""
+def list_files(spark: SparkSession, pattern: str, hidden: bool = False) -> list[tuple[str, int]]:
+    """(path, bytes) of the files that a pattern matches, in any file system Spark knows; hidden ones begin with _ or a dot."""
     jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(pattern)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(path) or []
@@ -73,7 +73,50 @@ def list_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
                 out.append((f.getPath().toString(), f.getLen()))
         else:
             out.append((status.getPath().toString(), status.getLen()))
-    return sorted(x for x in out if not jvm.org.apache.hadoop.fs.Path(x[0]).getName().startswith(("_", ".")))
+    return sorted(x for x in out if hidden or not jvm.org.apache.hadoop.fs.Path(x[0]).getName().startswith(("_", ".")))
+
+
+def catalog(spark: SparkSession, root: str, suffix: str = ".parquet") -> dict[str, dict[str, list[str]]]:
+    """{dataset: {log type: [paths]}} of a mirror: the first folder below root, and the file's name without suffix."""
+    out: dict[str, dict[str, list[str]]] = {}
+    whole = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = whole.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(whole).toString().rstrip("/")
+    for path, _ in list_files(spark, root):
+        parts = path.removeprefix(whole).lstrip("/").split("/")
+        at = next((i for i, p in enumerate(parts) if p.endswith(suffix)), None)  # Spark writes a folder for a file
+        if at is not None:
+            dataset, kind = (parts[0] if at else "(root)"), parts[at].removesuffix(suffix)
+            paths = out.setdefault(dataset, {}).setdefault(kind, [])
+            whole_path = "/".join([whole, *parts[: at + 1]])
+            if whole_path not in paths:
+                paths.append(whole_path)
+    return out
+
+
+def latest_extraction(spark: SparkSession, root: str, dataset: str, sidecar: str = "_extractor_meta.json", allow_incomplete: bool = False) -> str:
+    """The feature space of the most recent complete extraction of a data set below root."""
+    found = []
+    for path, _ in list_files(spark, root, hidden=True):
+        if path.endswith(f"/{dataset}/{sidecar}"):
+            try:
+                meta = json.loads(read_text(spark, path))
+            except ValueError:
+                continue
+            found.append((bool(meta.get("complete", True)), meta.get("extracted_at_utc", ""), meta.get("feature_space")))
+    found = [f for f in found if f[2]]
+    usable = [f for f in found if f[0] or allow_incomplete]
+    if not usable:
+        raise ValueError(f"{'only incomplete' if found else 'no'} extractions of {dataset!r} below {root}")
+    return max(usable)[2]
+
+
+def summarize(spark: SparkSession, paths: Sequence[str], sample: int = 200) -> dict:
+    """files, rows, bytes, columns, signatures (of at most `sample` files) and the columns that some of them lack."""
+    chosen = list(paths)[:sample]
+    names = [set(spark.read.parquet(p).columns) for p in chosen]
+    every = sorted(set().union(*names))
+    sizes = [n for p in paths for f, n in list_files(spark, p) if f.endswith(".parquet")]
+    return {"files": len(paths), "rows": sum(spark.read.parquet(p).count() for p in paths), "bytes": sum(sizes), "columns": every, "signatures": len({tuple(sorted(n)) for n in names}), "partial": [c for c in every if any(c not in n for n in names)]}
 
 
 def convert_tree(spark: SparkSession, source: str, target: str, suffix: str = ".log", kinds: Sequence[str] | None = None, formats: Sequence[str] = ("parquet",)) -> list[dict]:
@@ -130,11 +173,25 @@ def schema_diff(left: T.StructType, right: T.StructType) -> dict:
     }
 
 
-def write_json(spark: SparkSession, path: str, document: dict) -> None:
-    """A small JSON document, in any file system Spark knows."""
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small document, from any file system Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small document, in any file system Spark knows."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
     try:
-        out.write(bytearray(json.dumps(document, indent=1, sort_keys=True, default=str).encode()))
+        out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+def write_json(spark: SparkSession, path: str, document: dict) -> None:
+    write_text(spark, path, json.dumps(document, sort_keys=True, default=str))
