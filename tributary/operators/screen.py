@@ -40,13 +40,17 @@ def preflight(df: DataFrame, needed: Sequence[str]) -> None:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
 
 
-def shape(df: DataFrame, columns: Sequence[str], log: bool = False) -> DataFrame:
-    """feature, n, lo, hi, mean, std, skewness, kurtosis, q01 .. q99: one pass over all columns."""
+def shape(df: DataFrame, columns: Sequence[str], log: bool = False, exact: bool = True) -> DataFrame:
+    """feature, n, lo, hi, mean, std, skewness, kurtosis, q01 .. q99: one pass over all columns.
+
+    Exact quantiles keep a count for each distinct value; where these are too many, exact=False bounds the memory.
+    """
     long = to_long(df, columns)
     x = log_magnitude(F.col("value")) if log else F.col("value")
+    q = F.percentile("x", F.array(*(F.lit(q) for q in QUANTILES))) if exact else F.percentile_approx("x", list(QUANTILES), 10_000)
     out = long.withColumn("x", x).groupBy("feature").agg(
         F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
-        sample_skewness(F.col("x")).alias("skewness"), sample_kurtosis(F.col("x")).alias("kurtosis"), F.percentile("x", F.array(*(F.lit(q) for q in QUANTILES))).alias("q"),
+        sample_skewness(F.col("x")).alias("skewness"), sample_kurtosis(F.col("x")).alias("kurtosis"), q.alias("q"),
     )
     return out.select(*out.columns[:-1], *(F.get("q", F.lit(i)).alias(f"q{round(100 * q):02d}") for i, q in enumerate(QUANTILES)))
 

@@ -9,10 +9,11 @@ from tributary.operators import audit as a
 from tributary.operators import confident as cl
 from tributary.operators import fusion as fu
 from tributary.operators import pools as po
+from tributary.operators import validity
 from tributary.operators import vectorise as v
 from tributary.plans.feature_queries import _round
-from tributary.plans.label_queries import LABELLED_SQL, WINDOWS, _claims_sql, _labelled
-from tributary.sources.flows import FLOWS_SQL, epoch, flows
+from tributary.plans.label_queries import _CHECKS, LABELLED_SQL, WINDOWS, _claims_sql, _labelled
+from tributary.sources.flows import DIRTY_SQL, FLOWS_SQL, dirty_flows, epoch, flows
 from tributary.sources.lake import read_table
 
 FEATURES = v.flow_features()
@@ -178,6 +179,31 @@ def offset_probe(spark: SparkSession, d: str) -> DataFrame:
     return a.offset_probe(alerts(spark, d), WINDOWS)
 
 
+def offset_verdict(spark: SparkSession, d: str) -> DataFrame:
+    counts = {r.offset_hours: r.n for r in offset_probe(spark, d).collect()}
+    best, sure = a.offset_verdict(counts, alerts(spark, d).count())
+    return spark.createDataFrame([(best, sure)], "offset_hours int, conclusive boolean")
+
+
+def clamp_counts(spark: SparkSession, d: str) -> DataFrame:
+    return v.clamp_counts(dirty_flows(spark, d), FEATURES)
+
+
+def audited_pool(spark: SparkSession, d: str) -> DataFrame:
+    return po.audited(POOLS.rows(_graded(spark, d), "large"), verdicts(spark, d)).select("uid", "label_class")
+
+
+def score_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The likeliest class of each row (the first of equals), its probability and its margin."""
+    top = F.reverse(F.array_sort("probs"))
+    return probabilities(spark, d).select("key", (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("predicted"), F.round(F.get(top, F.lit(0)), 9).alias("confidence"), F.round(F.get(top, F.lit(0)) - F.get(top, F.lit(1)), 9).alias("margin"))
+
+
+def excluded_rows(spark: SparkSession, d: str) -> DataFrame:
+    df = dirty_flows(spark, d)
+    return df.agg(F.count_if(~validity.is_valid(df)).alias("excluded"), F.count(F.lit(1)).alias("total"))
+
+
 def context_neighbours(spark: SparkSession, d: str) -> DataFrame:
     f = flows(spark, d).select("uid", "ts", "capture", "orig_h", "resp_h")
     return a.neighbours(f, f.where(F.col("uid").cast("bigint") % 40 == 0), 86400.0 * 3, 3).select("candidate_uid", "uid", "ts", "rank")
@@ -256,6 +282,10 @@ _HITS = f"""{LABELLED_SQL}, {_ALERTS}, m AS (
 _PAIR_AGREE = lambda x, y, nx, ny: f"SELECT '{nx}' AS first, '{ny}' AS second, count(*) AS shared, count(*) FILTER (x.label_class = y.label_class) AS agreed FROM {x} x JOIN {y} y ON x.uid = y.uid"
 
 SQL = {
+    "clamp_counts": f"WITH {DIRTY_SQL} " + " UNION ALL ".join(f"SELECT '{f.name}' AS feature, {f'count(*) FILTER ({_SQL_RAW[f.name]} < 0)' if f.log else 'CAST(0 AS BIGINT)'} AS n_clamped FROM dirty{'' if f.log else ' LIMIT 1'}".replace("FROM dirty LIMIT 1", "FROM (SELECT 1)") for f in FEATURES.numeric),
+    "audited_pool": f"WITH {_VERDICTS}, g AS (SELECT uid, {_bucket_sql('xdg-1')} AS bucket FROM flows WHERE {_N} % 10 <> 0) SELECT g.uid, analyst_class AS label_class FROM g JOIN said ON g.uid = said.uid WHERE bucket >= 20000 AND bucket < 850000 AND analyst_class NOT IN ('', 'unknown')",
+    "score_rows": f"WITH {_PROBS} SELECT key, CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INTEGER) AS predicted, round(greatest(p0, p1, p2), 9) AS confidence, round(greatest(p0, p1, p2) - (list_sort([p0, p1, p2]))[2], 9) AS margin FROM t",
+    "excluded_rows": f"WITH {DIRTY_SQL} SELECT count(*) FILTER (NOT (" + " AND ".join(f"coalesce({p}, true)" for p in _CHECKS.values()) + ")) AS excluded, count(*) AS total FROM dirty",
     "vectorise_matrix": f"WITH {FLOWS_SQL} SELECT uid, {_encoded_sql()} FROM flows",
     "one_hot": f"WITH {FLOWS_SQL} SELECT uid, {_one_hot_sql()} FROM flows",
     "constraint_residuals": f"WITH {FLOWS_SQL} {_residual_sql()}",
@@ -293,5 +323,5 @@ SQL = {
 QUERIES = (
     vectorise_matrix, one_hot, constraint_residuals, pool_assign, pool_counts, pool_sample, fuse_labels, fuse_explain, fuse_confidence_deciles, confident_thresholds, confident_mad, confident_weights, confident_joint,
     confident_hard_joint, balanced_retention, balanced_weights, sce_loss, confident_grid, audit_candidates, audit_availability, audit_state, benchmark_recall, benchmark_confusion, pairwise_agreement, corroborate_alerts,
-    corroboration_counts, alert_signatures, alert_dissent, offset_probe, context_neighbours,
+    corroboration_counts, alert_signatures, alert_dissent, offset_probe, context_neighbours, offset_verdict, clamp_counts, audited_pool, score_rows, excluded_rows,
 )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tributary.operators import compare as c
 from tributary.operators import profile as p
 from tributary.sources.flows import FLOWS_SQL, flows
+from tributary.streaming.flows import merged_moments
 
 RULER = p.Ruler()
 BY_DOMAIN = p.Ruler(group="dataset")
@@ -95,6 +96,23 @@ def compare_rank_corr(spark: SparkSession, d: str) -> DataFrame:
     return c.rank_correlation(p.histograms(f, BY_DOMAIN), p.joint_histograms(f, BY_DOMAIN, PAIRS), ["dataset"]).withColumn("rank_corr", F.round("rank_corr", 6))
 
 
+def pooled_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Benign, attack and all as sums of two data sets' profiles, without a second scan of their rows."""
+    f = flows(spark, d)
+    parts = [p.moments(f.where(F.col("dataset") == n), RULER) for n in ("dom-0", "dom-1")]
+    view = F.explode(F.array(F.lit("all"), F.when(F.col("label_class") == "error", "attack").otherwise("benign")))
+    merged = merged_moments(parts[0].union(parts[1]).withColumn("view", view), "view")
+    return merged.select("view", "feature", "n", "n_null", "n_zero", _r("lo"), _r("hi"), _r("sum_t", 4), _r("sumsq_t", 4))
+
+
+def compare_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """One data set's profile against another's, feature by feature, with verdicts."""
+    f = flows(spark, d)
+    docs = [p.profile(f.where(F.col("dataset") == n), RULER) for n in ("dom-0", "dom-1")]
+    rows = [(r["feature"], r["js_all"], r["signal"], r["cohens_d"], r["var_ratio"], r["verdict"]) for r in c.compare(docs[0], docs[1:])]
+    return spark.createDataFrame(rows, "feature string, js_all double, signal double, cohens_d double, var_ratio double, verdict string")
+
+
 _EXPR = {
     "duration": "coalesce(duration, 0.0::DOUBLE)", "orig_bytes": "coalesce(orig_bytes, 0.0::DOUBLE)", "resp_bytes": "coalesce(resp_bytes, 0.0::DOUBLE)", "orig_ip_bytes": "coalesce(orig_ip_bytes, 0.0::DOUBLE)",
     "resp_ip_bytes": "coalesce(resp_ip_bytes, 0.0::DOUBLE)", "missed_bytes": "coalesce(missed_bytes, 0.0::DOUBLE)", "orig_pkts": "coalesce(orig_pkts, 0.0::DOUBLE)", "resp_pkts": "coalesce(resp_pkts, 0.0::DOUBLE)",
@@ -162,6 +180,7 @@ SQL = {
     "capture_span": f"WITH {FLOWS_SQL} SELECT capture, label_class, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM flows GROUP BY 1, 2",
     "profile_quantiles_exact": PROJECTED + " " + _each(lambda n: f"SELECT label_class, '{n}' AS feature, CAST(q AS INTEGER) AS q, round(v[q + 1], 6) AS value FROM (SELECT label_class, quantile_cont({n}, [{', '.join(map(str, p.QUANTILES))}]) AS v FROM f GROUP BY 1), range(7) r(q)"),
     "distinct_exact": f"WITH {FLOWS_SQL} " + " UNION ALL ".join(f"SELECT label_class, '{k}' AS \"column\", count(DISTINCT {k}) AS n_distinct FROM flows GROUP BY 1" for k in RULER.identity),
+    "pooled_moments": PROJECTED + ", v AS (SELECT *, unnest(['all', CASE WHEN label_class = 'error' THEN 'attack' ELSE 'benign' END]) AS view FROM f) " + _each(lambda n: f"SELECT view, '{n}' AS feature, count(*) AS n, count(*) FILTER ({n} IS NULL) AS n_null, count(*) FILTER ({n} = 0) AS n_zero, round(min({n}), 6) AS lo, round(max({n}), 6) AS hi, round(sum({_T[n]}), 4) AS sum_t, round(sum(({_T[n]}) * ({_T[n]})), 4) AS sumsq_t FROM v GROUP BY 1"),
     "compare_js": f"{PROJECTED}, {_hist('dataset')}, {_js('hist', 'feature', 'bin')}",
     "compare_cat_js": f"WITH {FLOWS_SQL}, {_cats('dataset')}, " + _js("cats", '"column"', "value"),
     "compare_nmi": _nmi(False),
@@ -176,5 +195,5 @@ SQL = {
 
 QUERIES = (
     profile_moments, profile_hist, profile_pairs_xy, profile_joint_hist, profile_topk_cat, profile_nulls, capture_span, profile_quantiles_exact, profile_quantiles_approx,
-    distinct_exact, distinct_approx, compare_js, compare_cat_js, compare_nmi, compare_nmi_balanced, compare_pearson, compare_rank_corr,
+    distinct_exact, distinct_approx, compare_js, compare_cat_js, compare_nmi, compare_nmi_balanced, compare_pearson, compare_rank_corr, pooled_moments, compare_profiles,
 )
