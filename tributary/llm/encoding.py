@@ -7,6 +7,7 @@ chunk once with the library and joining the results equals encoding the whole te
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 
@@ -69,34 +70,71 @@ def cut_words(text: str) -> list[str]:
 
 
 @functools.lru_cache(maxsize=4)
-def _tokenizer(path: str):
+def _tokenizers(path: str):
+    """The file's tokenizer, and its bare model, which takes pre-tokens in the byte alphabet, split at spaces."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        bare = json.load(f) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
+    bare = Tokenizer.from_str(json.dumps(bare))
+    bare.model._resize_cache(0)  # each chunk comes once
+    return Tokenizer.from_file(path), bare
+
+
+def byte_alphabet() -> dict[int, int]:
+    """Code points that stand for bytes in byte-level BPE: printable ones for themselves, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b if b in shown else 256 + hidden.index(b) for b in range(256)}
+
+
+ALPHABET = byte_alphabet()
+
+
+def plain_word(chunk: str) -> bool:
+    """One pre-token of lower-case letters whose normal form is itself."""
+    return chunk.isalpha() and chunk.islower() and (chunk.isascii() or max(chunk) < "\u0100")
+
+
+def plain_spaced(chunk: str) -> bool:
+    """One pre-token of letters, after a space or not."""
+    return chunk[chunk[0] == " " :].isalpha() and (chunk.isascii() or max(chunk) < "\u0100")
 
 
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers, by the tokenizers library's file at `path`.
 
     `cut` gives a text's chunks. New chunks are encoded many at a time, joined by `mark`, text that the tokenizer
-    always makes one id of its own and that no chunk holds; chunks that `alone` matches are encoded singly.
+    always makes one id of its own and that no chunk holds; chunks that `alone` matches are encoded singly. Chunks
+    of which `plain` holds need no normalising or cutting and go to the bare model in the byte alphabet.
     """
 
-    def __init__(self, path: str, cut, mark: str, alone: str) -> None:
-        self.tokenizer, self.cut, self.mark, self.alone = _tokenizer(path), cut, mark, re.compile(alone)
+    def __init__(self, path: str, cut, mark: str, alone: str, plain) -> None:
+        (self.tokenizer, self.bare), self.cut, self.mark, self.alone, self.plain = _tokenizers(path), cut, mark, re.compile(alone), plain
         (self.mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        self.bare_mark = f" {chr(ALPHABET[ord(mark.strip(' '))])} "
         self.known, self.older = {"": b""}, {}
 
     def _learn(self, new: list[str]) -> None:
+        plain = list(filter(self.plain, new))
+        self._joined(plain, [c.encode().decode("latin-1").translate(ALPHABET) for c in plain], self.bare, self.bare_mark)
+        if len(plain) < len(new):
+            self._learn_other([c for c in new if c not in self.known])
+
+    def _learn_other(self, new: list[str]) -> None:
         single = list(filter(self.alone.search, new))
         if single:
             for c, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)):
                 self.known[c] = np.array(e.ids, "<u4").tobytes()
             new = [c for c in new if c not in self.known]
-        for i in range(0, len(new), 20_000):
-            groups = [new[j : j + 200] for j in range(i, min(i + 20_000, len(new)), 200)]
-            for part, e in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)):
+        self._joined(new, new, self.tokenizer, self.mark)
+
+    def _joined(self, chunks: list[str], shown: list[str], tokenizer, mark: str) -> None:
+        for i in range(0, len(chunks), 20_000):
+            starts = range(i, min(i + 20_000, len(chunks)), 200)
+            for j, e in zip(starts, tokenizer.encode_batch_fast([mark.join(shown[j : j + 200]) for j in starts], add_special_tokens=False)):
+                part = chunks[j : j + 200]
                 ids = np.array(e.ids, "<u4")
                 ends = [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), 4 * len(ids)]
                 if len(ends) != len(part):
@@ -122,10 +160,10 @@ class ChunkEncoder:
 @functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> ChunkEncoder:
     """For a tokenizer that lower-cases and drops white space. Kept by the worker process from task to task."""
-    return ChunkEncoder(path, cut_words, " \0 ", "\0")
+    return ChunkEncoder(path, cut_words, " \0 ", "\0", plain_word)
 
 
 @functools.lru_cache(maxsize=2)
 def spaced_encoder(path: str) -> ChunkEncoder:
     """For a byte-level BPE tokenizer. Kept by the worker process from task to task."""
-    return ChunkEncoder(path, cut_spaced, "\t", r"(?s).\s|^[^\S \n]")
+    return ChunkEncoder(path, cut_spaced, "\t", r"(?s).\s|^[^\S \n]", plain_spaced)

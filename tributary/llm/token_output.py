@@ -56,6 +56,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 1
         .option("parquet.page.row.count.limit", PAGE_ROWS)
         .option("parquet.enable.dictionary", "true")
         .option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", 1)
         .parquet(out)
     )
 
