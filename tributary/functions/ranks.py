@@ -1,26 +1,52 @@
-"""Global ranks without a single-partition window: count distinct values, sort them by range, add up part by part."""
+"""Global ranks without a single-partition window: deal values by range, add up part by part, shift by earlier parts."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def value_ranks(values: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
     """values (keys, value, n: rows that have it, ...) with `before`: rows of smaller values of the same keys.
 
-    Values are dealt by range; each part's sums are few (parts x keys) and shifted to its successors.
+    Values are dealt by range once; running sums stay inside their part, and what comes before a part is a table of
+    parts x keys. The result is cached, as its parts must not be dealt anew between the two.
     """
     spark = values.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = values.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()).persist()
-    own = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = values.repartitionByRange(parts, *keys, value).sortWithinPartitions(*keys, value)
+    where, names = values.columns.index(n), [values.columns.index(k) for k in keys]
+    schema = T.StructType([*dealt.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
+
+    def running(batches):
+        from pyspark import TaskContext
+
+        part, last, total = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            count = b.column(where).to_numpy(zero_copy_only=False).astype(np.int64)
+            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in names]
+            change = np.zeros(b.num_rows, bool)
+            for c in columns:
+                change[1:] |= c[1:] != c[:-1]
+            first = tuple(c[0] for c in columns)
+            total = total if first == last else 0
+            sums = np.concatenate(([0], np.cumsum(count)))
+            start = np.maximum.accumulate(np.where(change, np.arange(b.num_rows), 0))
+            base = np.where(np.cumsum(change) > 0, sums[start], -total)
+            last, total = tuple(c[-1] for c in columns), int(sums[-1] - base[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(sums[:-1] - base)], [*b.schema.names, "_part", "_local"])
+
+    local = dealt.mapInArrow(running, schema).persist()
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = dealt.groupBy("_part", *keys).agg(F.sum(n).alias("_sum")).select("_part", *keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
-    local = dealt.withColumn("_local", F.coalesce(F.sum(n).over(own), F.lit(0)))
-    return local.join(shift, ["_part", *keys]).withColumn("before", F.col("_local") + F.col("_shift")).drop("_part", "_local", "_shift")
+    shift = local.groupBy("_part", *keys).agg(F.sum(n).alias("_sum")).select("_part", *keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
+    return local.join(F.broadcast(shift), ["_part", *keys]).withColumn("before", F.col("_local") + F.col("_shift")).drop("_part", "_local", "_shift")
 
 
 def to_long(df: DataFrame, columns: Sequence[str], carry: Sequence[str] = (), kind: str = "double") -> DataFrame:
@@ -30,10 +56,7 @@ def to_long(df: DataFrame, columns: Sequence[str], carry: Sequence[str] = (), ki
 
 
 def distributed_ntile(df: DataFrame, columns: Sequence[str], key: str, bins: int, carry: Sequence[str] = ()) -> DataFrame:
-    """Long form: feature, key, carried columns, bin: 1 .. bins of equal numbers of rows by (value, key), 0 for null.
-
-    The place of a row is the rows of smaller values before it plus its place among equal values.
-    """
+    """Long form: feature, carried columns, bin: 1 .. bins of equal numbers of rows by (value, key), 0 for null."""
     long = to_long(df, columns, [key, *carry])
     some = long.where("value is not null")
     ranked = value_ranks(some.select("feature", F.struct("value", key).alias("at"), F.lit(1).alias("n"), *carry), ["feature"], "at", "n")

@@ -58,19 +58,26 @@ def domain_auc(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
 
 
 def worst_domain_auc(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], domain: str) -> DataFrame:
-    """The most identifiable domain's AUC of each feature."""
+    """The most identifiable domain's AUC of each feature. Numeric values are ranked once for all domains."""
     names = [r[0] for r in df.select(domain).distinct().orderBy(domain).limit(1000).collect()]
-    each = [domain_auc(df, numeric, categorical, F.col(domain) == n) for n in names]
     if len(names) < 2:
-        return each[0].select("feature", F.lit(None).cast("double").alias("auc"))
-    out = each[0]
-    for e in each[1:]:
-        out = out.union(e)
+        return domain_auc(df, numeric, categorical, F.col(domain) == names[0]).select("feature", F.lit(None).cast("double").alias("auc"))
+    out = None
+    if numeric:
+        counted = to_long(df, numeric, [domain]).where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(domain) == d).alias(f"_d{i}") for i, d in enumerate(names)))
+        ranked = value_ranks(counted, ["feature"], "value", "n")
+        each = ranked.select("feature", "before", "n", F.posexplode(F.array(*(F.col(f"_d{i}") for i in range(len(names))))).alias("_d", "n_pos"))
+        out = _auc(each.withColumn("feature", F.struct("feature", "_d"))).select("feature.feature", "auc")
+    if categorical:
+        for d in names:
+            part = domain_auc(df, (), categorical, F.col(domain) == d)
+            out = part if out is None else out.union(part)
     return out.groupBy("feature").agg(F.max("auc").alias("auc"))
 
 
 def decide(measured: DataFrame) -> DataFrame:
     """feature, mi, relevance, auc, verdict: keep, drop, hold or unmeasured; the cut is the median relevance."""
+    measured = measured.persist()  # a row for each feature, used twice
     cut = measured.where("auc is not null").agg(F.coalesce(F.median("relevance"), F.lit(0.0)).alias("cut"))
     high, useful = F.col("auc") > DOMAIN_HIGH, F.col("relevance") >= F.col("cut")
     verdict = F.when(F.col("auc").isNull(), "unmeasured").when(high & ~useful, "drop").when(high & useful, "hold").otherwise("keep")

@@ -6,15 +6,17 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.exprs import col, count_where, log_magnitude, pearson, sample_kurtosis, sample_skewness
+from tributary.functions.exprs import col, count_where, log_magnitude, sample_kurtosis, sample_skewness
 from tributary.functions.ranks import to_long, value_ranks
 
 DOMINANT, NULL_SHARE, CORRELATION = 0.99, 0.50, 0.90
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 PHI_RATIO, DIGITS = 0.5, 6
+SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
 #: Columns that say who, when or what a flow was, and so are no features.
 NOT_FEATURES = frozenset("uid ts capture dataset orig_h resp_h orig_p label_binary label_class label_source label_method method_sha label_quality label_confidence label_weight labelled_at rule_id rules_matched label_executed label_margin quarantine_reason".split())
 
@@ -70,25 +72,43 @@ def missingness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """a, b, corr of each pair, over rows that have both, in one pass; null where a column is constant."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(col(a), col(b)).alias("corr")) for a, b in pairs)).alias("r"))
-    return wide.select(F.inline("r"))
+    """a, b, corr of each pair, over rows that have both; null where a column is constant there.
 
+    Sums of all pairs are matrix products of each batch, about the columns' means, which a first light pass gives.
+    """
+    names, k = list(columns), len(columns)
+    wide = df.select(*(col(c).cast("double").alias(c) for c in names))
+    means = wide.agg(*(F.avg(col(c)).alias(c) for c in names)).first()
+    centre = np.array([means[c] or 0.0 for c in names])
 
-def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """df's columns replaced by their ranks (smallest place among equals; null stays null)."""
-    counted = to_long(df, columns).where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = value_ranks(counted, ["feature"], "value", "n").select("feature", "value", (F.col("before") + 1).cast("double").alias("rank"))
-    out = df.select(*(col(c).cast("double").alias(c) for c in columns))
-    for c in columns:
-        mine = ranks.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        out = out.join(mine, c, "left")
-    return out.select(*(F.col(f"_r_{c}").alias(c) for c in columns))
+    def over(batches):
+        total = np.zeros((6, k, k))
+        for pdf in batches:
+            x = pdf.to_numpy(np.float64) - centre
+            has = ~np.isnan(x)
+            x, m = np.where(has, x, 0.0), has.astype(np.float64)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        i, j = np.triu_indices(k, 1)
+        yield pd.DataFrame({"i": i, "j": j} | {c: t[i, j] for c, t in zip(SUMS, total)})
+
+    sums = wide.mapInPandas(over, "i int, j int, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in SUMS))
+    va, vb, cov = (F.col(x) - F.col(y) * F.col(z) / F.col("n") for x, y, z in (("saa", "sa", "sa"), ("sbb", "sb", "sb"), ("sab", "sa", "sb")))
+    name, size = F.array(*map(F.lit, names)), F.array(*(F.lit(float(c * c)) for c in centre))
+    flat = (va <= 1e-24 * F.col("n") * F.get(size, "i")) | (vb <= 1e-24 * F.col("n") * F.get(size, "j"))
+    return sums.select(F.get(name, "i").alias("a"), F.get(name, "j").alias("b"), F.when(~flat, F.try_divide(cov, F.sqrt(va) * F.sqrt(vb))).alias("corr"))
+
+
+def rank_columns(df: DataFrame, columns: Sequence[str], key: str = "uid") -> DataFrame:
+    """df's columns replaced by their ranks (smallest place among equals; null stays null), a row for each key."""
+    long = to_long(df, columns, [key]).where("value is not null")
+    ranks = value_ranks(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), ["feature"], "value", "n").select("feature", "value", (F.col("before") + 1).cast("double").alias("rank"))
+    placed = long.join(ranks, ["feature", "value"])
+    return placed.groupBy(key).agg(*(F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in columns)).select(*columns)
 
 
-def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return pearson_pairs(rank_columns(df, columns), columns)
+def spearman_pairs(df: DataFrame, columns: Sequence[str], key: str = "uid") -> DataFrame:
+    """Rank correlations; key names each row."""
+    return pearson_pairs(rank_columns(df, columns, key).persist(), columns)
 
 
 def verdicts(df: DataFrame, columns: Sequence[str], indicated: Sequence[str] = ()) -> DataFrame:
@@ -140,13 +160,13 @@ def suggested_phi(df: DataFrame, target: str) -> float | None:
     return round(PHI_RATIO / abs(m), DIGITS) if m else None
 
 
-def screen(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), indicated: Sequence[str] = ()) -> dict:
+def screen(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), indicated: Sequence[str] = (), key: str = "uid") -> dict:
     """The whole screen: verdicts, correlations of what is kept, clusters, inflation."""
-    preflight(df, [*numeric, *categorical])
+    preflight(df, [*numeric, *categorical, key])
     found = {r.feature: r.verdict for r in verdicts(df, [*numeric, *categorical], indicated).collect()}
     kept = [c for c in numeric if found[c] == "keep"]
     linear = [tuple(r) for r in pearson_pairs(df, kept).collect()] if len(kept) > 1 else []
-    ranked = {(a, b): r for a, b, r in map(tuple, spearman_pairs(df, kept).collect())} if len(kept) > 1 else {}
+    ranked = {(a, b): r for a, b, r in map(tuple, spearman_pairs(df, kept, key).collect())} if len(kept) > 1 else {}
     most = [(a, b, max((abs(x) for x in (r, ranked[a, b]) if x is not None), default=None)) for a, b, r in linear]
     vif, singular = inflation(linear, kept) if kept else ({}, False)
     return {"verdicts": found, "pearson": linear, "spearman": ranked, "clusters": clusters(most, kept), "vif": vif, "singular": singular}
