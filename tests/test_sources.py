@@ -87,3 +87,17 @@ def test_commands(spark, sf, tmp_path, capsys):
     assert cli.main(["audit", f, "--floor", "3", "--out", str(tmp_path / "a.csv")]) == 0
     (tmp_path / "p.yaml").write_text("pools: {a: {share: 1}}\n")
     assert cli.main(["pools", f, "--partition", str(tmp_path / "p.yaml")]) == 2 and "seed" in capsys.readouterr().err
+
+
+def test_published_schedules():
+    from tributary.sources.schedules import RAW_TO_CANONICAL, SCHEDULES
+
+    got = {n: declarations.read_schedule(m, RAW_TO_CANONICAL) for n, m in SCHEDULES.items()}
+    assert {n: (len(w), len(r)) for n, (w, r, _) in got.items()} == {"cic-ids-2017": (18, 0), "cic-ids-2018": (22, 4), "cic-ddos-2019": (19, 15)}
+    assert all(w.kind in declarations.CANONICAL for ws, _, _ in got.values() for w in ws)
+    first = got["cic-ids-2017"][0][0]
+    assert (first.t0, first.t1, first.needs_payload) == (1499170800.0, 1499174400.0 + 60, True)
+    web, syn = got["cic-ddos-2019"][0][-3:-1]
+    assert web.t1 == syn.t0  # back to back: the earlier window stops where the next begins
+    attacks, regions, _ = got["cic-ddos-2019"]
+    assert all(r.t1 <= min((a.t0 for a in attacks if a.t0 >= r.t0), default=r.t1) for r in regions)

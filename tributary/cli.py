@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import audit, compare, fusion, governance, pools, profile, relevance, schedule, screen, validity
 from tributary.session import session
-from tributary.sources import alerts, declarations, lake, report
+from tributary.sources import alerts, declarations, lake, report, schedules
 
 
 def _out(df) -> None:
@@ -19,7 +19,9 @@ def _out(df) -> None:
 
 
 def _label(spark, a) -> int:
-    windows, regions, sha = declarations.load_schedule(a.manifest, declarations.load_taxonomy(a.taxonomy)[0] if a.taxonomy else None)
+    taxonomy = declarations.load_taxonomy(a.taxonomy)[0] if a.taxonomy else schedules.RAW_TO_CANONICAL
+    known = schedules.SCHEDULES.get(a.manifest)  # a published schedule's name, else a file
+    windows, regions, sha = declarations.read_schedule(known, taxonomy) if known else declarations.load_schedule(a.manifest, taxonomy)
     labelled = schedule.label(lake.read_union(spark, a.paths), windows, regions, declarations.CORE_EXCLUDED, orig=a.orig, resp=a.resp).persist()
     _out(schedule.summary(labelled))
     total = labelled.count()

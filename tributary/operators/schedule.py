@@ -7,7 +7,7 @@ windows, so labelling needs no shuffle at all: the lowest rule that claims the f
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -63,37 +63,56 @@ def to_epoch(date: str, clock: str, offset: float) -> float:
     return (local - timedelta(hours=offset)).replace(tzinfo=timezone.utc).timestamp()
 
 
-def extend_windows(windows: Sequence[Window]) -> tuple[Window, ...]:
-    """Ends moved to the end of their last minute, but not past the next start."""
-    starts = sorted(w.t0 for w in windows)
+def extend_windows(windows: Sequence[Window], stops: Sequence[float] | None = None) -> tuple[Window, ...]:
+    """Ends moved to the end of their last minute, but not past the next of `stops` (else the windows' own starts)."""
+    starts = sorted(w.t0 for w in windows) if stops is None else sorted(stops)
     out = []
     for w in windows:
-        later = [s for s in starts if s >= w.t1]
-        out.append(Window(**(w.__dict__ | {"t1": min(w.t1 + LAST_MINUTE, later[0]) if later else w.t1 + LAST_MINUTE})))
+        later = next((s for s in starts if s >= w.t1), None)
+        out.append(replace(w, t1=w.t1 + LAST_MINUTE if later is None else min(w.t1 + LAST_MINUTE, later)))
     return tuple(out)
 
 
-def manifest_windows(manifest: dict, taxonomy: dict[str, str] | None = None, payload_kinds: Sequence[str] = ()) -> tuple[Window, ...]:
-    """Windows of a manifest: utc_offset and attacks with name, date, start, end, attacker_ips, victim_ips, victim_subnet.
+def _when(entry: dict, manifest: dict) -> tuple[str, float]:
+    """An entry's date and UTC offset: by its day, where days have offsets of their own, else by date."""
+    if manifest.get("days") is not None:
+        day = manifest["days"][entry["day"]]
+        return str(day["date"]), offset_hours(str(day["utc_offset"]))
+    return str(entry["date"]), offset_hours(str(manifest["utc_offset"]))
 
-    All errors are reported together.
-    """
-    offset, out, errors = offset_hours(str(manifest["utc_offset"])), [], []
-    for i, a in enumerate(manifest.get("attacks", ())):
+
+def _built(entries: Sequence[dict], manifest: dict, name: str, kinds: dict[str, str], payload: Sequence[str]) -> list[Window]:
+    out, errors = [], []
+    for i, a in enumerate(entries):
         try:
-            kind = (taxonomy or {}).get(a["name"], a["name"])
+            date, offset = _when(a, manifest)
             subnet = a.get("victim_subnet")
             prefix = ".".join(subnet.split("/")[0].split(".")[:3]) + "." if subnet else None
-            out.append(Window(i, a["name"], kind, to_epoch(str(a["date"]), str(a["start"]), offset), to_epoch(str(a["date"]), str(a["end"]), offset), a.get("attacker_ips"), a.get("victim_ips"), prefix, kind in payload_kinds))
+            out.append(Window(i, a[name], kinds.get(a[name], a[name]), to_epoch(date, str(a["start"]), offset), to_epoch(date, str(a["end"]), offset), a.get("attacker_ips"), a.get("victim_ips"), prefix, a[name] in payload))
         except (KeyError, ValueError) as e:
-            errors.append(f"attack {i}: {e}")
+            errors.append(f"attack {i}: {e!r}" if isinstance(e, KeyError) else f"attack {i}: {e}")
     if errors:
         raise ValueError("; ".join(errors))
+    return out
+
+
+def manifest_windows(manifest: dict, taxonomy: dict[str, str] | None = None, payload: Sequence[str] = ()) -> tuple[Window, ...]:
+    """Windows of a manifest's attacks: name, date (or day), start, end, attacker_ips, victim_ips, victim_subnet.
+
+    payload: names whose execution needs payload. All errors are reported together.
+    """
+    out = _built(manifest.get("attacks", ()), manifest, "name", taxonomy or {}, payload)
     if not out:
         raise ValueError("no windows: everything would silently be benign")
     return extend_windows(out)
 
 
+def manifest_regions(manifest: dict) -> tuple[Window, ...]:
+    """Quarantine regions of a manifest; they stop where an attack starts, as the schedule accounts for what follows."""
+    attacks = _built(manifest.get("attacks", ()), manifest, "name", {}, ())
+    return extend_windows(_built(manifest.get("quarantine") or (), manifest, "reason", {}, ()), [w.t0 for w in attacks])
+
+
 def _victim(w: Window, host: Column) -> Column:
     if not w.victims and not w.subnet_prefix:
         return F.lit(True)

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from tributary.operators.governance import content_sha
 from tributary.operators.pools import Partition
-from tributary.operators.schedule import Window, manifest_windows
+from tributary.operators.schedule import Window, manifest_regions, manifest_windows
 from tributary.operators.vectorise import Categorical, Constraint, FeatureSet, Numeric
 
 # Canonical classes, and raw attack names whose execution needs payload.
@@ -118,10 +118,9 @@ def load_taxonomy(path: str | Path) -> tuple[dict[str, str], tuple[str, ...]]:
 
 def load_schedule(path: str | Path, taxonomy: dict[str, str] | None = None, needs_payload: tuple[str, ...] = NEEDS_PAYLOAD) -> tuple[tuple[Window, ...], tuple[Window, ...], str]:
     """Attack windows, quarantine regions, and the declaration's hash."""
-    from dataclasses import replace
+    return read_schedule(_load(path), taxonomy, needs_payload)
 
-    d = _load(path)
-    windows = tuple(replace(w, needs_payload=w.name in needs_payload) for w in manifest_windows(d, taxonomy))
-    regions = d.get("quarantine") or ()
-    held = manifest_windows({"utc_offset": d["utc_offset"], "attacks": [r | {"name": r["reason"]} for r in regions]}) if regions else ()
-    return windows, held, content_sha(d)
+
+def read_schedule(manifest: dict, taxonomy: dict[str, str] | None = None, needs_payload: tuple[str, ...] = NEEDS_PAYLOAD) -> tuple[tuple[Window, ...], tuple[Window, ...], str]:
+    """The same of a manifest in memory, as those of tributary.sources.schedules."""
+    return manifest_windows(manifest, taxonomy, needs_payload), manifest_regions(manifest), content_sha(manifest)
