@@ -171,6 +171,27 @@ def test_models_learn_and_label_every_row(spark):
     assert a.shape == b.shape == x.shape and models.nt_xent(x, x, 0.5) < models.nt_xent(x, x[::-1].copy(), 0.5)
 
 
+def test_contrastive_gradient_and_labels(spark):
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(8, 3))
+    loss, g = models.contrast()(z)
+    step = rng.normal(size=z.shape) * 1e-6
+    assert abs((models.contrast()(z + step)[0] - loss) - (g * step).sum()) < 1e-10
+    x = rng.normal(size=(600, 5))
+    y = np.where(x[:, 0] + x[:, 1] > 0, "a", "b")
+    branch = models.fit_contrastive(x, y.tolist(), rounds=2, epochs=8)
+    df = spark.createDataFrame([(str(i), r.tolist()) for i, r in enumerate(x)], "uid string, features array<double>")
+    got = models.predict_contrastive(df, branch).toPandas().set_index("uid").loc[[str(i) for i in range(600)]]
+    assert (got.label_class.to_numpy() == y).mean() > 0.9 and got.view_agreement.mean() > 0.6
+
+
+def test_projection_makes_targets_agree():
+    n = vectorise.Numeric
+    fs = vectorise.FeatureSet("x", (n("t", "t"), n("l", "l"), n("r", "r")), (), (vectorise.Constraint("c", "t", "l", "r"),))
+    x = np.log1p(np.array([[9.0, 6.0, 3.0], [9.0, 6.0, 0.0]]))
+    assert np.allclose(np.expm1(vectorise.project(x, fs)), [[2.0, 6.0, 3.0], [9.0, 6.0, 0.0]])
+
+
 def test_governance(spark, sf, tmp_path):
     assert governance.composite_sha({"a": 1, "b": 2}) == governance.composite_sha({"b": 2, "a": 1}) != governance.composite_sha({"a": 2, "b": 1})
     df = governance.stamp(spark.createDataFrame([(True, "x", "matched", "certain", "c")], "label_binary boolean, label_class string, label_source string, label_quality string, capture string"), "m", "abc", "d")

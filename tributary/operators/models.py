@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.exprs import bucket_of
+from tributary.operators.vectorise import FeatureSet, project
 
 #: At most about so many rows are trained on.
 MAX_TRAIN = 20_000
@@ -213,6 +214,86 @@ def nt_xent(a: np.ndarray, b: np.ndarray, temperature: float = 0.5) -> float:
     return float((np.log(np.exp(s - top[:, None]).sum(1)) + top - s[np.arange(2 * n), pair]).mean())
 
 
+def contrast(temperature: float = 0.5):
+    """Loss and gradient of paired views whose embeddings are stacked, first views first."""
+
+    def grad(z: np.ndarray):
+        size = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        u, n = z / size, len(z) // 2
+        s = u @ u.T / temperature
+        np.fill_diagonal(s, -np.inf)
+        pair = np.concatenate((np.arange(n, 2 * n), np.arange(n)))
+        p = softmax(s)
+        loss = float(-np.log(np.maximum(p[np.arange(2 * n), pair], 1e-12)).mean())
+        p[np.arange(2 * n), pair] -= 1
+        g = (p + p.T) @ u / (temperature * 2 * n)
+        return loss, (g - (g * u).sum(1, keepdims=True) * u) / size
+
+    return grad
+
+
+def fit_contrastive(x: np.ndarray, labels: Sequence[str], fs: FeatureSet | None = None, seed: int = 0, rounds: int = 3, epochs: int = 3, rate: float = 0.15, latent: int = 32, settle: float = 0.01) -> "ContrastiveBranch":
+    """A labeller from contrastive views: each takes columns from a donor of the row's class and keeps constraints.
+
+    After each round classes are predicted anew and donors drawn from these; it ends when few of them change.
+    """
+    rng, classes = np.random.default_rng(seed), sorted(set(labels))
+    y = np.searchsorted(classes, labels)
+    encoder, now, losses, net = Network.of([x.shape[1], 64, latent], seed), y, [], None
+    fix = (lambda v: project(v, fs)) if fs else (lambda v: v)
+    for _ in range(rounds):
+        donors = {k: x[now == k] for k in range(len(classes))}
+        state: dict = {}
+        for _ in range(epochs):
+            order, each = rng.permutation(len(x)), []
+            for i in (order[k : k + 256] for k in range(0, len(x), 256)):
+                pool = np.stack([d[rng.integers(len(d))] if len(d := donors[c]) else x[r] for r, c in zip(i, now[i])])
+                pick = rng.random((len(i), x.shape[1]))
+                a, b = fix(np.where(pick < rate, pool, x[i])), fix(np.where(pick >= 1 - rate, pool, x[i]))
+                each.append(encoder.step(np.concatenate((a, b)), contrast(), state, 1e-3))
+            losses.append(float(np.mean(each)))
+        head = Network.of([latent, len(classes)], seed)
+        # The encoder's last layer is linear; in the classifier its output passes a ReLU before the head.
+        net = Network([w.copy() for w in encoder.weights] + head.weights, [b.copy() for b in encoder.biases] + head.biases)
+        net, _ = train_classifier(x, y, len(classes), net=net, frozen=2, epochs=epochs, seed=seed)
+        net, _ = train_classifier(x, y, len(classes), net=net, epochs=epochs, seed=seed)
+        new = net(x).argmax(1)
+        changed, now = float((new != now).mean()), new
+        if changed <= settle:
+            break
+    return ContrastiveBranch(classes, net, losses, rate, x[rng.permutation(len(x))[:512]])
+
+
+@dataclass
+class ContrastiveBranch:
+    classes: list[str]
+    network: Network
+    losses: list[float]
+    rate: float
+    donors: np.ndarray
+
+
+def predict_contrastive(vectors: DataFrame, branch: ContrastiveBranch) -> DataFrame:
+    """uid, label_class, label_confidence, label_margin, view_agreement (whether a view with replaced columns gets the same class)."""
+
+    def over(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["features"].to_numpy())
+            p = softmax(branch.network(x))
+            top = np.sort(p, 1)
+            # A row's view depends on the row alone, so that a task run again gives the same.
+            h = (np.abs(x).sum(1) * 1e6).astype(np.int64)
+            rows = branch.donors[h % len(branch.donors)]
+            mask = ((h[:, None] * 2654435761 + np.arange(x.shape[1]) * 40503) % 1000) < 1000 * branch.rate
+            same = branch.network(np.where(mask, rows, x)).argmax(1) == p.argmax(1)
+            margin = top[:, -1] - top[:, -2] if p.shape[1] > 1 else top[:, -1]
+            yield pd.DataFrame({"uid": pdf["uid"], "label_class": np.array(branch.classes)[p.argmax(1)], "label_confidence": top[:, -1], "label_margin": margin, "view_agreement": same.astype(float)})
+
+    return vectors.select("uid", "features").mapInPandas(over, "uid string, label_class string, label_confidence double, label_margin double, view_agreement double")
+
+
 def churn(before: DataFrame, after: DataFrame) -> DataFrame:
     """compared, changed: flows whose label differs between two rounds."""
     both = before.select("uid", F.col("label_class").alias("a")).join(after.select("uid", F.col("label_class").alias("b")), "uid")

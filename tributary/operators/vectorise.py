@@ -148,6 +148,25 @@ def residuals(df: DataFrame, fs: FeatureSet) -> DataFrame:
     return df.agg(F.array(*parts).alias("r")).select(F.inline("r"))
 
 
+def project(x: np.ndarray, fs: FeatureSet) -> np.ndarray:
+    """Rows of a matrix with the targets of constraints made to agree with their operands, where these are defined."""
+    out, at = x.copy(), {n: i for i, n in enumerate(fs.columns())}
+    of = {f.name: f for f in fs.numeric}
+
+    def raw(name: str) -> np.ndarray:
+        f = of[name]
+        v = out[:, at[name]] * f.scale + f.centre
+        return np.expm1(v) if f.log else v
+
+    for c in fs.constraints:
+        left, right, f = raw(c.left), raw(c.right), of[c.target]
+        fine = np.abs(right) > 1e-12 if c.kind == "ratio" else np.ones(len(x), bool)
+        want = np.where(fine, left / np.where(fine, right, 1.0), 0.0) if c.kind == "ratio" else left + right
+        want = np.log1p(np.maximum(want, 0)) if f.log else want
+        out[fine, at[c.target]] = ((want - f.centre) / f.scale)[fine]
+    return out
+
+
 def flow_features() -> FeatureSet:
     """The declared features of a flow table, with states of its own table as vocabulary."""
     volumes = ("duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "orig_ip_bytes", "resp_ip_bytes", "missed_bytes")

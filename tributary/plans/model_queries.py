@@ -43,6 +43,14 @@ def behavioural_label(spark: SparkSession, d: str) -> DataFrame:
     return m.predict(_vectors(spark, d), branch)
 
 
+def contrastive_label(spark: SparkSession, d: str) -> DataFrame:
+    sample = m.bounded_sample(_vectors(spark, d), 2_000)
+    import numpy as np
+
+    branch = m.fit_contrastive(np.stack(sample["features"].to_numpy()), sample["label_class"].tolist(), FEATURES, rounds=2, epochs=2)
+    return m.predict_contrastive(_vectors(spark, d), branch)
+
+
 def oos_probe(spark: SparkSession, d: str) -> DataFrame:
     return m.out_of_fold(_vectors(spark, d), epochs=2)
 
@@ -136,4 +144,4 @@ SQL = {
     "stream_profile": PROFILE_SQL["profile_moments"],
 }
 
-QUERIES = (behavioural_label, oos_probe, class_reservoir, label_churn, ndjson_roundtrip, union_by_name, footer_inventory, schema_drift, provenance_stamp, label_gate, stream_label, stream_profile, profile_sample)
+QUERIES = (behavioural_label, contrastive_label, oos_probe, class_reservoir, label_churn, ndjson_roundtrip, union_by_name, footer_inventory, schema_drift, provenance_stamp, label_gate, stream_label, stream_profile, profile_sample)
