@@ -304,6 +304,10 @@ SQL = {
     "balanced_retention": f"WITH {_PROBS} SELECT label, round(rho, 9) AS rho, round(factor, 9) AS factor FROM ret",
     "balanced_weights": f"WITH {_PROBS} SELECT key, round(greatest(0.2::DOUBLE, least(1.0::DOUBLE, weight * factor)), 9) AS weight FROM w JOIN ret ON w.label = ret.label",
     "sce_loss": f"WITH {_PROBS} SELECT key, round(weight * (-0.3::DOUBLE * ({' + '.join(f'(CASE WHEN label = {i} THEN 0.99::DOUBLE ELSE 0.005::DOUBLE END) * ln(p{i})' for i in range(3))}) - 2.0::DOUBLE * ({' + '.join(f'p{i} * ln(CASE WHEN label = {i} THEN 0.99::DOUBLE ELSE 0.005::DOUBLE END)' for i in range(3))})), 9) AS loss FROM w",
+    "confident_grid": f"""WITH {_PROBS}, cells(q, w_min, gamma) AS (VALUES {', '.join(f'({q}::DOUBLE, {w}::DOUBLE, {g}::DOUBLE)' for q, w, g in cl.GRID)}), o AS (SELECT label, score, row_number() OVER (PARTITION BY label ORDER BY score) AS r, count(*) OVER (PARTITION BY label) AS n FROM s),
+      tq AS (SELECT q, label, min(score) AS threshold FROM o, (SELECT DISTINCT q FROM cells) WHERE r >= ceil(q * n) GROUP BY 1, 2),
+      b AS (SELECT c.q, c.w_min, c.gamma, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END = s.label AS hit, c.w_min + (1 - c.w_min) / (1 + exp(-(s.score - threshold) / (c.gamma * scale))) AS w FROM s JOIN tq ON s.label = tq.label JOIN sc ON s.label = sc.label JOIN cells c ON c.q = tq.q)
+      SELECT q, w_min, gamma, round(coalesce(avg(w) FILTER (hit), 0) - coalesce(avg(w) FILTER (NOT hit), 0), 9) AS objective FROM b GROUP BY 1, 2, 3""",
     "audit_candidates": f"WITH {FLOWS_SQL}, b AS (SELECT uid, label_class, {_bucket_sql(SEED)} AS bucket FROM flows) SELECT uid, label_class, bucket, CAST(row_number() OVER (PARTITION BY label_class ORDER BY bucket, uid) AS INTEGER) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY label_class ORDER BY bucket, uid) <= 20",
     "audit_availability": f"WITH {FLOWS_SQL} SELECT label_class, count(*) AS available, least(count(*), 200) AS taken, 200 - least(count(*), 200) AS shortfall FROM flows GROUP BY 1",
     "audit_state": f"WITH {_VERDICTS} SELECT CASE WHEN analyst_class IS NULL OR analyst_class = '' THEN 'unadjudicated' WHEN analyst_class = prior_class THEN 'confirmed' ELSE 'corrected' END AS state, count(*) AS n FROM said GROUP BY 1",
