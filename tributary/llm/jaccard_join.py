@@ -43,9 +43,11 @@ SEGMENTS, PROBES = 1.2, 1.1
 #: Subsets that more sets share are left out of probing where enough others remain.
 COMMON = 64
 STARS = 3
+#: A subset that so many sets of one block share goes past the bins, but for HOT_KEPT of them.
+HOT_LOCAL, HOT_KEPT = 16, 3
 #: Up to so many ids of candidates (16 bytes each) are broadcast to fetch their texts; beyond it their join is shuffled.
 BROADCAST_IDS = 1_000_000
-OWN, PROBE, LOW = 1, 2, 4
+OWN, PROBE, LOW, PAST = 1, 2, 4, 8
 SKETCH_BITS = 512
 SKETCH = [f"o{i}" for i in range(SKETCH_BITS // 64)]
 _BANDS = [1]
@@ -136,13 +138,27 @@ def _classify(batches):
 
 
 def _emit(bins: int, most: int = 6_000_000):
-    """Signatures packed by bin; a pack has each set once, with how many of its signatures follow."""
+    """Signatures packed by bin; a pack has each set once, with how many of its signatures follow.
+
+    Signatures that many sets of the block share are known to be shared already: only a few of them go to the bin,
+    to stand for the block there, and the others go past it, spread over all bins. So a bin gets at most HOT_LOCAL
+    entries of a signature from a block, however many sets share it.
+    """
 
     def packed(held):
         fp, n, f_own, f_low = (np.array(x) for x in zip(*held["docs"]))
         sig, flag = np.concatenate(held["sig"]), np.concatenate(held["flag"])
         doc = np.repeat(np.arange(len(fp)), held["count"])
         bin_ = (sig % np.uint64(bins)).astype(np.int64)
+        order = np.lexsort((-(flag & (OWN | PROBE)).astype(np.int64), sig))
+        first = np.flatnonzero(np.concatenate(([True], sig[order][1:] != sig[order][:-1])))
+        size = np.diff([*first, len(sig)])
+        # Sorted by flags: the first has both flags if any has; else the first and the last have one each.
+        place = np.arange(len(sig)) - np.repeat(first, size)
+        past = (np.repeat(size, size) >= HOT_LOCAL) & (place >= HOT_KEPT - 1) & (place < np.repeat(size, size) - 1)
+        past = order[past]
+        flag[past] |= PAST
+        bin_[past] = (fp[doc[past]] % np.uint64(bins)).astype(np.int64)
         order = np.argsort(bin_, kind="stable")
         ends = np.searchsorted(bin_[order], np.arange(bins + 1))
         z = zstandard.ZstdCompressor(level=1)
@@ -154,7 +170,7 @@ def _emit(bins: int, most: int = 6_000_000):
                 yield k, np.array([len(docs), len(mine)], "<u4").tobytes() + sig[mine].astype("<u8").tobytes() + z.compress(b"".join(x.tobytes() for x in parts))
 
     def over(batches):
-        held = defaultdict(list)
+        held, seen = defaultdict(list), set()
         total = 0
 
         def send():
@@ -162,7 +178,6 @@ def _emit(bins: int, most: int = 6_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["bin", "payload"])
 
         for b in small_batches(batches, "text", 1 << 20):
-            seen = set()
             for s in shingle_sets([t or "" for t in b.column(0).to_pylist()]):
                 if len(s):
                     fp, sig, flag, f_own, f_low = _signed(s)
@@ -173,6 +188,7 @@ def _emit(bins: int, most: int = 6_000_000):
             if total >= most:
                 yield from send()
                 held, total = defaultdict(list), 0
+                seen.clear()
         if total:
             yield from send()
 
@@ -194,25 +210,27 @@ def _shared(batches):
             for c, v in zip(cols, (np.frombuffer(data, "<u8", ne, 8), np.frombuffer(raw, "<u8", nd)[doc], n[doc], np.where(flag & LOW, f_low[doc], f_own[doc]), flag)):
                 c.append(v)
         sig, fp, n, f, flag = (np.concatenate(c) for c in cols)
+        past = flag & PAST != 0
+        known = [c[past] for c in (sig, fp, n, f, flag & ~np.uint8(PAST))]
+        sig, fp, n, f, flag = (c[~past] for c in (sig, fp, n, f, flag))
         order = np.argsort(sig, kind="stable")
         near = sig[order]
-        same = np.concatenate(([False], near[1:] == near[:-1], [False]))
-        order = order[same[1:] | same[:-1]]
-        if not len(order):
-            return None
+        same = np.concatenate(([False], near[1:] == near[:-1], [False])) if len(near) else np.zeros(1, bool)
+        order = order[same[1:] | same[:-1]] if len(near) else order
         sig, fp, n, f, flag = sig[order], fp[order], n[order], f[order], flag[order]
         order = np.lexsort((flag, fp, sig))
         sig, fp, n, f, flag = sig[order], fp[order], n[order], f[order], flag[order]
-        once = np.concatenate((np.any([sig[1:] != sig[:-1], fp[1:] != fp[:-1]], axis=0), [True]))  # of equal ones the last, which has most flags
+        once = np.concatenate((np.any([sig[1:] != sig[:-1], fp[1:] != fp[:-1]], axis=0), [True])) if len(sig) else np.zeros(0, bool)  # of equal ones the last, which has most flags
         sig, fp, n, f, flag = sig[once], fp[once], n[once], f[once], flag[once]
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        g = np.diff([*first, len(sig)])
-        good = (g > 1) & (np.bitwise_or.reduceat(flag, first) & (OWN | PROBE) == OWN | PROBE)
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+        g = np.diff([*first, len(sig)]) if len(sig) else first
+        good = (g > 1) & (np.bitwise_or.reduceat(flag, first) & (OWN | PROBE) == OWN | PROBE) if len(sig) else first.astype(bool)
         keep, g = np.repeat(good, g), np.repeat(g, g)
-        if not keep.any():
+        cols = [np.concatenate((c[keep], k)) for c, k in zip((sig, fp, n, f, flag, g), (*known, np.full(int(past.sum()), HOT_LOCAL)))]
+        if not len(cols[0]):
             return None
-        cols = [sig[keep].view(np.int64), fp[keep].view(np.int64), n[keep].astype(np.int64), f[keep].astype(np.int32), flag[keep].astype(np.int32), g[keep].astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sig", "fp", "n", "f", "flag", "g"])
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(cols, kinds)], ["sig", "fp", "n", "f", "flag", "g"])
 
     at, packs = None, []
     for batch in batches:
@@ -276,8 +294,9 @@ def link(docs: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified links between sets, enough of them to connect whatever similar sets connect."""
     total = shared.count()
     hub = shared.groupBy("fp").agg(F.sum("g").alias("weight"))
-    top = shared.join(hub, "fp").groupBy("sig").agg(F.max(F.struct("weight", "fp", "n")).alias("top"), F.count(F.lit(1)).alias("g"))
-    top = materialise(top.select("sig", F.col("top.fp").alias("hub"), F.col("top.n").alias("hub_n"), "g"), "hubs")
+    useful = F.bit_or(F.col("flag").bitwiseAND(OWN | PROBE)).alias("use")  # what goes past the bins may be probed by no set
+    top = shared.join(hub, "fp").groupBy("sig").agg(F.max(F.struct("weight", "fp", "n")).alias("top"), F.count(F.lit(1)).alias("g"), useful)
+    top = materialise(top.where(F.col("use") == (OWN | PROBE)).select("sig", F.col("top.fp").alias("hub"), F.col("top.n").alias("hub_n"), "g"), "hubs")
     star = join_by_class(shared.select("sig", "fp", "n"), top, "sig", "g", total, F.col("fp")).where("fp <> hub and 5 * least(n, hub_n) >= 4 * greatest(n, hub_n)")
     star = star.groupBy(F.col("fp").alias("a"), F.col("hub").alias("b")).count()
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), "b"))
@@ -286,7 +305,7 @@ def link(docs: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFrame:
     labels = components(links)
 
     placed = shared.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    open_ = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("g").alias("g")).where("lo <> hi").select("sig", "g", F.lit(True).alias("open"))
+    open_ = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("g"), useful).where((F.col("lo") != F.col("hi")) & (F.col("use") == (OWN | PROBE))).select("sig", "g", F.lit(True).alias("open"))
     open_ = materialise(open_, "open")
     rest = materialise(join_by_class(placed.drop("g").withColumnRenamed("sig", "_s").withColumn("sig", F.col("_s")), open_, "sig", "g", total, F.col("fp")).where("open").drop("_s", "open"), "rest")
     rest = rest.join(classes.select("fp", *SKETCH), "fp")
