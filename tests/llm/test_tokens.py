@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -48,14 +49,59 @@ def test_token_files_are_list_columns_with_page_indexes(spark, docs, tmp_path):
     assert col.has_offset_index and any("DICTIONARY" in e or "DELTA" in e for e in col.encodings)
 
 
+#: Cases, marks that compose, odd white space, contractions, special tokens in every casing.
+PARTS = list("abXÉñßİΣ.,!'-_ 12HTJ=×½²#ſÅ日") + [" ", " ", "\n", "\t", "\r", "\u0301", "\u0331", "\u0308", "\u0338", "\u3000", "\x85", "\xa0", "\u2009", "\x1c", "\0", "'s", "'S", ", ", ". ", "$$", "word ", "The ", "Привет", "Ґ", "가", "\u1100\u1161", "🙂", "\u200d"]
+PARTS += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|startoftext", "endoftext|>"]
+CASES = ["<|ENDOFTEXT|>", "see <|EndOfText|> here", "<|STARTOFTEXT|> x", "x<|endoftext|>y.<|EndOfText|>,", "<|endoftext|><|endoftext|>", "don't, <|endofText|>.", "\u3000\n\n.", "'\r\n\n"]
+
+
+def encoded(encoder, items):
+    ids, bounds = encoder.encode(pa.array(items, pa.string()))
+    return [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:])]
+
+
+@pytest.mark.parametrize("window", [64, 8 << 20])
 @pytest.mark.parametrize("make,path", [(encoding.word_encoder, WORD), (encoding.spaced_encoder, BYTE)])
-def test_chunks_encode_as_whole_texts_do(make, path):
-    rnd = random.Random(5)
-    alphabet = list("abXÉñßİΣ.,!'-_ 12") + [" ", " ", "\n", "\t", "\r", "́", "　", "\x85", "\x1c", "'s", ", ", ". ", "<|endoftext|>", "日本"]
-    items = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
-    t = Tokenizer.from_file(path)
-    want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(items, add_special_tokens=False)]
-    assert [(x, w == g) for x, w, g in zip(items, want, make(path).encode(items)) if w != g] == []
+def test_chunks_encode_as_whole_texts_do(make, path, window, monkeypatch):
+    monkeypatch.setattr(encoding.distinct_chunks, "__defaults__", (*encoding.distinct_chunks.__defaults__[:-1], window))
+    rnd = random.Random(window)
+    items = CASES + ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 40))) for _ in range(6000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(items, add_special_tokens=False)]
+    assert [(x, w, g) for x, w, g in zip(items, want, encoded(make(path), items)) if w != g][:3] == []
+
+
+@pytest.mark.parametrize("make,path", [(encoding.word_encoder, WORD), (encoding.spaced_encoder, BYTE)])
+def test_what_a_worker_keeps_is_bounded(make, path, monkeypatch):
+    monkeypatch.setattr(encoding, "MAX_CACHED", 50)
+    make.cache_clear()
+    encoder, t, rnd = make(path), Tokenizer.from_file(path), random.Random(3)
+    for _ in range(12):
+        items = [" ".join(rnd.choice(("of", "the", "".join(rnd.choice("abcde") for _ in range(4)))) for _ in range(40)) for _ in range(3)]
+        assert encoded(encoder, items) == [t.encode(x, add_special_tokens=False).ids for x in items]
+        assert len(encoder.known.words) <= 50 and (np.diff(encoder.known.hash.astype(object)) > 0).all()
+    make.cache_clear()
+
+
+def test_null_and_sliced_columns():
+    column = pa.array(["a b", None, "", "c d.", None, "e"]).slice(1, 4)
+    assert encoded(encoding.spaced_encoder(BYTE), column.to_pylist()) == [Tokenizer.from_file(BYTE).encode(x or "").ids for x in column.to_pylist()]
+    ids, bounds = encoding.spaced_encoder(BYTE).encode(column, 7)
+    assert bounds[-1] == len(ids) and ids[bounds[1:] - 1].tolist() == [7] * 4
+
+
+def test_a_long_text_takes_windows(monkeypatch):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(2000)]
+    text = " ".join(rnd.choices(words, k=3_600_000))  # 20 MB
+    ids, _ = encoding.spaced_encoder(BYTE).encode(pa.array([text]))
+    assert len(ids) > 3_600_000
+    t = Tokenizer.from_file(BYTE)
+    for cut in (text.index(" ", 300_000), text.index(" ", 8 << 20)):  # beside the start, and beside the end of a window
+        tail = t.encode(text[cut : cut + 50_000]).ids
+        head = t.encode(text[cut - 50_000 : cut]).ids[-1000:]
+        near = np.array([*head, *tail[:1000]], np.uint32)
+        at = np.flatnonzero(ids == near[0])
+        assert any((ids[i : i + 2000] == near).all() for i in at if i + 2000 <= len(ids))
 
 
 @pytest.mark.parametrize("kind", ["docs", "odd_docs", "no_docs"])

@@ -1,123 +1,84 @@
 """Operator 9: byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Texts are taken apart into chunks (cut_spaced), chunks into pre-tokens, all with positions. A block of documents
-sends each distinct pre-token once, packed by bin (a hash of the pre-token); in its bin each distinct pre-token of
-the whole corpus is encoded once; the ids go back to the blocks, where documents are put together by position, and
-are decoded by the table of token bytes. Positions meet the ids by block, so what is shuffled is one number for
-each chunk and one entry for each distinct pre-token of a block.
-
-The two passes over the texts form the same blocks, as a scan gives the same rows in the same order; a checksum of
-each block's pre-tokens guards this, and the job fails where they differ.
+Texts are taken apart into words (chunks that begin and end where pre-tokens do, nearly always one pre-token), all
+with positions. A block of documents is written once: its distinct words, packed by bin (a hash of the word), beside
+the positions of all its documents. The words go to their bins, where each distinct word of the whole corpus is
+encoded once; the ids go back to the blocks, where documents are put together by position, and are decoded by
+the table of token bytes. Blocks lie in buckets of their number, so positions are not shuffled: only one entry for each
+distinct word of a block is. As blocks are read from what was written, a lost executor or an input whose order is
+not fixed changes nothing.
 
 Null text counts as empty: no ids. Rows that repeat a doc_id each get a row. An empty table gives no rows. Columns
-other than doc_id and text are ignored.
+other than doc_id and text are ignored. A block holds one long text at least, so a worker needs some fifteen times
+the longest text.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
-import zlib
-from collections import defaultdict
-from itertools import groupby
+import uuid
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tributary.llm.common import map_arrow, shuffle_partitions, small_batches
-from tributary.llm.encoding import cut_spaced
 
-#: A block ends at so many chunks or distinct chunks.
-BLOCK_CHUNKS, BLOCK_DISTINCT = 8_000_000, 400_000
-KEYED = "bin int, block long, kind int, seq long, doc_id long, payload binary"
-NAMES = ["bin", "block", "kind", "seq", "doc_id", "payload"]
-IDS, SPELLING, DOC = 0, 1, 2
+from tributary.llm.common import bins_for, give_back, kept_for_stage, map_arrow, shared_path, shuffle_partitions, small_batches
+from tributary.llm.encoding import column_bytes, data_of, distinct_chunks, hashes, offsets_of
 
-
-def _pack(*arrays: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(a) for a in arrays], "<u4").tobytes(), *arrays]))
+BLOCK_BYTES = 16 << 20
+#: Rows of a block: one for the words of each bin; one, with bin -1, for its documents.
+BLOCKS = "block BIGINT, bin INT, words BINARY, docs BINARY"
 
 
-def _unpack(data: bytes, n: int) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    ends = 4 * n + np.cumsum([0, *np.frombuffer(raw, "<u4", n).tolist()])
-    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-
-
-def _planes(numbers: np.ndarray) -> bytes:
+def _planes(numbers: np.ndarray, width: int = 4) -> bytes:
     """Little-endian numbers byte by byte, which compresses better."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], NAMES)
+    return np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def _numbering() -> defaultdict:
-    """A dict that numbers its keys in the order in which they are first looked up."""
-    known: defaultdict[str, int] = defaultdict()
-    known.default_factory = known.__len__
-    return known
+def _numbers(planes: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
-def _blocks(batches):
-    """Blocks of documents: (part, number, distinct chunks, [(doc_id, chunk numbers)])."""
-    known = _numbering()
-    docs, total, number, part = [], 0, 0, 0
-    for b in small_batches(batches, "text", 1 << 20):
-        part = b.column(2)[0].as_py()
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            chunks = cut_spaced(text) if text else []
-            docs.append((doc, np.fromiter(map(known.__getitem__, chunks), np.uint32, len(chunks))))
-            total += len(chunks)
-            if total >= BLOCK_CHUNKS or len(known) >= BLOCK_DISTINCT:
-                yield part, number, list(known), docs
-                known, docs, total, number = _numbering(), [], 0, number + 1
-    if docs:
-        yield part, number, list(known), docs
+def _pack(*arrays: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(a) for a in arrays], "<u8").tobytes(), *arrays]))
 
 
-def _binned(chunks: list[str], pattern: str, bins: int):
-    """Distinct pre-tokens with their bins, in the order of bin and first place, and each chunk's pre-tokens."""
-    find = regex.compile(pattern).findall
-    # A run of letters after a space or nothing is one pre-token, as in all patterns of this kind.
-    spelt = [(c,) if c[c[0] == " " :].isalpha() else find(c) for c in chunks]
-    distinct = list(dict.fromkeys(w for x in spelt for w in x))
-    bin_of = np.fromiter((zlib.crc32(w.encode()) for w in distinct), np.uint32, len(distinct)) % bins
-    words = [(int(bin_of[i]), distinct[i]) for i in np.argsort(bin_of, kind="stable").tolist()]
-    return words, spelt
+def _unpack(data: bytes, n: int) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    ends = 8 * n + np.cumsum([0, *np.frombuffer(raw, "<u8", n).tolist()])
+    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-def _check(words: list[tuple[int, str]]) -> int:
-    return zlib.crc32("\0".join(w for _, w in words).encode())
+def _binary(lengths: np.ndarray, data) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.py_buffer(data)])
 
 
-def _send_words(pattern: str, bins: int):
+def _take_apart(bins: int):
     def over(batches):
-        for part, number, chunks, _ in _blocks(batches):
-            words, _ = _binned(chunks, pattern, bins)
-            block, check = part << 24 | number, _check(words)
-            rows = []
-            for n, mine in groupby(words, key=lambda x: x[0]):
-                raw = [w.encode() for _, w in mine]
-                rows.append((n, block, IDS, check, None, _pack(np.array([len(w) for w in raw], "<u4").tobytes(), b"".join(raw))))
-            if rows:
-                yield _rows(rows)
+        for number, b in enumerate(small_batches(batches, "text", BLOCK_BYTES)):
+            block = b.column(2)[0].as_py() << 32 | number
+            raw, bounds = column_bytes(b.column(1))
+            bin_, words, ranks, starts = np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for distinct, chunk, starts in distinct_chunks(raw, bounds, window=len(raw) + 1):  # one window
+                bin_ = (hashes(distinct) % np.uint64(bins)).astype(np.int64)
+                order = np.argsort(bin_, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                bin_, words, ranks = bin_[order], distinct.take(pa.array(order)), place[chunk]
+            ids = b.column(0).fill_null(0).to_numpy().astype("<i8")
+            docs = _pack(ids.tobytes(), np.array(b.column(0).is_valid(), np.uint8).tobytes(), np.searchsorted(starts, bounds).astype("<i8").tobytes(), _planes(ranks))
+            first = np.flatnonzero(np.append(True, bin_[1:] != bin_[:-1])) if len(bin_) else np.zeros(0, np.int64)
+            ends, data = offsets_of(words).astype(np.int64), data_of(words)
+            packs = [_pack(_planes(np.diff(ends[i : j + 1])), data[ends[i] - ends[0] : ends[j] - ends[0]].tobytes()) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(bin_)])]
+            n = len(packs)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * (n + 1), pa.int64()), pa.array([*bin_[first].tolist(), -1], pa.int32()), pa.array([*packs, None], pa.binary()), pa.array([None] * n + [docs], pa.binary())], ["block", "bin", "words", "docs"])
 
     return over
 
 
-@functools.lru_cache(maxsize=2)
+@kept_for_stage
 def token_table(ranks_path: str) -> dict[bytes, int]:
     """Token bytes to id; as many entries as the vocabulary has."""
     with open(ranks_path, "rb") as f:
@@ -129,89 +90,88 @@ def _encode_words(ranks_path: str, pattern: str):
         import tiktoken
 
         encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=token_table(ranks_path), special_tokens={}).encode_ordinary
-        at, known = None, {}
+
+        def encoded(bin_: int, held: list[tuple[int, pa.Array]]) -> pa.RecordBatch:
+            coded = pa.concat_arrays([w for _, w in held]).dictionary_encode()
+            ids = [encode(w.decode()) for w in coded.dictionary.to_pylist()]
+            each = _binary(4 * np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), "<u4"))
+            number, at, out = coded.indices.to_numpy(), 0, []
+            for _, w in held:
+                mine = each.take(pa.array(number[at : at + len(w)]))
+                out.append(_pack(_planes(np.diff(offsets_of(mine)) // 4), _planes(data_of(mine).view("<u4"))))
+                at += len(w)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.int64()), pa.array([bin_] * len(held), pa.int32()), pa.array(out, pa.binary())], ["block", "bin", "ids"])
+
+        at, held = None, []
         for batch in batches:
-            rows = []
-            for n, block, check, payload in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 5))):
-                if n != at:
-                    at, known = n, {}
-                lengths, raw = _unpack(payload, 2)
-                ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
-                out = []
-                for a, b in zip([0, *ends], ends):
-                    w = raw[a:b]
-                    ids = known.get(w)
-                    if ids is None:
-                        ids = known[w] = np.array(encode(w.decode()), "<u4")
-                    out.append(ids)
-                rows.append((n, block, IDS, check, None, _pack(_planes(np.array([len(x) for x in out])), _planes(np.concatenate(out)), np.array([n], "<i8").tobytes())))
-            if rows:
-                yield _rows(rows)
+            for block, n, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if n != at and held:
+                    yield encoded(at, held)
+                    held = []
+                at = n
+                lengths, data = _unpack(payload, 2)
+                held.append((block, _binary(_numbers(lengths), data)))
+        if held:
+            yield encoded(at, held)
 
     return over
 
 
-def _send_positions(pattern: str, bins: int):
-    def over(batches):
-        for part, number, chunks, docs in _blocks(batches):
-            words, spelt = _binned(chunks, pattern, bins)
-            block, check = part << 24 | number, _check(words)
-            order = {w: i for i, (_, w) in enumerate(words)}
-            spelling = np.fromiter((order[w] for x in spelt for w in x), np.uint32)
-            yield _rows([(0, block, SPELLING, check, None, _pack(_planes(np.array([len(x) for x in spelt])), _planes(spelling)))])
-            for i in range(0, len(docs), 500):
-                yield _rows([(0, block, DOC, check, d, _pack(_planes(x))) for d, x in docs[i : i + 500]])
+@kept_for_stage
+def _token_forms(ranks_path: str) -> tuple[pa.Array, pa.Array]:
+    """Each id's decimal form with a comma, and its bytes."""
+    table = token_table(ranks_path)
+    size = 1 + max(table.values())
+    of = dict(zip(table.values(), table))
+    return pa.array([b"%d," % i for i in range(size)], pa.binary()), pa.array([of.get(i, b"") for i in range(size)], pa.binary())
+
+
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    return over
+
+def _joined(forms: pa.Array, ids: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """Of the words at `ranks` in a row, the forms of their ids as one run of bytes, and where each begins."""
+    taken = forms.take(pa.array(ids))
+    words = _binary(np.diff(offsets_of(taken).astype(np.int64)[ends]), data_of(taken)).take(pa.array(ranks))
+    return memoryview(np.ascontiguousarray(data_of(words))), offsets_of(words).astype(np.int64)
 
 
 def _assemble(ranks_path: str):
-    def over(batches):
-        table = token_table(ranks_path)
-        token_bytes = dict(zip(table.values(), table))
-        block, check, ids, lengths = None, None, [], []
-        written = raws = sizes = None
-        for batch in batches:
-            out = []
-            for b, kind, seq, doc, payload in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5))):
-                if b != block:
-                    block, check, ids, lengths = b, seq, [], []
-                if seq != check:
-                    raise RuntimeError("the two passes over the texts formed different blocks")
-                if kind == IDS:
-                    n, x, bin_ = _unpack(payload, 3)
-                    ids.append((int(np.frombuffer(bin_, "<i8")[0]), _numbers(n), _numbers(x)))
-                elif kind == SPELLING:
-                    ids.sort(key=lambda x: x[0])
-                    n = np.concatenate([x[1] for x in ids]) if ids else np.zeros(0, np.uint32)
-                    flat = (np.concatenate([x[2] for x in ids]) if ids else np.zeros(0, np.uint32)).tolist()
-                    ends = np.cumsum(n).tolist()
-                    words = [flat[i:j] for i, j in zip([0, *ends], ends)]
-                    per, refs = map(_numbers, _unpack(payload, 2))
-                    refs, at, written, raws, sizes = refs.tolist(), 0, [], [], np.zeros(len(per), np.int64)
-                    for i, k in enumerate(per.tolist()):
-                        mine = words[refs[at]] if k == 1 else [t for r in refs[at : at + k] for t in words[r]]
-                        at += k
-                        sizes[i] = len(mine)
-                        written.append(("%d," * len(mine) % tuple(mine)).encode())
-                        raws.append(b"".join(map(token_bytes.__getitem__, mine)))
-                    ids = []
-                else:
-                    x = _numbers(_unpack(payload, 1)[0])
-                    where = x.tolist()
-                    text = b"".join(map(written.__getitem__, where))[:-1]
-                    out.append((doc, int(sizes[x].sum()), hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join(map(raws.__getitem__, where))).hexdigest()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def over(ids: pa.Table, docs: pa.Table) -> pa.Table:
+        forms, raws = _token_forms(ranks_path)
+        packs = [_unpack(x, 2) for _, x in sorted(zip(ids.column("bin").to_pylist(), ids.column("ids").to_pylist()))]
+        tokens = np.concatenate([_numbers(x) for _, x in packs]) if packs else np.zeros(0, np.uint32)
+        sizes = np.concatenate([_numbers(n) for n, _ in packs]).astype(np.int64) if packs else np.zeros(0, np.int64)
+        ends, out = np.append(0, np.cumsum(sizes)), []
+        for payload in docs.column("docs").to_pylist():
+            doc, valid, bounds, ranks = _unpack(payload, 4)
+            ranks, bounds = _numbers(ranks).astype(np.int64), np.frombuffer(bounds, "<i8").tolist()
+            total = np.append(0, np.cumsum(sizes[ranks]))
+            text, at = _joined(forms, tokens, ends, ranks)
+            written = [hashlib.sha256(text[at[i] : max(at[i], at[j] - 1)]).hexdigest() for i, j in zip(bounds, bounds[1:])]
+            text, at = _joined(raws, tokens, ends, ranks)
+            decoded = [hashlib.sha256(text[at[i] : at[j]]).hexdigest() for i, j in zip(bounds, bounds[1:])]
+            doc = [d if v else None for d, v in zip(np.frombuffer(doc, "<i8").tolist(), valid)]
+            out.append(pa.table([pa.array(doc, pa.int64()), pa.array([int(total[j] - total[i]) for i, j in zip(bounds, bounds[1:])], pa.int64()), pa.array(written, pa.string()), pa.array(decoded, pa.string())], schema=RESULT))
+        give_back()
+        return pa.concat_tables(out) if out else RESULT.empty_table()
 
     return over
 
 
 def op9_byte_bpe(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """One row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    texts, bins = docs.select("doc_id", "text", F.spark_partition_id().alias("part")), shuffle_partitions(spark)
-    words = map_arrow(texts, lambda: _send_words(pattern, bins), KEYED).repartition(bins, "bin").sortWithinPartitions("bin")
-    ids = map_arrow(words, lambda: _encode_words(ranks_path, pattern), KEYED)
-    positions = map_arrow(texts, lambda: _send_positions(pattern, bins), KEYED)
-    dealt = ids.union(positions).repartition(bins, "block").sortWithinPartitions("block", "kind")
-    return map_arrow(dealt, lambda: _assemble(ranks_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    from pyspark.sql import functions as F
+
+    bins, buckets, name = bins_for(docs.select("text")), shuffle_partitions(spark), f"word_blocks_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({BLOCKS}) USING parquet CLUSTERED BY (block) SORTED BY (block) INTO {buckets} BUCKETS LOCATION '{shared_path(spark, 'word-blocks')}'")
+    texts = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    map_arrow(texts, lambda: _take_apart(bins), BLOCKS).write.insertInto(name)
+    blocks = spark.table(name)
+    words = blocks.where("bin >= 0").select("block", "bin", "words").repartitionById(buckets, "bin").sortWithinPartitions("bin", "block")
+    ids = map_arrow(words, lambda: _encode_words(ranks_path, pattern), "block long, bin int, ids binary")
+    assemble = _assemble(ranks_path)
+    placed = blocks.where("bin = -1").select("block", "docs").groupBy("block")
+    out = ids.groupBy("block").cogroup(placed).applyInArrow(lambda x, y: assemble(x, y), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay, and the plan knows them
+    return out

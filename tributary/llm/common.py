@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,6 +47,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """What the optimizer takes df's size to be: files' sizes where it is a scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bins_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
+    """Bins to deal df's content over: as many as there are shuffle partitions, or more where the input asks for it."""
+    return min(max(shuffle_partitions(df.sparkSession), -(-input_bytes(df) // bytes_each)), 1 << 20)
+
+
 def hot_threshold(total_rows: int) -> int:
     """Rows from which a key counts as hot: there can't be more than MAX_HOT_KEYS such keys."""
     return max(MIN_HOT_ROWS, total_rows // MAX_HOT_KEYS + 1)
@@ -63,11 +75,43 @@ def join_by_class(rows: DataFrame, classes: DataFrame, key: str, size: str, tota
     return tagged.join(cold, "_k", "left").select(*rows.columns, *(F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in values))
 
 
+_kept: list[Callable[[], None]] = []
+_stage: list[int] = [-1]
+
+
+def kept_for_stage(make: Callable):
+    """A cache of one entry that a worker keeps from task to task of a stage, and drops when it begins another stage."""
+    cached = functools.lru_cache(maxsize=1)(make)
+    _kept.append(cached.cache_clear)
+    return cached
+
+
+def _begin_task() -> None:
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    if task is not None and task.stageId() != _stage[0]:
+        for clear in _kept:
+            clear()
+        _stage[0] = task.stageId()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as idle workers stay beside those at work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], schema) -> DataFrame:
     """mapInArrow; `make` runs once in each task and returns the function over its batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin_task()
+        give_back()
         yield from make()(batches)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import map_arrow, materialise, small_batches
-from tributary.llm.encoding import spaced_encoder
+from tributary.llm.encoding import WINDOW_BYTES, spaced_encoder
 
 CAPACITY = 1024
 #: Schemes tried, as (groups, share of the capacity above which a length is large); the plan with the fewest bins wins.
@@ -36,16 +36,17 @@ def _cut(path: str, end_id: int, capacity: int):
     def over(batches):
         from pyspark import TaskContext
 
-        part, seen, encoder, end = TaskContext.get().partitionId(), defaultdict(int), spaced_encoder(path), np.array([end_id], "<u4").tobytes()
-        for b in small_batches(batches, "text"):
+        part, seen, encoder = TaskContext.get().partitionId(), defaultdict(int), spaced_encoder(path)
+        for b in small_batches(batches, "text", WINDOW_BYTES):
+            ids, bounds = encoder.encode(b.column(1), end_id)
+            data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             cols: list[list] = [[] for _ in range(6)]
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()])):
-                ids += end
-                n, at = len(ids) // 4, 0
+            for doc, begin, end in zip(b.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                n, at = end - begin, 0
                 first = n % capacity or capacity
                 for k in range(-(-n // capacity)):
                     size = min(n, first if k == 0 else capacity)
-                    for c, v in zip(cols, (doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), seen[size])):
+                    for c, v in zip(cols, (doc, k, at, size, zlib.crc32(data[4 * (begin + at) : 4 * (begin + at + size)]), seen[size])):
                         c.append(v)
                     seen[size] += 1
                     at += size

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import map_arrow, shared_path, shuffle_partitions, small_batches
-from tributary.llm.encoding import word_encoder
+from tributary.llm.encoding import WINDOW_BYTES, word_encoder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
@@ -32,22 +32,21 @@ def _encode(path: str, end_id: int):
 
         part, start = TaskContext.get().partitionId(), 0
         encoder = word_encoder(path)
-        for b in small_batches(batches, "text"):
-            data = [x + end for x in encoder.encode([t or "" for t in b.column(1).to_pylist()])]
-            n = np.fromiter((len(x) // 4 for x in data), np.int64, len(data))
-            ends = np.cumsum(n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column(0), pa.array(start + ends - n), pa.array(n), lists], ["part", "doc_id", "local_start", "n_tokens", "ids"])
-            start += int(ends[-1])
-
-    end = np.array([end_id], "<u4").tobytes()
+        for b in small_batches(batches, "text", WINDOW_BYTES):
+            ids, bounds = encoder.encode(b.column(1), end_id)
+            n = np.diff(bounds)
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column(0), pa.array(start + bounds[:-1]), pa.array(n), lists], ["part", "doc_id", "local_start", "n_tokens", "ids"])
+            start += int(bounds[-1])
+
     return over
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 1, parts: int | None = None) -> None:
     """Encodes whole texts, appends end_id to each, and writes them to `out` in doc_id order, range by range."""
     spark = docs.sparkSession
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    # The text's hash deals rows of one doc_id, or of none, over several parts.
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts or shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     encoded = map_arrow(ordered, lambda: _encode(tokenizer_path, end_id), "part int, doc_id long, local_start long, n_tokens long, ids array<int>")
     (
         encoded.write.option("parquet.writer.version", "PARQUET_2_0")
