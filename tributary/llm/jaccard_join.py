@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import join_by_class, map_arrow, materialise, shuffle_partitions, small_batches
+from tributary.llm.common import bins_for, join_by_class, map_arrow, materialise, shuffle_partitions, small_batches
 from tributary.llm.shingles import mix, shingle_sets
 
 #: Sets up to this size use one-deletion neighbourhoods.
@@ -49,6 +49,8 @@ HOT_LOCAL, HOT_KEPT = 16, 3
 BROADCAST_IDS = 1_000_000
 OWN, PROBE, LOW, PAST = 1, 2, 4, 8
 SKETCH_BITS = 512
+#: Signatures of a block; a worker takes some 60 bytes for each.
+BLOCK_SIGNATURES = 2_000_000
 SKETCH = [f"o{i}" for i in range(SKETCH_BITS // 64)]
 _BANDS = [1]
 while _BANDS[-1] < 1 << 31:
@@ -137,7 +139,7 @@ def _classify(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(odd.T))], ["doc_id", "n", "fp", *SKETCH])
 
 
-def _emit(bins: int, most: int = 6_000_000):
+def _emit(bins: int, most: int = BLOCK_SIGNATURES):
     """Signatures packed by bin; a pack has each set once, with how many of its signatures follow.
 
     Signatures that many sets of the block share are known to be shared already: only a few of them go to the bin,
@@ -148,8 +150,8 @@ def _emit(bins: int, most: int = 6_000_000):
     def packed(held):
         fp, n, f_own, f_low = (np.array(x) for x in zip(*held["docs"]))
         sig, flag = np.concatenate(held["sig"]), np.concatenate(held["flag"])
-        doc = np.repeat(np.arange(len(fp)), held["count"])
-        bin_ = (sig % np.uint64(bins)).astype(np.int64)
+        doc = np.repeat(np.arange(len(fp), dtype=np.int32), held["count"])
+        bin_ = (sig % np.uint64(bins)).astype(np.int32)
         order = np.lexsort((-(flag & (OWN | PROBE)).astype(np.int64), sig))
         first = np.flatnonzero(np.concatenate(([True], sig[order][1:] != sig[order][:-1])))
         size = np.diff([*first, len(sig)])
@@ -158,7 +160,7 @@ def _emit(bins: int, most: int = 6_000_000):
         past = (np.repeat(size, size) >= HOT_LOCAL) & (place >= HOT_KEPT - 1) & (place < np.repeat(size, size) - 1)
         past = order[past]
         flag[past] |= PAST
-        bin_[past] = (fp[doc[past]] % np.uint64(bins)).astype(np.int64)
+        bin_[past] = (fp[doc[past]] % np.uint64(bins)).astype(np.int32)
         order = np.argsort(bin_, kind="stable")
         ends = np.searchsorted(bin_[order], np.arange(bins + 1))
         z = zstandard.ZstdCompressor(level=1)
@@ -328,11 +330,12 @@ def link(docs: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     spark = docs.sparkSession
-    texts, bins = docs.select("doc_id", "text"), shuffle_partitions(spark)
+    texts, parts = docs.select("doc_id", "text"), shuffle_partitions(spark)
+    bins = parts * -(-bins_for(docs.select("text")) // parts)  # a bin is held whole, so there are as many as the input asks for
     sets = materialise(map_arrow(texts, lambda: _classify, "doc_id long, n long, fp long, " + ", ".join(f"{o} long" for o in SKETCH)), "sets")
     total = sets.count()
     classes = materialise(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), *(F.max(o).alias(o) for o in SKETCH)), "classes")
-    packs = map_arrow(docs.select("text"), lambda: _emit(bins), "bin int, payload binary").repartition(bins, "bin").sortWithinPartitions("bin")
+    packs = map_arrow(docs.select("text"), lambda: _emit(bins), "bin int, payload binary").repartitionById(parts, "bin").sortWithinPartitions("bin")
     shared = materialise(map_arrow(packs, lambda: _shared, "sig long, fp long, n long, f int, flag int, g long"), "shared")
     labels = components(link(texts, shared, classes), "components")
     smallest = labels.join(classes, "fp").groupBy("label").agg(F.min("doc_id").alias("component_id"))
