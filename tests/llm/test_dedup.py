@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import texts
 from tests.oracle import differences, views
@@ -82,11 +83,42 @@ def test_the_index_outlives_a_batch_and_a_repeat(spark, tmp_path):
     assert again.rows().count() == 4
 
 
+def test_batches_of_a_whole_table_equal_brute_force(spark, sf, docs, tmp_path):
+    index, seen, rows = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4), {}, texts(docs)
+    for b in range(3):
+        part = docs.where(F.pmod("doc_id", F.lit(3)) == b)
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup_batch(part, index, str(b)).collect()}
+        mine = defaultdict(list)
+        for i, t in rows:
+            if i % 3 == b:
+                mine[t].append(i)
+        for t, ids in mine.items():
+            old = t in seen
+            keep, size = seen.setdefault(t, (max(ids), len(ids)))
+            assert all(got[i] == (keep, size, i == keep and not old) for i in ids)
+        assert len(got) == sum(map(len, mine.values()))
+    assert index.rows().count() == len(seen)
+    joins = exact_dedup.dedup_batch(docs, index, "9")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in joins or "Broadcast" in joins
+    index.close()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_columns_of_any_name_travel_beside_decisions(spark):
+    names = "digest keep_id group_size batch kept doc _k".split()
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string").select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    got = exact_dedup.keep_last(df, spark)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text, *(r[n] for n in names)) for r in got.collect()) == [(i, t, *(f"{n}{i}" for n in names)) for i, t in ((2, "a"), (3, "b"))]
+
+
 def test_shingle_sets_are_exact():
     rnd = random.Random(2)
     items = [rnd.choice(["", " ", "\t"]) + rnd.choice((" ", "\n\n", "\x0b")).join(rnd.choice("ab A É x　y".split(" ")) for _ in range(rnd.randint(0, 30))) for _ in range(400)]
     assert [len(s) for s in shingle_sets(items)] == [len(shingles(t)) for t in items]
     sets = shingle_sets(items)
+    for window in (1, 40):
+        assert all((a == b).all() for a, b in zip(sets, shingle_sets(items, window=window), strict=True))
     for i in range(0, 400, 3):
         for j in range(i + 1, 400, 7):
             assert len(np.intersect1d(sets[i], sets[j])) == len(shingles(items[i]) & shingles(items[j]))

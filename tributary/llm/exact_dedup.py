@@ -6,15 +6,16 @@ shuffle of the index, and the rest are appended.
 
 Null text counts as empty. Texts are equal when identical. Of equal texts in a batch the largest doc_id stays (a null
 doc_id is smaller than any); texts that an earlier batch brought are all dropped, and their keep_id is the earlier
-one's. Rows that repeat both doc_id and text share their decision. An empty table gives no rows. Columns other than
-doc_id and text are ignored. Adding a batch again, say after a crash, gives the same decisions.
+one's. Rows that repeat both doc_id and text share their decision. An empty table gives no rows. Decisions rest on
+doc_id and text alone; documents travel beside them in a struct, so their columns may have any names. Adding a batch
+again, say after a crash, gives the same decisions.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import join_by_class, shared_path, shuffle_partitions
@@ -23,12 +24,18 @@ SCHEMA = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING"
 
 
 class DigestIndex:
-    """An index at `path`, which any later session can open; `buckets` must not change over its life."""
+    """An index at `path`, which any later session can open; `buckets` must not change over its life.
+
+    While it is open, a table of the session's catalogue stands for it; close() takes that away and leaves the files.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int) -> None:
         self.spark, self.buckets, self.name = spark, buckets, f"digest_index_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.name} ({SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -43,22 +50,30 @@ class DigestIndex:
         fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
 
     def decide(self, keyed: DataFrame, batch: str) -> DataFrame:
-        """keyed with keep_id, group_size (rows with that text in the batch that brought it) and kept."""
+        """keyed (doc_id, digest, and at most `doc`) with keep_id, group_size (rows with that text in the batch that brought it), batch and kept."""
         total = self.rows().agg(F.sum("group_size")).first()[0] or 0
         spread = F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
         joined = join_by_class(keyed, self.rows(), "digest", "group_size", total, spread)
         return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch))
 
 
-def with_digest(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("digest", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
-    """Adds docs to the index; all columns of docs with digest, keep_id, group_size, batch, kept."""
-    keyed = with_digest(docs)
-    index.append(keyed.select("doc_id", "digest"), batch)
-    return index.decide(keyed, batch)
+    """Adds docs to the index; doc (a struct of all columns of docs), doc_id, digest, keep_id, group_size, batch, kept."""
+    digest = digest_of(F.col("text"))
+    index.append(docs.select("doc_id", digest.alias("digest")), batch)
+    return index.decide(docs.select(F.struct("*").alias("doc"), "doc_id", digest.alias("digest")), batch)
+
+
+def keep_last(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """docs, all columns, without the rows whose text another with a larger doc_id has."""
+    index = new_index(spark)
+    kept = dedup_batch(docs, index, "all").where("kept").select("doc.*")
+    index.close()
+    return kept
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
@@ -67,8 +82,11 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 def op2_exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
-    decided = dedup_batch(docs.select("doc_id", "text"), new_index(spark), "all")
-    return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    index, keyed = new_index(spark), docs.select("doc_id", digest_of(F.col("text")).alias("digest"))
+    index.append(keyed, "all")
+    decided = index.decide(keyed, "all").select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    index.close()
+    return decided
 
 
 ORACLE_SQL = """
