@@ -26,8 +26,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    decided = exact_dedup.dedup_batch(docs, exact_dedup.new_index(spark), "all")
-    return decided.where("kept").select(*docs.columns)
+    return exact_dedup.keep_last(docs, spark)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
