@@ -44,6 +44,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op8_chat(spark, table(spark, sf_dir, "conversations"))
 
 
+def chat_with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator over a table with calls, results, schemas and dependencies, made of all conversations."""
+    return chat.op8_chat(spark, chat.with_calls(table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op7_language_id(spark, table(spark, sf_dir, "documents"))
 
@@ -59,8 +64,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_pii, op4_jaccard_join, op5_vector_search, op6_quality, op7_language_id, op8_chat, op9_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_pii, op4_jaccard_join, op5_vector_search, op6_quality, op7_language_id, op8_chat, op9_byte_bpe, op10_packing, chat_with_calls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_vector_search": vector_search.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_vector_search": vector_search.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "chat_with_calls": chat.CALLS_SQL}
