@@ -13,8 +13,10 @@ Columns other than doc_id and text are ignored (redact() keeps them). Offsets co
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 
@@ -28,15 +30,18 @@ from tributary.llm import boosting
 from tributary.llm.common import map_arrow, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-# The base patterns of the contract.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The base patterns of the contract. Where a pattern as it stands would try each place of a long run anew, it is
+# searched from what it must hold: addresses from their sign, runs of digits from their first digit, without going back.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 ANYTHING = re.compile(r"[0-9@]|\(at\)|\[at\]", re.I)
+SIGN = re.compile(r"@|\(at\)|\[at\]", re.I)
+BEFORE_SIGN, AFTER_SIGN = re.compile(r"[\w.+-]{1,64} ?\Z"), re.compile(r" ?[\w-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z][\w-]{0,62})+", re.I)
 GENERATORS = (
-    ("email", re.compile(r"[\w.+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[\w-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z][\w-]{0,62})+", re.I)),
     ("ip", re.compile(r"(?<![\w:])(?:[0-9a-f]{1,4}:){3,7}[0-9a-f]{1,4}(?![\w:])", re.I)),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{2,6}){2,4}(?![0-9])")),
     ("phone", re.compile(r"(?<![\w.+])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,4}(?![\w])")),
@@ -70,11 +75,24 @@ def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
 
+def addresses(text: str) -> list[tuple[int, str, int]]:
+    """Matches of the email pattern, leftmost and apart, in one pass: each sign with the longest run of local characters before it."""
+    out: list[tuple[int, str, int]] = []
+    at, free = text.find("@"), 0  # what is before `free` is a match's or another sign's
+    while at >= 0:
+        head = text[free:at]
+        start = free + len(head.rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, "email", m.end()))
+        free = m.end() if m else at + 1
+        at = text.find("@", free)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) by the base patterns, failing matches dropped."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), "email", m.end()) for m in EMAIL.finditer(text)]
+    out = addresses(text)
     out += [(m.start(), "ip", m.end()) for m in IP.finditer(text) if all(map(_byte, m.group().split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -87,7 +105,12 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, str, int]]:
-    return [(m.start(), kind, m.end()) for kind, pattern in GENERATORS for m in pattern.finditer(text)]
+    out = []
+    for sign in SIGN.finditer(text):
+        before, after = BEFORE_SIGN.search(text[max(0, sign.start() - 65) : sign.start()]), AFTER_SIGN.match(text, sign.end())
+        if before and after:
+            out.append((sign.start() - (before.end() - before.start()), "email", after.end()))
+    return out + [(m.start(), kind, m.end()) for kind, pattern in GENERATORS for m in pattern.finditer(text)]
 
 
 def describe(text: str, start: int, kind: str, end: int) -> list[int]:
@@ -149,16 +172,29 @@ def find(text: str, model=None) -> tuple[list[tuple[int, str, int]], list[tuple[
     if not ANYTHING.search(text):
         return [], []
     base = base_spans(text)
-    offered = [c for c in dict.fromkeys(candidates(text)) if not any(c[0] < e and s < c[2] for s, _, e in base)]
+    starts, reach = [x[0] for x in base], list(itertools.accumulate((x[2] for x in base), max))
+    offered = [c for c in dict.fromkeys(candidates(text)) if not (i := bisect.bisect_left(starts, c[2])) or reach[i - 1] <= c[0]]
     if not offered:
         return base, base
     trees, bars = model or learn()
-    p = trees.probability(np.clip(np.array([describe(text, *c) for c in offered]), 0, boosting.BINS - 1))
-    added: list[tuple[int, str, int]] = []
-    for score, c in sorted(zip(p.tolist(), offered), key=lambda x: (-x[0], x[1])):
-        if score >= bars[c[1]] and not any(c[0] < e and s < c[2] for s, _, e in added):
-            added.append(c)
-    return base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[1])))
+    added: list[tuple[int, int]] = []
+    kinds: dict[int, str] = {}
+    for score, c in sorted(zip(_judged(trees, text, offered), offered), key=lambda x: (-x[0], x[1])):
+        if score >= bars[c[1]]:
+            i = bisect.bisect_left(added, (c[0], c[2]))
+            if (not i or added[i - 1][1] <= c[0]) and (i == len(added) or added[i][0] >= c[2]):
+                added.insert(i, (c[0], c[2]))
+                kinds[c[0]] = c[1]
+    return base, sorted([*base, *((s, kinds[s], e) for s, e in added)], key=lambda x: (x[0], KINDS.index(x[1])))
+
+
+def _judged(trees, text: str, offered: list[tuple[int, str, int]]) -> list[float]:
+    """Probabilities of candidates, some thousands at a time."""
+    out: list[float] = []
+    for i in range(0, len(offered), 5_000):
+        x = np.array([describe(text, *c) for c in offered[i : i + 5_000]])
+        out += trees.probability(np.clip(x, 0, boosting.BINS - 1)).tolist()
+    return out
 
 
 def written(spans: list[tuple[int, str, int]]) -> str:
