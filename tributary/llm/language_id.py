@@ -13,6 +13,7 @@ learnt from, every text is `und`. Rows that repeat a doc_id each get a row. Colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ from tributary.llm.common import map_arrow, small_batches
 BUCKETS = 1 << 16
 #: At most about so many labelled documents are learnt from, chosen by a hash of doc_id.
 MAX_LEARN = 20_000
+#: Characters whose features are held at once.
+WINDOW_CHARS = 4 << 20
 #: What leaving a language costs, in nats.
 SWITCH = 14.0
 #: A language uses a script if it has this share of its letters.
@@ -42,16 +45,25 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
+def _hashed(b: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the letter bytes of b, of each with its neighbours, and where these letters are."""
+    at = np.flatnonzero(letter)
+    clean = np.where(letter, b, 32).astype(np.uint32)
+    return (clean[at - 1] * np.uint32(0x9E3779B1) ^ clean[at] * np.uint32(0x85EBCA6B) ^ clean[at + 1] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(16), at
+
+
+def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in lower case as bytes, a space before each and after all, and where each begins."""
+    raw = [b" " + t.lower().encode() for t in texts]
+    return np.frombuffer(b"".join([*raw, b" "]), np.uint8), np.cumsum([0, *map(len, raw[:-1])]) if raw else np.zeros(0, int)
+
+
 def features(texts: list[str]):
     """Of the texts together: feature of each letter byte, first letter of each word, its script, first word of each text."""
-    raw = [b" " + t.lower().encode() for t in texts]
-    b = np.frombuffer(b"".join([*raw, b" "]), np.uint8)
+    b, starts = _bytes(texts)
     letter = _LETTER[b]
-    at = np.flatnonzero(letter)
-    clean = np.where(letter, b, 32).astype(np.uint32)
-    bucket = (clean[at - 1] * np.uint32(0x9E3779B1) ^ clean[at] * np.uint32(0x85EBCA6B) ^ clean[at + 1] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(16)
+    bucket, at = _hashed(b, letter)
     words = np.flatnonzero(~letter[at - 1]) if len(at) else at
-    starts = np.cumsum([0, *map(len, raw[:-1])]) if raw else np.zeros(0, int)
     return bucket, words, _SCRIPT[b[at[words]]], np.searchsorted(at[words], starts)
 
 
@@ -109,15 +121,68 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
-def label(model: Model, texts: list[str], switch: float = SWITCH) -> list[tuple[str, float, str]]:
-    """For each text its language, score and spans (language:first word-end word, comma-joined)."""
-    bucket, words, script, first = features(texts)
+def _pieces(texts: list[str], window: int) -> Iterator[tuple[list[str], list[int]]]:
+    """The texts, long ones cut at spaces, in groups of about `window` characters; and each piece's text."""
+    group, owner, held = [], [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t) or not t:
+            stop = t.find(" ", at + window) if len(t) - at > window else -1
+            stop = len(t) if stop < 0 else stop
+            group.append(t[at:stop]), owner.append(i)
+            held, at = held + stop - at, stop
+            if held >= window:
+                yield group, owner
+                group, owner, held = [], [], 0
+            if not t:
+                break
+    if group:
+        yield group, owner
+
+
+def distinct_scores(model: "Model", words: pa.Array) -> np.ndarray:
+    """Scores by language of words given as bytes of letters alone; they depend on nothing else."""
+    n = len(words)
+    ends, data = np.frombuffer(words.buffers()[1], np.int32)[: n + 1].astype(np.int64), np.frombuffer(words.buffers()[2], np.uint8)
+    b = np.full(len(data) + n + 1, 32, np.uint8)
+    b[np.arange(ends[-1]) + np.repeat(np.arange(1, n + 1), np.diff(ends))] = data[: ends[-1]]
+    bucket, _ = _hashed(b, _LETTER[b])
+    return np.add.reduceat(model.score[bucket], ends[:-1], axis=0).astype(np.float64) - model.bar[_SCRIPT[data[ends[:-1]]]]
+
+
+def word_scores(model: Model, texts: list[str], window: int = WINDOW_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts together: scores of each word by language, its letters, and the first word of each text.
+
+    A window's words are numbered first, and each distinct one is scored once.
+    """
+    scores, letters, count = [np.zeros((0, len(model.langs)))], [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+    for group, owner in _pieces(texts, window):
+        b, starts = _bytes(group)
+        letter = _LETTER[b]
+        edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        begin, size = edge[0::2], edge[1::2] - edge[0::2]
+        if len(begin):
+            offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+            coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(b[letter])]).dictionary_encode()
+            scores.append(distinct_scores(model, coded.dictionary)[coded.indices.to_numpy()])
+            letters.append(size)
+            np.add.at(count, owner, np.diff(np.append(np.searchsorted(begin, starts), len(begin))))
+    return np.concatenate(scores), np.concatenate(letters), np.append(0, np.cumsum(count))[:-1]
+
+
+def label(model: Model, texts: list[str], switch: float = SWITCH, window: int = WINDOW_CHARS) -> list[tuple[str, float, str]]:
+    """For each text its language, score and spans (language:first word-end word, comma-joined).
+
+    Letters are taken in windows: besides one of these, a text needs some 100 bytes for each of its words.
+    """
     k = len(model.langs)
     out = [("und", 0.0, "")] * len(texts)
-    if not k or not len(words):
+    if not k:
+        return out
+    w, letters, first = word_scores(model, texts, window)
+    words = letters
+    if not len(words):
         return out
-    w = np.add.reduceat(model.score[bucket], words, axis=0).astype(np.float64) - model.bar[script]
-    letters = np.diff([*words, len(bucket)])
     ends = [*first[1:], len(words)]
     some = np.flatnonzero(np.array(ends) > first)
     starts = first[some]
@@ -152,7 +217,7 @@ def label(model: Model, texts: list[str], switch: float = SWITCH) -> list[tuple[
 
 def _predict(model: Model):
     def over(batches):
-        for b in small_batches(batches, "text", 1 << 20):
+        for b in small_batches(batches, "text", WINDOW_CHARS):
             found = label(model, [t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, kind) for c, kind in zip(zip(*found), (pa.string(), pa.float64(), pa.string())))], ["doc_id", "held_out", "lang_pred", "score", "spans"])
 
@@ -165,10 +230,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def _known(model: Model, least: float):
     def over(batches):
-        for b in batches:
+        for b in small_batches(batches, "text", WINDOW_CHARS):
             texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            keep = [lang != "und" and score >= least for part in range(0, len(texts), 200) for lang, score, _ in label(model, texts[part : part + 200])]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in label(model, texts)], pa.bool_()))
 
     return over
 
