@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions.ranks import count_values, order_statistics, value_ranks
+
 AGREED, FIRST_CONFIDENCE, SECOND_CONFIDENCE, FIRST_MARGIN, SECOND_FALLBACK = "agreed", "first-confidence", "second-confidence", "first-margin", "second-fallback"
 DECILES = tuple(i / 10 for i in range(1, 10))
 
@@ -50,14 +52,19 @@ def confidences(decided: DataFrame) -> DataFrame:
     """branch, class, n, mean and deciles of each branch's confidence."""
     sides = F.array(*(F.struct(F.lit(s).alias("branch"), F.col(f"{s}_class").alias("class"), F.col(f"{s}_confidence").alias("c")) for s in ("first", "second")))
     long = decided.select(F.inline(sides)).where("c is not null")
-    out = long.groupBy("branch", "class").agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean"), F.percentile("c", F.array(*(F.lit(q) for q in DECILES))).alias("q"))
-    return out.select("branch", "class", "n", "mean", *(F.get("q", F.lit(i)).alias(f"p{10 * (i + 1)}") for i in range(9)))
+    ranked = value_ranks(count_values(long, ["branch", "class"], "c"), ["branch", "class"], "value", "n")
+    sums = ranked.groupBy("branch", "class").agg(F.sum("n").alias("n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    tenths = order_statistics(ranked, ["branch", "class"], DECILES).groupBy(F.col("branch").alias("_b"), F.col("class").alias("_c")).agg(F.map_from_entries(F.collect_list(F.struct("q", "value"))).alias("q"))
+    out = sums.join(F.broadcast(tenths), (F.col("branch") == F.col("_b")) & F.col("class").eqNullSafe(F.col("_c")))
+    return out.select("branch", "class", "n", "mean", *(F.try_element_at("q", F.lit(i)).alias(f"p{10 * (i + 1)}") for i in range(9)))
 
 
 def refuse_unknown_classes(labelled: DataFrame, space: set[str]) -> None:
-    found = {r[0] for r in labelled.select("label_class").distinct().limit(1000).collect()}
-    if found - space:
-        raise ValueError(f"classes outside the label space: {sorted(map(str, found - space))}")
+    """All classes are looked at; the message names ten of those that are beyond the space."""
+    beyond = labelled.select("label_class").distinct().where(F.col("label_class").isNull() | ~F.col("label_class").isin(*space, ""))
+    found = [str(r[0]) for r in beyond.orderBy("label_class").limit(10).collect()]
+    if found:
+        raise ValueError(f"classes outside the label space: {found}")
 
 
 def refuse_duplicates(df: DataFrame, key: str = "uid") -> None:

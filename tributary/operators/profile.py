@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.functions import ranks
 from tributary.functions.exprs import bin_counts, col, count_where, histogram_bin, log1p_clamped, ratio
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -126,20 +127,29 @@ def null_counts(df: DataFrame, ruler: Ruler) -> DataFrame:
 
 def quantiles(df: DataFrame, ruler: Ruler, exact: bool = True) -> DataFrame:
     p = project(df, ruler)
-    q = F.array(*(F.lit(v) for v in QUANTILES))
-    of = (lambda x: F.percentile(x, q)) if exact else (lambda x: F.percentile_approx(x, list(QUANTILES), 10_000))
-    wide = p.groupBy(ruler.group).agg(*(of(col(f.name)).alias(f.name) for f in ruler.features))
+    if exact:  # every value of every group and feature, so one without any value has no rows
+        found = ranks.quantiles(ranks.to_long(p, [f.name for f in ruler.features], [ruler.group]), [ruler.group, "feature"], "value", QUANTILES)
+        names = p.select(ruler.group).distinct().select(ruler.group, F.explode(F.array(*(F.lit(f.name) for f in ruler.features))).alias("feature"))
+        grid = names.select(ruler.group, "feature", F.explode(F.array(*(F.lit(i) for i in range(len(QUANTILES))))).alias("q"))
+        same = grid[ruler.group].eqNullSafe(found[ruler.group]) & (grid["feature"] == found["feature"]) & (grid["q"] == found["q"])
+        return grid.join(found, same, "left").select(grid[ruler.group], grid["feature"], grid["q"], found["value"])
+    wide = p.groupBy(ruler.group).agg(*(F.percentile_approx(col(f.name), list(QUANTILES), 10_000).alias(f.name) for f in ruler.features))
     rows = F.array(*(F.struct(F.lit(f.name).alias("feature"), col(f.name).alias("v")) for f in ruler.features))
     return wide.select(ruler.group, F.inline(rows)).select(ruler.group, "feature", F.posexplode("v").alias("q", "value"))
 
 
 def value_counts(df: DataFrame, ruler: Ruler, top: int = TOP_K) -> DataFrame:
-    """group, column, value, count of the most frequent values; the rest of a column is folded into `(other)`."""
-    long = df.select(ruler.group, F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(col(c).cast("string"), F.lit("(null)")).alias("value")) for c in ruler.categorical))))
+    """group, column, value, count of the most frequent values; the rest of a column is folded into `(other)`.
+
+    The rest is a column's total less its top, so no task ever holds or sorts all values of a column.
+    """
+    long = df.select(col(ruler.group), F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(col(c).cast("string"), F.lit("(null)")).alias("value")) for c in ruler.categorical))))
     counted = long.groupBy(ruler.group, "column", "value").agg(F.count(F.lit(1)).alias("count"))
     rank = F.row_number().over(Window.partitionBy(ruler.group, "column").orderBy(F.desc("count"), "value"))
-    named = counted.withColumn("value", F.when(rank <= top, F.col("value")).otherwise("(other)"))
-    return named.groupBy(ruler.group, "column", "value").agg(F.sum("count").alias("count"))
+    first = counted.withColumn("r", rank).where(F.col("r") <= top).drop("r")
+    sums = counted.groupBy(ruler.group, "column").agg(F.sum("count").alias("count"))
+    rest = sums.select(ruler.group, "column", F.lit("(other)").alias("value"), "count").union(first.select(ruler.group, "column", F.lit("(other)"), -F.col("count")))
+    return first.union(rest).groupBy(ruler.group, "column", "value").agg(F.sum("count").alias("count")).where("count > 0")
 
 
 def distinct_counts(df: DataFrame, ruler: Ruler, exact: bool = False) -> DataFrame:
@@ -177,6 +187,9 @@ def joint_histograms(df: DataFrame, ruler: Ruler, pairs: Sequence[tuple[str, str
     """group, a, b, cell (bin of a * 1000 + bin of b), count; rows where either is null are in none."""
     names = [f.name for f in ruler.features]
     pairs = list(pairs or combinations(names, 2))
+    stride = 1 + max(len(f.edges) for f in ruler.features)
+    if stride > CELL:
+        raise ValueError(f"a ruler of {stride} bins does not fit cells of {CELL}")
     used = [n for n in names if any(n in p for p in pairs)]
     binned = project(df, ruler).select(ruler.group, *(F.coalesce(histogram_bin(col(f.name), f.edges), F.lit(-1)).alias(f.name) for f in ruler.features if f.name in used))
 
@@ -187,25 +200,25 @@ def joint_histograms(df: DataFrame, ruler: Ruler, pairs: Sequence[tuple[str, str
                 x = {n: part[n].to_numpy(np.int64) for n in used}
                 for k, (a, b) in enumerate(pairs):
                     fine = (x[a] >= 0) & (x[b] >= 0)
-                    n = np.bincount(x[a][fine] * 64 + x[b][fine], minlength=64 * 64)
+                    n = np.bincount(x[a][fine] * stride + x[b][fine], minlength=stride * stride)
                     held[g, k] = held.get((g, k), 0) + n
         for (g, k), n in held.items():
             at = np.flatnonzero(n)
-            yield pd.DataFrame({"g": g, "k": k, "cell": at // 64 * CELL + at % 64, "n": n[at]})
+            yield pd.DataFrame({"g": g, "k": k, "cell": at // stride * CELL + at % stride, "n": n[at]})
 
     counted = binned.mapInPandas(over, "g string, k int, cell long, n long").groupBy("g", "k", "cell").agg(F.sum("n").alias("count"))
     first, second = (F.array(*(F.lit(p[i]) for p in pairs)) for i in (0, 1))
     return counted.select(F.col("g").alias(ruler.group), F.get(first, "k").alias("a"), F.get(second, "k").alias("b"), "cell", "count")
 
 
-def profile(df: DataFrame, ruler: Ruler | None = None) -> dict:
-    """The whole profile as one JSON-like document; df is read from memory after the first pass."""
+def profile(df: DataFrame, ruler: Ruler | None = None, view: str | None = None) -> dict:
+    """The whole profile as one JSON-like document; df is read from memory after the first pass. view: its population."""
     ruler, skipped = (ruler or Ruler()).bind(df)
     df = df.persist()
     try:
         rows = lambda d: [r.asDict() for r in d.collect()]
         return {
-            "version": 3, "skipped_features": skipped, "group": ruler.group, "edges": {f.name: list(f.edges) for f in ruler.features}, "log": {f.name: f.log for f in ruler.features},
+            "version": 3, "view": view, "skipped_features": skipped, "group": ruler.group, "edges": {f.name: list(f.edges) for f in ruler.features}, "log": {f.name: f.log for f in ruler.features},
             "moments": rows(moments(df, ruler)), "hist": rows(histograms(df, ruler)), "nulls": rows(null_counts(df, ruler)), "categorical": rows(value_counts(df, ruler)),
             "distinct": rows(distinct_counts(df, ruler)), "pairs": rows(pair_products(df, ruler)), "joint": rows(joint_histograms(df, ruler)),
         }

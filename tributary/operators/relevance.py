@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.ranks import distributed_ntile, to_long, value_ranks
+from tributary.functions.ranks import binned_counts, to_long, value_ranks
+from tributary.sources.scratch import materialise
 
 BINS, DOMAIN_HIGH = 20, 0.75
+#: A count for each domain is kept beside each value; more domains than this are refused.
+MAX_DOMAINS = 1_000
 
 
 def _information(cells: DataFrame) -> DataFrame:
@@ -27,11 +30,11 @@ def mutual_information(df: DataFrame, numeric: Sequence[str], categorical: Seque
     """Of all features at once; numeric ones in bins of equal frequency (ties by key), null in a bin of its own."""
     cells = []
     if numeric:
-        cells.append(distributed_ntile(df, numeric, key, bins, [label]).select("feature", F.col("bin").cast("string").alias("b"), F.col(label).alias("y")))
+        cells.append(binned_counts(df, numeric, key, bins, label).select("feature", F.col("bin").cast("string").alias("b"), F.col(label).alias("y"), "n"))
     if categorical:
-        cells.append(to_long(df, categorical, [label], "string").select("feature", F.coalesce("value", F.lit("__null")).alias("b"), F.col(label).alias("y")))
-    both = cells[0].union(cells[1]) if len(cells) == 2 else cells[0]
-    return _information(both.groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n")))
+        long = to_long(df, categorical, [label], "string").select("feature", F.coalesce("value", F.lit("__null")).alias("b"), F.col(label).alias("y"))
+        cells.append(long.groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n")))
+    return _information(cells[0].union(cells[1]) if len(cells) == 2 else cells[0])
 
 
 def _auc(ranked: DataFrame) -> DataFrame:
@@ -58,30 +61,33 @@ def domain_auc(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
 
 
 def worst_domain_auc(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], domain: str) -> DataFrame:
-    """The most identifiable domain's AUC of each feature. Numeric values are ranked once for all domains."""
-    names = [r[0] for r in df.select(domain).distinct().orderBy(domain).limit(1000).collect()]
+    """The most identifiable domain's AUC of each feature. Values are counted and ranked once for all domains."""
+    names = [r[0] for r in df.select(domain).distinct().orderBy(domain).limit(MAX_DOMAINS + 1).collect()]
+    if len(names) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains: {domain} is no domain")
     if len(names) < 2:
         return domain_auc(df, numeric, categorical, F.col(domain) == names[0]).select("feature", F.lit(None).cast("double").alias("auc"))
-    out = None
+    per = [F.count_if(F.col(domain) == d).alias(f"_d{i}") for i, d in enumerate(names)]
+    each = F.posexplode(F.array(*(F.col(f"_d{i}") for i in range(len(names))))).alias("_d", "n_pos")
+    found = []
     if numeric:
-        counted = to_long(df, numeric, [domain]).where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(domain) == d).alias(f"_d{i}") for i, d in enumerate(names)))
-        ranked = value_ranks(counted, ["feature"], "value", "n")
-        each = ranked.select("feature", "before", "n", F.posexplode(F.array(*(F.col(f"_d{i}") for i in range(len(names))))).alias("_d", "n_pos"))
-        out = _auc(each.withColumn("feature", F.struct("feature", "_d"))).select("feature.feature", "auc")
-    if categorical:
-        for d in names:
-            part = domain_auc(df, (), categorical, F.col(domain) == d)
-            out = part if out is None else out.union(part)
-    return out.groupBy("feature").agg(F.max("auc").alias("auc"))
+        counted = to_long(df, numeric, [domain]).where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), *per)
+        found.append(value_ranks(counted, ["feature"], "value", "n").select("feature", "before", "n", each))
+    if categorical:  # a value's score differs by domain, so ranks do
+        counted = to_long(df, categorical, [domain], "string").where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), *per)
+        rated = counted.select("feature", "n", each).groupBy("feature", "_d", (F.col("n_pos") / F.col("n")).alias("s")).agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"))
+        found.append(value_ranks(rated, ["feature", "_d"], "s", "n").select("feature", "before", "n", "_d", "n_pos"))
+    both = found[0].union(found[1]) if len(found) == 2 else found[0]
+    return _auc(both.withColumn("feature", F.struct("feature", "_d"))).groupBy("feature.feature").agg(F.max("auc").alias("auc"))
 
 
 def decide(measured: DataFrame) -> DataFrame:
     """feature, mi, relevance, auc, verdict: keep, drop, hold or unmeasured; the cut is the median relevance."""
-    measured = measured.persist()  # a row for each feature, used twice
-    cut = measured.where("auc is not null").agg(F.coalesce(F.median("relevance"), F.lit(0.0)).alias("cut"))
-    high, useful = F.col("auc") > DOMAIN_HIGH, F.col("relevance") >= F.col("cut")
+    measured = materialise(measured, "relevance")  # a row for each feature, used twice
+    cut = measured.where("auc is not null").agg(F.coalesce(F.median("relevance"), F.lit(0.0)).alias("cut")).first().cut
+    high, useful = F.col("auc") > DOMAIN_HIGH, F.col("relevance") >= F.lit(cut)
     verdict = F.when(F.col("auc").isNull(), "unmeasured").when(high & ~useful, "drop").when(high & useful, "hold").otherwise("keep")
-    return measured.join(F.broadcast(cut)).select("feature", "mi", "relevance", "auc", verdict.alias("verdict"))
+    return measured.select("feature", "mi", "relevance", "auc", verdict.alias("verdict"))
 
 
 def analyse(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str = "label_class", domain: str = "dataset", key: str = "uid") -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.exprs import col, count_where, log_magnitude, sample_kurtosis, sample_skewness
-from tributary.functions.ranks import to_long, value_ranks
+from tributary.functions.ranks import quantiles, to_long, value_ranks
+from tributary.sources.scratch import materialise
 
 DOMINANT, NULL_SHARE, CORRELATION = 0.99, 0.50, 0.90
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -43,18 +44,22 @@ def preflight(df: DataFrame, needed: Sequence[str]) -> None:
 
 
 def shape(df: DataFrame, columns: Sequence[str], log: bool = False, exact: bool = True) -> DataFrame:
-    """feature, n, lo, hi, mean, std, skewness, kurtosis, q01 .. q99: one pass over all columns.
+    """feature, n, lo, hi, mean, std, skewness, kurtosis, q01 .. q99.
 
-    Exact quantiles keep a count for each distinct value; where these are too many, exact=False bounds the memory.
+    Moments come from one pass; exact quantiles from ranked counts by value, approximate ones from a sketch in the same pass.
     """
-    long = to_long(df, columns)
     x = log_magnitude(F.col("value")) if log else F.col("value")
-    q = F.percentile("x", F.array(*(F.lit(q) for q in QUANTILES))) if exact else F.percentile_approx("x", list(QUANTILES), 10_000)
-    out = long.withColumn("x", x).groupBy("feature").agg(
+    long = to_long(df, columns).select("feature", x.alias("x"))
+    q = [] if exact else [F.percentile_approx("x", list(QUANTILES), 10_000).alias("q")]
+    out = long.groupBy("feature").agg(
         F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
-        sample_skewness(F.col("x")).alias("skewness"), sample_kurtosis(F.col("x")).alias("kurtosis"), q.alias("q"),
+        sample_skewness(F.col("x")).alias("skewness"), sample_kurtosis(F.col("x")).alias("kurtosis"), *q,
     )
-    return out.select(*out.columns[:-1], *(F.get("q", F.lit(i)).alias(f"q{round(100 * q):02d}") for i, q in enumerate(QUANTILES)))
+    if exact:
+        found = quantiles(long, ["feature"], "x", QUANTILES).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("q", "value"))).alias("q"))
+        out = out.join(F.broadcast(found), "feature", "left")
+    at = (lambda i: F.try_element_at("q", F.lit(i))) if exact else (lambda i: F.get("q", F.lit(i)))
+    return out.select(*out.columns[:-1], *(at(i).alias(f"q{round(100 * q):02d}") for i, q in enumerate(QUANTILES)))
 
 
 def dominant(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -108,7 +113,7 @@ def rank_columns(df: DataFrame, columns: Sequence[str], key: str = "uid") -> Dat
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str], key: str = "uid") -> DataFrame:
     """Rank correlations; key names each row."""
-    return pearson_pairs(rank_columns(df, columns, key).persist(), columns)
+    return pearson_pairs(materialise(rank_columns(df, columns, key), "rank-columns"), columns)
 
 
 def verdicts(df: DataFrame, columns: Sequence[str], indicated: Sequence[str] = ()) -> DataFrame:
@@ -154,10 +159,10 @@ def standardisation(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[fl
     return {c: (round(r[f"m_{c}"] or 0.0, DIGITS), round(r[f"s_{c}"] or 0.0, DIGITS)) for c in columns}
 
 
-def suggested_phi(df: DataFrame, target: str) -> float | None:
-    """What a constraint's residual is weighed by: a share of the target's usual size."""
-    m = df.agg(F.percentile(col(target), 0.5).alias("m")).first().m
-    return round(PHI_RATIO / abs(m), DIGITS) if m else None
+def suggested_phis(df: DataFrame, targets: Sequence[str]) -> dict[str, float | None]:
+    """What each constraint's residual is weighed by: a share of its target's usual size. All medians come from one job."""
+    found = {r.feature: r.value for r in quantiles(to_long(df, targets), ["feature"], "value", [0.5]).collect()}
+    return {t: round(PHI_RATIO / abs(found[t]), DIGITS) if found.get(t) else None for t in targets}
 
 
 def screen(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), indicated: Sequence[str] = (), key: str = "uid") -> dict:
