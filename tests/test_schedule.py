@@ -52,6 +52,42 @@ def test_no_windows_is_refused(spark):
         s.match(table(spark, []), [])
 
 
+def test_no_victims_and_any_peer_are_told_apart(spark, monkeypatch):
+    rows = [flow("x", 1, "1.1.1.1", "2.2.2.2")]
+    anyone, none = (s.Window(0, "a", "b", 0.0, 9.0, ("1.1.1.1",), v) for v in (None, ()))
+    for most in (200, 0):
+        monkeypatch.setattr(s, "MAX_INLINE", most)
+        assert claimed(spark, [anyone], rows) == {"x": (0, 1)} and claimed(spark, [none], rows) == {}
+        assert claimed(spark, [s.Window(0, "a", "b", 0.0, 9.0, (), ("2.2.2.2",))], rows) == {}
+
+
+def test_prefixes_offsets_and_clocks_are_strict():
+    with pytest.raises(ValueError, match="dot"):
+        s.Window(0, "a", "b", 0.0, 1.0, ("x",), None, "192.168.10")
+    assert [s.offset_hours(x) for x in ("-03:00", "+05:30", "00:00")] == [-3.0, 5.5, 0.0]
+    for bad in ("-3", "UTC", "", "3", "+24:00", "-03:00:00"):
+        with pytest.raises(ValueError):
+            s.offset_hours(bad)
+    with pytest.raises(ValueError):
+        s.to_epoch("2017-07-04", "09:20:30", 0.0)
+    entry = {"name": "A", "date": "2017-07-04", "start": "09:20", "end": "10:20", "attacker_ips": ["1.1.1.1"], "victim_subnet": "10.0.0.0/16"}
+    with pytest.raises(ValueError, match="/24"):
+        s.manifest_windows({"utc_offset": "-03:00", "attacks": [entry]})
+
+
+def test_many_windows_keep_each_row_whatever_its_uid(spark, monkeypatch):
+    windows = [s.Window(i, f"w{i}", "k", 100.0 * i, 100.0 * i + 150, ("10.0.0.1",)) for i in range(20)] + [s.Window(20, "year", "k", 0.0, 3.2e7, None, ("7.7.7.7",))]
+    rows = [flow(None, 120, "10.0.0.1", "x"), flow("a", 120, "10.0.0.1", "x"), flow("a", 120, "10.0.0.1", "x"), flow("a", 990, "z", "z"), flow("b", 3.1e7, "q", "7.7.7.7"), flow("c", 130, None, None)]
+    df = table(spark, rows).withColumn("bucket", F.lit("mine")).withColumn("rules", F.lit(1))
+    want = sorted(map(str, s.match(df, windows).collect()))
+    monkeypatch.setattr(s, "MAX_INLINE", 5)
+    for most in (100_000, 10):
+        monkeypatch.setattr(s, "MAX_ENTRIES", most)
+        got = s.match(df, windows)
+        assert sorted(map(str, got.collect())) == want and got.columns == [*df.columns, "rid", "nrules"] and len(want) == 6
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_execution_is_three_valued(spark):
     rows = [flow("ran", 150, "10.0.0.1", "10.0.0.2", 5), flow("tried", 150, "10.0.0.1", "10.0.0.2", 0), flow("unknown", 150, "10.0.0.1", "10.0.0.2", None), flow("benign", 1, "10.0.0.1", "10.0.0.2", 5)]
     got = {r.uid: (r.label_executed, r.label_class) for r in s.label(table(spark, rows), [ATTACK]).collect()}

@@ -12,6 +12,8 @@ from tributary.functions.exprs import bucket_of, count_where
 
 FLOOR, CAP, THIN = 200, 2_000, 30
 TOLERANCE, CONTEXT_SECONDS, CONTEXT_LIMIT = 2.0, 600.0, 20
+#: Seconds of the shortest time buckets, and how many lengths there are, each four times the last; the longest has no end.
+FINEST, LEVELS = 8.0, 11
 OFFSETS, MIN_ALERTS, MARGIN = (0, -1, -2, -3, -4, -5), 20, 1.5
 
 
@@ -69,11 +71,29 @@ def agreement(methods: dict[str, DataFrame]) -> DataFrame:
     return wide.agg(F.array(*pairs).alias("r")).select(F.inline("r"))
 
 
+def _pair(a: str, b: str) -> tuple:
+    """Two hosts in a fixed order; null where either is, as F.least would name one host twice."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    return F.when(both, F.least(a, b)).alias("_a"), F.when(both, F.greatest(a, b)).alias("_b")
+
+
 def _directed(flows: DataFrame, alerts: DataFrame, columns: Sequence[str], start, end) -> DataFrame:
-    """Flow-alert pairs of the same two hosts in either order, alert inside [start, end]: one equi-join on the ordered pair."""
-    f = flows.select(*columns, F.least("orig_h", "resp_h").alias("_a"), F.greatest("orig_h", "resp_h").alias("_b"), start.alias("_from"), end.alias("_to"))
-    a = alerts.select(F.least("src_ip", "dest_ip").alias("_a"), F.greatest("src_ip", "dest_ip").alias("_b"), F.col("ts").alias("alert_ts"), "signature")
-    return f.join(a, ["_a", "_b"]).where((F.col("alert_ts") >= F.col("_from")) & (F.col("alert_ts") <= F.col("_to")))
+    """Flow-alert pairs of the same two hosts in either order, alert inside [start, end].
+
+    The equi-join is on the ordered pair and a time bucket, so a host pair that floods for days is many keys. A flow's
+    level is the first whose buckets are as long as its span, so it lies in two at most; an alert goes into one bucket of
+    each level. A pair meets once, as the alert has one bucket of the flow's level.
+    """
+    f = flows.select(*columns, *_pair("orig_h", "resp_h"), start.alias("_from"), end.alias("_to"))
+    wide, level = F.lit(float("inf")), F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        fits = F.col("_to") - F.col("_from") <= FINEST * 4.0**k
+        wide, level = F.when(fits, F.lit(FINEST * 4.0**k)).otherwise(wide), F.when(fits, F.lit(k)).otherwise(level)
+    at = lambda t, w: F.floor(t / w)
+    f = f.withColumn("_level", level).withColumn("_slot", F.explode(F.array_distinct(F.array(at(F.col("_from"), wide), at(F.col("_to"), wide)))))
+    places = F.array(*(F.struct(F.lit(k).alias("_level"), at(F.col("ts"), F.lit(FINEST * 4.0**k if k < LEVELS - 1 else float("inf"))).alias("_slot")) for k in range(LEVELS)))
+    a = alerts.select(*_pair("src_ip", "dest_ip"), F.col("ts").alias("alert_ts"), "signature", F.inline(places))
+    return f.join(a, ["_a", "_b", "_level", "_slot"]).where((F.col("alert_ts") >= F.col("_from")) & (F.col("alert_ts") <= F.col("_to")))
 
 
 def corroborate(labelled: DataFrame, alerts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -118,11 +138,28 @@ def offset_verdict(counts: dict[int, int], alerts: int) -> tuple[int | None, boo
 
 
 def neighbours(flows: DataFrame, chosen: DataFrame, window: float = CONTEXT_SECONDS, limit: int = CONTEXT_LIMIT) -> DataFrame:
-    """The flows of the same capture and two hosts nearest in time to each chosen one."""
-    pair = (F.least("orig_h", "resp_h").alias("_a"), F.greatest("orig_h", "resp_h").alias("_b"))
-    c = chosen.select(F.col("uid").alias("candidate_uid"), F.col("ts").alias("candidate_ts"), "capture", *pair)
-    f = flows.select("*", *pair)
+    """The flows of the same capture and two hosts nearest in time to each chosen one.
+
+    Time goes in buckets as long as the window: a chosen flow looks into its own and the two beside it.
+    """
+    pair, slot = _pair("orig_h", "resp_h"), F.floor(F.col("ts") / float(window))
+    c = chosen.select(F.col("uid").alias("candidate_uid"), F.col("ts").alias("candidate_ts"), "capture", *pair, F.explode(F.array(slot - 1, slot, slot + 1)).alias("_slot"))
+    f = flows.select("*", *pair, slot.alias("_slot"))
     near = F.abs(F.col("ts") - F.col("candidate_ts"))
-    met = f.join(F.broadcast(c) if chosen.limit(CAP + 1).count() <= CAP else c, ["capture", "_a", "_b"]).where((near <= window) & (F.col("uid") != F.col("candidate_uid")))
+    met = f.join(F.broadcast(c) if chosen.limit(CAP + 1).count() <= CAP else c, ["capture", "_a", "_b", "_slot"]).where((near <= window) & (F.col("uid") != F.col("candidate_uid")))
     rank = F.row_number().over(Window.partitionBy("candidate_uid").orderBy(near, "uid"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= limit).drop("_a", "_b", "candidate_ts")
+    return met.withColumn("rank", rank).where(F.col("rank") <= limit).drop("_a", "_b", "_slot", "candidate_ts")
+
+
+def adjudication_rows(candidates: DataFrame, alerts: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """candidates with oracle_alerted, oracle_signature and the two columns that an analyst fills in.
+
+    Without an alert log the evidence is null, as nothing was asked; with one, a flow without alerts says false.
+    """
+    if alerts is None:
+        out = candidates.withColumns({"oracle_alerted": F.lit(None).cast("boolean"), "oracle_signature": F.lit(None).cast("string")})
+    else:
+        start, end = F.col("ts") - tolerance, F.col("ts") + F.coalesce("duration", F.lit(0.0)) + tolerance
+        hit = _directed(candidates, alerts, ["uid"], start, end).groupBy("uid").agg(F.lit(True).alias("_hit"), F.min("signature").alias("oracle_signature"))
+        out = candidates.join(hit, "uid", "left").withColumn("oracle_alerted", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return out.withColumns({"analyst_class": F.lit(None).cast("string"), "analyst_note": F.lit(None).cast("string")})

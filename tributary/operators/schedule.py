@@ -6,6 +6,7 @@ windows, so labelling needs no shuffle at all: the lowest rule that claims the f
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
@@ -19,13 +20,18 @@ BENIGN, CERTAIN, UNCERTAIN, OUT_OF_SPACE = "benign", "certain", "uncertain", "ou
 #: A window covers its last minute whole, unless the next one starts there.
 LAST_MINUTE = 60.0
 BURST_SECONDS, BURST_FLOWS, BURST_SHARE, VICTIM_SHARE = 600, 10_000, 0.005, 0.9
-#: Windows past this many are joined by time bucket instead of being held in each row's expression.
+#: Windows past this many come by a broadcast table of time buckets instead of being held in each row's expression.
 MAX_INLINE = 200
+#: Buckets grow until the broadcast table has at most so many entries, or twice as many as there are windows.
+MAX_ENTRIES = 100_000
 
 
 @dataclass(frozen=True)
 class Window:
-    """[t0, t1) with the endpoints it claims; quarantine regions are windows whose `kind` is the reason."""
+    """[t0, t1) with the endpoints it claims; quarantine regions are windows whose `kind` is the reason.
+
+    No victims (None) means any peer; an empty list of them is met by no peer.
+    """
 
     rid: int
     name: str
@@ -38,29 +44,33 @@ class Window:
     needs_payload: bool = False
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "attackers", tuple(self.attackers) if self.attackers else None)
-        object.__setattr__(self, "victims", tuple(self.victims) if self.victims else None)
+        object.__setattr__(self, "attackers", None if self.attackers is None else tuple(self.attackers))
+        object.__setattr__(self, "victims", None if self.victims is None else tuple(self.victims))
+        if self.subnet_prefix and not self.subnet_prefix.endswith("."):
+            raise ValueError(f"window {self.name!r}: prefix {self.subnet_prefix!r} without a last dot would take in other subnets")
         if not (self.attackers or self.victims or self.subnet_prefix):
             raise ValueError(f"window {self.name!r} has no endpoint: it would claim every flow in its span")
         if self.t1 <= self.t0:
             raise ValueError(f"window {self.name!r} ends before it starts")
 
 
+_OFFSET = re.compile(r"([+-]?)([0-9]{1,2}):([0-9]{2})")
+
+
 def offset_hours(text: str) -> float:
-    """'+02:00', '-3', 'UTC' as hours."""
-    text = text.strip().upper().removeprefix("UTC") or "0"
-    sign, body = (-1 if text[0] == "-" else 1), text.lstrip("+-")
-    hours, _, minutes = body.partition(":")
-    value = sign * (int(hours) + int(minutes or 0) / 60)
-    if abs(value) > 14:
-        raise ValueError(f"offset {text!r} is beyond 14 hours")
-    return value
+    """'+02:00' or '-03:30' as hours; anything else is refused."""
+    found = _OFFSET.fullmatch(text.strip())
+    if not found:
+        raise ValueError(f"{text!r} is no UTC offset of the form -03:00")
+    value = int(found[2]) + int(found[3]) / 60
+    if value >= 24:
+        raise ValueError(f"offset {text!r} is a day or more")
+    return -value if found[1] == "-" else value
 
 
 def to_epoch(date: str, clock: str, offset: float) -> float:
-    """Local wall-clock time as epoch seconds."""
-    local = datetime.strptime(f"{date} {clock}", "%Y-%m-%d %H:%M:%S" if clock.count(":") == 2 else "%Y-%m-%d %H:%M")
-    return (local - timedelta(hours=offset)).replace(tzinfo=timezone.utc).timestamp()
+    """Local wall-clock time, to the minute, as epoch seconds. Seconds are refused: ends are extended by a minute."""
+    return (datetime.strptime(f"{date} {clock}", "%Y-%m-%d %H:%M") - timedelta(hours=offset)).replace(tzinfo=timezone.utc).timestamp()
 
 
 def extend_windows(windows: Sequence[Window], stops: Sequence[float] | None = None) -> tuple[Window, ...]:
@@ -87,8 +97,10 @@ def _built(entries: Sequence[dict], manifest: dict, name: str, kinds: dict[str,
         try:
             date, offset = _when(a, manifest)
             subnet = a.get("victim_subnet")
+            if subnet and not subnet.endswith("/24"):
+                raise ValueError(f"subnet {subnet!r}: only /24 can be told by a prefix")
             prefix = ".".join(subnet.split("/")[0].split(".")[:3]) + "." if subnet else None
-            out.append(Window(i, a[name], kinds.get(a[name], a[name]), to_epoch(date, str(a["start"]), offset), to_epoch(date, str(a["end"]), offset), a.get("attacker_ips"), a.get("victim_ips"), prefix, a[name] in payload))
+            out.append(Window(i, a[name], kinds.get(a[name], a[name]), to_epoch(date, str(a["start"]), offset), to_epoch(date, str(a["end"]), offset), a.get("attacker_ips") or None, a.get("victim_ips") or None, prefix, a[name] in payload))
         except (KeyError, ValueError) as e:
             errors.append(f"attack {i}: {e!r}" if isinstance(e, KeyError) else f"attack {i}: {e}")
     if errors:
@@ -114,9 +126,9 @@ def manifest_regions(manifest: dict) -> tuple[Window, ...]:
 
 
 def _victim(w: Window, host: Column) -> Column:
-    if not w.victims and not w.subnet_prefix:
+    if w.victims is None and not w.subnet_prefix:
         return F.lit(True)
-    tests = [host.isin(*w.victims)] if w.victims else []
+    tests = [host.isin(*w.victims)] if w.victims else [F.lit(False)]
     tests += [host.startswith(w.subnet_prefix)] if w.subnet_prefix else []
     return any_of([F.coalesce(t, F.lit(False)) for t in tests])
 
@@ -124,7 +136,7 @@ def _victim(w: Window, host: Column) -> Column:
 def claims(w: Window, ts: str = "ts", orig: str = "orig_h", resp: str = "resp_h") -> Column:
     """Whether a window claims a flow: inside [t0, t1), endpoints in either direction."""
     o, r = col(orig), col(resp)
-    if w.attackers:
+    if w.attackers is not None:
         ends = (o.isin(*w.attackers) & _victim(w, r)) | (r.isin(*w.attackers) & _victim(w, o))
     elif w.victims:
         ends = o.isin(*w.victims) | r.isin(*w.victims)
@@ -141,25 +153,46 @@ def match(flows: DataFrame, windows: Sequence[Window], prefix: str = "", **names
         return _match_by_time(flows, windows, prefix, **names)
     ordered = sorted(windows, key=lambda w: w.rid)
     hits = F.array_compact(F.array(*(F.when(claims(w, **names), F.lit(w.rid)) for w in ordered)))
-    out = flows.withColumn("_hits", hits)
-    return out.select(*flows.columns, F.get("_hits", F.lit(0)).alias(f"{prefix}rid"), F.size("_hits").cast("long").alias(f"{prefix}nrules"))
+    return _with_hits(flows, flows, hits, prefix)
+
+
+def _with_hits(flows: DataFrame, source: DataFrame, hits: Column, prefix: str) -> DataFrame:
+    held = _unused("hits", flows)
+    out = source.withColumn(held, hits)
+    return out.select(*(col(c) for c in flows.columns), F.get(col(held), F.lit(0)).alias(f"{prefix}rid"), F.size(col(held)).cast("long").alias(f"{prefix}nrules"))
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 def _match_by_time(flows: DataFrame, windows: Sequence[Window], prefix: str, ts: str = "ts", orig: str = "orig_h", resp: str = "resp_h") -> DataFrame:
-    """The same through an equi-join on ten-minute buckets, for schedules too long for one expression."""
-    spark = flows.sparkSession
-    rows = [(w.rid, w.t0, w.t1, list(w.attackers) if w.attackers else None, list(w.victims) if w.victims else None, w.subnet_prefix) for w in windows]
-    rules = spark.createDataFrame(rows, "rid int, t0 double, t1 double, atk array<string>, vic array<string>, pfx string")
-    spans = F.explode(F.sequence(F.floor(F.col("t0") / BURST_SECONDS), F.floor(F.col("t1") / BURST_SECONDS)))
-    rules = rules.withColumn("_bucket", spans)
-    keyed = flows.withColumn("_bucket", F.floor(col(ts) / BURST_SECONDS))
+    """The same for schedules too long for one expression: each flow meets the one row of its time bucket, which holds
+    the windows that touch it. Every flow stays a row of its own, so repeated or null uids do no harm."""
+    width = BURST_SECONDS
+    while sum(int(w.t1 // width) - int(w.t0 // width) + 1 for w in windows) > max(MAX_ENTRIES, 2 * len(windows)):
+        width *= 2
+    rules: dict[int, list] = {}
+    for w in sorted(windows, key=lambda w: w.rid):
+        row = (w.rid, w.t0, w.t1, None if w.attackers is None else list(w.attackers), None if w.victims is None else list(w.victims), w.subnet_prefix)
+        for bucket in range(int(w.t0 // width), int(w.t1 // width) + 1):
+            rules.setdefault(bucket, []).append(row)
+    bucket, held = _unused("bucket", flows), _unused("rules", flows)
+    kind = "array<struct<rid: int, t0: double, t1: double, atk: array<string>, vic: array<string>, pfx: string>>"
+    table = flows.sparkSession.createDataFrame(list(rules.items()), f"{bucket} long, {held} {kind}")
     o, r = col(orig), col(resp)
     has = lambda c, h: F.coalesce(F.array_contains(c, h), F.lit(False))
-    vic = lambda h: (F.col("vic").isNull() & F.col("pfx").isNull()) | has(F.col("vic"), h) | F.coalesce(h.startswith(F.col("pfx")), F.lit(False))
-    ends = F.when(F.col("atk").isNotNull(), (has(F.col("atk"), o) & vic(r)) | (has(F.col("atk"), r) & vic(o))).otherwise(has(F.col("vic"), o) | has(F.col("vic"), r))
-    hits = keyed.join(F.broadcast(rules), "_bucket").where((col(ts) >= F.col("t0")) & (col(ts) < F.col("t1")) & ends)
-    won = hits.groupBy("uid").agg(F.min("rid").alias(f"{prefix}rid"), F.count(F.lit(1)).alias(f"{prefix}nrules"))
-    return flows.join(won, "uid", "left").withColumn(f"{prefix}nrules", F.coalesce(f"{prefix}nrules", F.lit(0).cast("long")))
+
+    def claim(w: Column) -> Column:
+        vic = lambda h: (w["vic"].isNull() & w["pfx"].isNull()) | has(w["vic"], h) | F.coalesce(h.startswith(w["pfx"]), F.lit(False))
+        ends = F.when(w["atk"].isNotNull(), (has(w["atk"], o) & vic(r)) | (has(w["atk"], r) & vic(o))).otherwise(has(w["vic"], o) | has(w["vic"], r))
+        return (col(ts) >= w["t0"]) & (col(ts) < w["t1"]) & ends
+
+    met = flows.withColumn(bucket, F.floor(col(ts) / width)).join(F.broadcast(table), bucket, "left")
+    hits = F.transform(F.filter(F.coalesce(col(held), F.array().cast(kind)), claim), lambda w: w["rid"])
+    return _with_hits(flows, met, hits, prefix)
 
 
 def lookup(key: Column, values: dict[int, object], kind: str = "string") -> Column:
