@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators.profile import CELL
+
 EPS = 1e-12
 THRESHOLDS = {
     # What colours a verdict.
@@ -100,25 +103,70 @@ def js_divergence(p, q) -> float | None:
 
 
 def comparable(profiles: Sequence[dict]) -> None:
-    """Profiles must be measured by one ruler."""
+    """Profiles must be measured by one ruler, and be of one population (`view`), which a profile may leave open."""
     for p in profiles[1:]:
         if p["group"] != profiles[0]["group"] or any(profiles[0]["edges"].get(f, e) != e for f, e in p["edges"].items()) or any(profiles[0]["log"].get(f, v) != v for f, v in p["log"].items()):
             raise ValueError("profiles were measured by different rulers")
+    of = sorted({p["view"] for p in profiles if p.get("view")})
+    if len(of) > 1:
+        raise ValueError(f"profiles are of different populations: {', '.join(of)}")
+
+
+def of_view(profiles: Mapping[str, dict], view: str | None = None) -> dict[str, dict]:
+    """The profiles, by name, of one population. Without one named there must be one alone; partial profiles are refused."""
+    found = sorted({p.get("view") or "" for p in profiles.values()})
+    if view is None and len(found) > 1:
+        raise ValueError(f"profiles of several populations, name one: {', '.join(x or '(none)' for x in found)}")
+    out = {n: p for n, p in profiles.items() if view is None or (p.get("view") or "") == view}
+    if not out:
+        raise ValueError(f"no profile of {view!r}; there are: {', '.join(x or '(none)' for x in found) or 'none'}")
+    part = sorted(n for n, p in out.items() if p.get("partial"))
+    if part:
+        raise ValueError(f"profiles of a sample alone: {', '.join(part)}")
+    return out
+
+
+def _empty() -> dict:
+    return {"n": 0, "numeric": {}, "pairs": Counter(), "joint": {}, "categorical": {}, "distinct": {}}
+
+
+def _add(into: dict, s: Mapping) -> None:
+    for k in ("n", "n_null", "n_zero", "sum_t", "sumsq_t"):
+        into[k] = into.get(k, 0) + s[k]
+    for k, of in (("lo", min), ("hi", max)):
+        if s.get(k) is not None:
+            into[k] = s[k] if into.get(k) is None else of(into[k], s[k])
 
 
 def view(profile: dict, benign: str = "benign") -> dict[str, dict]:
-    """A profile's classes summed into all, benign and attack: n, and for each feature its additive statistics."""
-    out = {name: {"n": 0, "numeric": {}} for name in ("all", "benign", "attack")}
+    """A profile's classes summed into all, benign and attack: rows, statistics by feature, sums of pairs, cells, values.
+
+    All of it adds up, but for numbers of distinct values, of which the largest class's is a lower bound.
+    """
+    out, group = {name: _empty() for name in ("all", "benign", "attack")}, profile["group"]
+    sides = lambda r: (out["all"], out["benign" if r[group] == benign else "attack"])
+    counted = set()
     for r in profile["moments"]:
-        for name in ("all", "benign" if r[profile["group"]] == benign else "attack"):
-            s = out[name]["numeric"].setdefault(r["feature"], {"n": 0, "n_null": 0, "n_zero": 0, "sum_t": 0.0, "sumsq_t": 0.0, "hist": {}})
-            for k in ("n", "n_null", "n_zero", "sum_t", "sumsq_t"):
-                s[k] += r[k]
-            out[name]["n"] = max(out[name]["n"], s["n"])
+        for v in sides(r):
+            _add(v["numeric"].setdefault(r["feature"], {"hist": Counter()}), r)
+            if r[group] not in counted:
+                v["n"] += r["n"]
+        counted.add(r[group])
     for r in profile["hist"]:
-        for name in ("all", "benign" if r[profile["group"]] == benign else "attack"):
-            h = out[name]["numeric"][r["feature"]]["hist"]
-            h[r["bin"]] = h.get(r["bin"], 0) + r["count"]
+        for v in sides(r):
+            v["numeric"][r["feature"]]["hist"][r["bin"]] += r["count"]
+    for r in profile.get("pairs", ()):
+        for v in sides(r):
+            v["pairs"][r["a"], r["b"]] += r["sum_ab"]
+    for r in profile.get("joint", ()):
+        for v in sides(r):
+            v["joint"].setdefault((r["a"], r["b"]), Counter())[r["cell"]] += r["count"]
+    for r in profile.get("categorical", ()):
+        for v in sides(r):
+            v["categorical"].setdefault(r["column"], Counter())[r["value"]] += r["count"]
+    for r in profile.get("distinct", ()):
+        for v in sides(r):
+            v["distinct"][r["column"]] = max(r["n_distinct"], v["distinct"].get(r["column"], 0))
     return out
 
 
@@ -127,17 +175,82 @@ def pool(views: Sequence[dict]) -> dict:
     out: dict[str, dict] = {}
     for v in views:
         for name, block in v.items():
-            mine = out.setdefault(name, {"n": 0, "numeric": {}})
+            mine = out.setdefault(name, _empty())
             mine["n"] += block["n"]
             for f, s in block["numeric"].items():
-                t = mine["numeric"].setdefault(f, {"n": 0, "n_null": 0, "n_zero": 0, "sum_t": 0.0, "sumsq_t": 0.0, "hist": {}})
-                for k in ("n", "n_null", "n_zero", "sum_t", "sumsq_t"):
-                    t[k] += s[k]
-                for b, n in s["hist"].items():
-                    t["hist"][b] = t["hist"].get(b, 0) + n
+                t = mine["numeric"].setdefault(f, {"hist": Counter()})
+                _add(t, s)
+                t["hist"].update(s["hist"])
+            mine["pairs"].update(block["pairs"])
+            for part in ("joint", "categorical"):
+                for k, counts in block[part].items():
+                    mine[part].setdefault(k, Counter()).update(counts)
+            for k, n in block["distinct"].items():
+                mine["distinct"][k] = max(n, mine["distinct"].get(k, 0))
+    return out
+
+
+def correlations(block: dict) -> dict[tuple[str, str], float | None]:
+    """Pearson correlation of each pair of features, from a block's sums; null where one has no spread."""
+    out, n = {}, block["n"]
+    spread = {f: s["sumsq_t"] - s["sum_t"] ** 2 / n if n else 0.0 for f, s in block["numeric"].items()}
+    for (a, b), xy in block["pairs"].items():
+        sa, sb = block["numeric"][a], block["numeric"][b]
+        flat = n < 2 or spread[a] <= EPS * sa["sumsq_t"] or spread[b] <= EPS * sb["sumsq_t"]
+        out[a, b] = None if flat else float(np.clip((xy - sa["sum_t"] * sb["sum_t"] / n) / (spread[a] * spread[b]) ** 0.5, -1, 1))
+    return out
+
+
+def rank_correlations(block: dict) -> dict[tuple[str, str], float | None]:
+    """Correlation of binned mid-quantiles of each pair, from a block's cells."""
+    place, stats = {}, {}
+    for f, s in block["numeric"].items():
+        bins = sorted(s["hist"])
+        n = np.array([s["hist"][b] for b in bins], float)
+        if n.sum() <= 0:
+            continue
+        q = (np.cumsum(n) - n / 2) / n.sum()
+        place[f], mean = dict(zip(bins, q.tolist())), float(n @ q / n.sum())
+        stats[f] = (mean, float(n @ (q * q) / n.sum()) - mean**2)
+    out = {}
+    for (a, b), cells in block["joint"].items():
+        total = sum(cells.values())
+        if total < 2 or a not in stats or b not in stats or min(stats[a][1], stats[b][1]) <= 0:
+            out[a, b] = None
+            continue
+        both = sum(n * place[a][c // CELL] * place[b][c % CELL] for c, n in cells.items()) / total
+        out[a, b] = float(np.clip((both - stats[a][0] * stats[b][0]) / (stats[a][1] * stats[b][1]) ** 0.5, -1, 1))
     return out
 
 
+def drift(mine: Mapping, theirs: Mapping, top: int = 25) -> list[dict]:
+    """The pairs whose correlation differs most between two sides."""
+    rows = [{"a": a, "b": b, "mine": r, "theirs": theirs[a, b], "change": abs(r - theirs[a, b])} for (a, b), r in mine.items() if r is not None and theirs.get((a, b)) is not None]
+    return sorted(rows, key=lambda r: (-r["change"], r["a"], r["b"]))[:top]
+
+
+def label_correlation(view: dict, feature: str) -> float | None:
+    """Correlation of a feature with being an attack, from the sums of both sides."""
+    a, b = (view[c]["numeric"].get(feature) for c in ("attack", "benign"))
+    if not a or not b or not a["n"] or not b["n"]:
+        return None
+    n, s, q = a["n"] + b["n"], a["sum_t"] + b["sum_t"], a["sumsq_t"] + b["sumsq_t"]
+    spread, share = q / n - (s / n) ** 2, a["n"] / n
+    return None if spread <= EPS * q / n else float((a["sum_t"] / a["n"] - b["sum_t"] / b["n"]) * (share * (1 - share) / spread) ** 0.5)
+
+
+def flips(mine: dict, theirs: dict) -> list[dict]:
+    """Features that point to attacks on one side and away from them on the other, on both more than a little."""
+    rows = [{"feature": f, "mine": label_correlation(mine, f), "theirs": label_correlation(theirs, f)} for f in mine["all"]["numeric"]]
+    least = THRESHOLDS["rho_meaningful"]
+    return [r for r in rows if r["mine"] is not None and r["theirs"] is not None and r["mine"] * r["theirs"] < 0 and min(abs(r["mine"]), abs(r["theirs"])) >= least]
+
+
+def _values_js(mine: Counter, theirs: Counter) -> float | None:
+    names = sorted(set(mine) | set(theirs))
+    return js_divergence([mine[x] for x in names], [theirs[x] for x in names])
+
+
 def _moments(s: dict) -> tuple[float | None, float | None]:
     if not s["n"]:
         return None, None
@@ -152,7 +265,8 @@ def _signal(a: dict, b: dict) -> float | None:
         return None
     x /= x.sum()
     y, z = x.sum(1, keepdims=True), x.sum(0, keepdims=True)
-    mi = float((x[x > 0] * np.log2((x / (y * z))[x > 0])).sum())
+    some = x > 0
+    mi = float((x[some] * np.log2(x[some] / (y * z)[some])).sum())
     return min(1.0, max(0.0, mi / float(-(y * np.log2(y)).sum())))
 
 
@@ -193,3 +307,23 @@ def compare(one: dict, rest: Sequence[dict]) -> list[dict]:
         row["verdict"] = verdict(s["n_null"] / max(1, s["n"]), v1 or 0.0, s["n_zero"] / max(1, s["n"]), row["js_benign"], row["signal"])
         out.append(row)
     return out
+
+
+def class_rows(mine: dict, theirs: dict) -> list[dict]:
+    """all, benign, attack: rows and shares of both sides."""
+    of = lambda v, c: v[c]["n"] / v["all"]["n"] if v["all"]["n"] else None
+    return [{"class": c, "n": mine[c]["n"], "share": of(mine, c), "n_theirs": theirs[c]["n"], "share_theirs": of(theirs, c)} for c in ("all", "benign", "attack")]
+
+
+def report(one: dict, rest: Sequence[dict], top: int = 25) -> dict:
+    """All that a comparison of a profile with the pool of others tells, and the mean over the others one by one."""
+    mine, others = view(one), [view(p) for p in rest]
+    theirs, each = pool(others), [compare(one, [p]) for p in rest]
+    names = [r["feature"] for r in each[0]] if each else []
+    mean = lambda xs: float(np.mean(xs)) if xs else None
+    macro = [{"feature": f} | {k: mean([r[k] for rows in each for r in rows if r["feature"] == f and r[k] is not None]) for k in ("js_all", "js_benign", "js_attack", "cohens_d")} for f in names]
+    words = [{"column": c} | {f"js_{k}": _values_js(mine[k]["categorical"].get(c, Counter()), theirs[k]["categorical"].get(c, Counter())) for k in ("all", "benign", "attack")} for c in mine["all"]["categorical"]]
+    return {
+        "classes": class_rows(mine, theirs), "features": compare(one, rest), "categorical": words, "macro": macro, "flips": flips(mine, theirs),
+        "correlation_drift": drift(correlations(mine["all"]), correlations(theirs["all"]), top), "rank_drift": drift(rank_correlations(mine["all"]), rank_correlations(theirs["all"]), top),
+    }

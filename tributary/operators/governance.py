@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tributary.operators.schedule import breadth
+
 # The columns every labelled table has.
 LABEL_SCHEMA = T.StructType([
     T.StructField("label_binary", T.BooleanType()),
@@ -110,15 +112,17 @@ LABEL_CHECKS = [
     Check("every rule claims a flow", lambda c: f"silent: {', '.join(s)}" if (s := sorted(set(c["rules"]) - set(c["claimed"]))) else None, needs=("rules", "claimed")),
     Check("uid is unique", lambda c: None if c["distinct"] == c["rows"] else f"{c['rows'] - c['distinct']} rows repeat a uid", needs=("rows", "distinct")),
     Check("counts reconcile", lambda c: None if c["attack"] + c["benign"] == c["rows"] else "attack and benign do not sum to all rows", needs=("rows", "attack", "benign")),
+    Check("rule breadth", lambda c: f"widest is {w[0]}: {w[1]} sources, {w[2]} destinations" if (w := c["widest"]) else None, False, ("widest",)),
     Check("no undeclared burst", lambda c: f"{c['suspicious']} buckets look like an attack" if c["suspicious"] else None, False, ("suspicious",)),
 ]
 
 
-def gate_context(labelled: DataFrame, rules: list[str], suspicious: int = 0) -> dict:
-    """What LABEL_CHECKS need, in two passes over the labelled table."""
+def gate_context(labelled: DataFrame, rules: list[str], suspicious: int = 0, orig: str = "orig_h", resp: str = "resp_h") -> dict:
+    """What LABEL_CHECKS need, in two passes over the labelled table. The widest rule has most sources and destinations together."""
     r = labelled.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("uid").alias("distinct"), F.count_if("label_binary").alias("attack"), F.count_if(~F.col("label_binary")).alias("benign")).first()
-    claimed = [x[0] for x in labelled.where("label_binary").select("rule").distinct().collect()]
-    return r.asDict() | {"rules": rules, "claimed": claimed, "suspicious": suspicious}
+    wide = [tuple(x) for x in breadth(labelled, orig, resp).collect()]  # a row for each rule
+    widest = min(wide, key=lambda x: (-x[1] - x[2], x[0]), default=None)
+    return r.asDict() | {"rules": rules, "claimed": [x[0] for x in wide], "suspicious": suspicious, "widest": widest}
 
 
 class Point:
@@ -172,3 +176,20 @@ class Experiment:
 
     def role(self, dataset: str) -> str:
         return self.roles.get(dataset, "unassigned")
+
+    def datasets(self, role: str) -> list[str]:
+        return sorted(d for d, r in self.roles.items() if r == role)
+
+
+def load_experiment(path: str | Path, known: Mapping[str, object] | None = None) -> Experiment:
+    """An experiment's YAML: name, datasets: {name: role, or {role, reason}}. Data sets that `known` lacks are refused."""
+    import yaml
+
+    d = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    if not d.get("datasets"):
+        raise ValueError(f"{path}: an experiment needs datasets")
+    entries = {n: v if isinstance(v, dict) else {"role": v} for n, v in d["datasets"].items()}
+    strange = sorted(set(entries) - set(known)) if known is not None else []
+    if strange:
+        raise ValueError(f"{path}: unknown data sets {strange}")
+    return Experiment(str(d.get("name") or Path(path).stem), {n: str(v.get("role", "unassigned")) for n, v in entries.items()}, {n: v["reason"] for n, v in entries.items() if v.get("reason")})

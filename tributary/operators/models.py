@@ -5,7 +5,7 @@ Training takes a bounded sample on the driver (NumPy); scoring is distributed, i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.exprs import bucket_of
+from tributary.operators.governance import Point
 from tributary.operators.vectorise import FeatureSet, project
 
 #: At most about so many rows are trained on.
@@ -36,6 +37,22 @@ class Inert:
         return np.full((len(x), classes), 1.0 / classes)
 
 
+#: Kinds of parts by name: whatever makes an encoder, a decoder and a head out of widths and a seed.
+PARTS = Point("part")
+
+
+def part(name: str):
+    """A registered kind of parts, held to the contract: rows in, as many rows of the asked width out, a network's layers inside."""
+    kind = PARTS.get(name)
+    probe = np.zeros((2, 5))
+    for role, made, width in (("encoder", kind.encoder(5, 3, 0), 3), ("decoder", kind.decoder(5, 4, 0), 4), ("head", kind.head(5, 2, 0), 2)):
+        if not isinstance(made, Network):
+            raise ValueError(f"part {name!r}: its {role} is no network")
+        if made(probe).shape != (2, width):
+            raise ValueError(f"part {name!r}: its {role} gives {made(probe).shape[1]} columns instead of {width}")
+    return kind
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -94,6 +111,63 @@ def squared(target: np.ndarray):
     return lambda z: (float(((z - target) ** 2).mean()), 2 * (z - target) / target.size)
 
 
+def reconstruction(target: np.ndarray, fs: FeatureSet, phi: Mapping[str, float] | None = None):
+    """Loss and gradient of reconstructed rows: squared error of numbers, cross entropy of flags and of each block of
+    words, and, by the weight that phi gives a constraint, the square of what its target is off from its operands.
+
+    Flags and words are reconstructed as logits. A constraint is judged in the encoded space of its target, on rows
+    where its right side is not near zero.
+    """
+    at, of = {n: i for i, n in enumerate(fs.columns())}, {f.name: f for f in fs.numeric}
+    numbers = [at[f.name] for f in fs.numeric]
+    flags = [at[f"{f.name}__missing"] for f in fs.numeric if f.indicator]
+    blocks = [[at[c] for c in f.columns()] for f in fs.categorical]
+    n = len(target)
+
+    def raw(z: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+        f = of[name]
+        v = np.clip(z[:, at[name]] * f.scale + f.centre, -15, 15)
+        return (np.expm1(v), f.scale * np.exp(v)) if f.log else (v, np.full(n, f.scale))
+
+    def grad(z: np.ndarray):
+        g, loss = np.zeros_like(z), 0.0
+        off = z[:, numbers] - target[:, numbers]
+        loss += float((off**2).mean())
+        g[:, numbers] = 2 * off / off.size
+        if flags:
+            y, x = target[:, flags], z[:, flags]
+            loss += float((np.maximum(x, 0) - x * y + np.log1p(np.exp(-np.abs(x)))).mean())
+            g[:, flags] = (1 / (1 + np.exp(-np.clip(x, -500, 500))) - y) / x.size
+        for b in blocks:
+            p = softmax(z[:, b])
+            loss += float(-(target[:, b] * np.log(np.maximum(p, 1e-12))).sum(1).mean())
+            g[:, b] = (p * target[:, b].sum(1, keepdims=True) - target[:, b]) / n
+        for c in fs.constraints:
+            weight, f = (phi or {}).get(c.name, 0.0), of[c.target]
+            if not weight:
+                continue
+            (left, dl), (right, dr) = raw(z, c.left), raw(z, c.right)
+            fine = np.abs(right) > 1e-3 if c.kind == "ratio" else np.ones(n, bool)
+            safe = np.where(fine, right, 1.0)
+            want, by_left, by_right = (left / safe, 1 / safe, -left / safe**2) if c.kind == "ratio" else (left + right, np.ones(n), np.ones(n))
+            up = want > 0 if f.log else np.ones(n, bool)
+            goal = (np.log1p(np.where(up, want, 0.0)) - f.centre) / f.scale if f.log else (want - f.centre) / f.scale
+            slope = up / (f.scale * (1 + np.where(up, want, 0.0))) if f.log else np.full(n, 1 / f.scale)
+            e = np.where(fine, z[:, at[c.target]] - goal, 0.0)
+            loss += weight * float((e**2).mean())
+            step = 2 * weight * e / n
+            g[:, at[c.target]] += step
+            g[:, at[c.left]] -= step * slope * by_left * dl
+            g[:, at[c.right]] -= step * slope * by_right * dr
+        return loss, g
+
+    return grad
+
+
+def reconstruction_error(z: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return ((z - x) ** 2).mean(1)
+
+
 def class_weights(y: np.ndarray, classes: int) -> np.ndarray:
     """Inverse frequency, 1 on average."""
     n = np.bincount(y, minlength=classes)
@@ -114,9 +188,58 @@ def train_classifier(x: np.ndarray, y: np.ndarray, classes: int, hidden: Sequenc
     return net, _epochs(net, x, lambda i: cross_entropy(y[i], w[i]), epochs, seed, rate, frozen)
 
 
-def pretrain_autoencoder(x: np.ndarray, hidden: int = 64, latent: int = 32, epochs: int = 10, seed: int = 0, rate: float = 1e-3) -> tuple[Network, list[float]]:
-    net = Network.of([x.shape[1], hidden, latent, hidden, x.shape[1]], seed)
-    return net, _epochs(net, x, lambda i: squared(x[i]), epochs, seed, rate)
+class Dense:
+    """Dense layers: an encoder and a decoder with a hidden layer each, a linear head."""
+
+    name, hidden = "dense", 64
+
+    def encoder(self, width: int, latent: int, seed: int) -> Network:
+        return Network.of([width, self.hidden, latent], seed)
+
+    def decoder(self, latent: int, width: int, seed: int) -> Network:
+        return Network.of([latent, self.hidden, width], seed + 1)
+
+    def head(self, latent: int, classes: int, seed: int) -> Network:
+        return Network.of([latent, classes], seed)
+
+
+class InertPart:
+    """One linear layer that pads or cuts: what a labeller does without learning to encode."""
+
+    name = "inert"
+
+    @staticmethod
+    def _plain(a: int, b: int) -> Network:
+        return Network([np.eye(a, b)], [np.zeros(b)])
+
+    def encoder(self, width: int, latent: int, seed: int) -> Network:
+        return self._plain(width, latent)
+
+    def decoder(self, latent: int, width: int, seed: int) -> Network:
+        return self._plain(latent, width)
+
+    def head(self, latent: int, classes: int, seed: int) -> Network:
+        return Network([np.zeros((latent, classes))], [np.zeros(classes)])
+
+
+for _kind in (Dense(), InertPart()):
+    PARTS.register(_kind)
+
+
+def joined(first: Network, second: Network) -> Network:
+    return Network([w.copy() for w in (*first.weights, *second.weights)], [b.copy() for b in (*first.biases, *second.biases)])
+
+
+def pretrain_autoencoder(x: np.ndarray, latent: int = 32, epochs: int = 10, seed: int = 0, rate: float = 1e-3, fs: FeatureSet | None = None, phi: Mapping[str, float] | None = None, kind: str = "dense") -> tuple[Network, list[float], int]:
+    """An encoder and decoder in one network, its losses, and how many of its layers encode.
+
+    With a feature set, numbers, flags, words and constraints are judged each in their own way.
+    """
+    made = part(kind)
+    encoder = made.encoder(x.shape[1], latent, seed)
+    net = joined(encoder, made.decoder(latent, x.shape[1], seed))
+    loss = (lambda i: reconstruction(x[i], fs, phi)) if fs else (lambda i: squared(x[i]))
+    return net, _epochs(net, x, loss, epochs, seed, rate), len(encoder.weights)
 
 
 @dataclass
@@ -129,13 +252,13 @@ class Branch:
     losses: list[float]
 
 
-def fit_branch(x: np.ndarray, labels: Sequence[str], seed: int = 0, epochs: int = 8) -> Branch:
+def fit_branch(x: np.ndarray, labels: Sequence[str], seed: int = 0, epochs: int = 8, fs: FeatureSet | None = None, phi: Mapping[str, float] | None = None, kind: str = "dense", latent: int = 32) -> Branch:
     classes = sorted(set(labels))
     y = np.searchsorted(classes, labels)
-    auto, losses = pretrain_autoencoder(x, seed=seed, epochs=epochs)
-    head = Network.of([auto.weights[1].shape[1], len(classes)], seed)
-    net = Network([w.copy() for w in auto.weights[:2]] + head.weights, [b.copy() for b in auto.biases[:2]] + head.biases)
-    net, frozen = train_classifier(x, y, len(classes), net=net, frozen=2, epochs=epochs, seed=seed)
+    auto, losses, encodes = pretrain_autoencoder(x, latent, epochs, seed, fs=fs, phi=phi, kind=kind)
+    encoder = Network(auto.weights[:encodes], auto.biases[:encodes])
+    net = joined(encoder, part(kind).head(latent, len(classes), seed))
+    net, frozen = train_classifier(x, y, len(classes), net=net, frozen=encodes, epochs=epochs, seed=seed)
     net, free = train_classifier(x, y, len(classes), net=net, epochs=epochs, seed=seed)
     return Branch(classes, net, auto, losses + frozen + free)
 
@@ -159,16 +282,26 @@ def predict(vectors: DataFrame, branch: Branch) -> DataFrame:
             p = softmax(branch.network(x))
             top = np.sort(p, 1)
             margin = top[:, -1] - top[:, -2] if p.shape[1] > 1 else top[:, -1]
-            yield pd.DataFrame({"uid": pdf["uid"], "label_class": np.array(branch.classes)[p.argmax(1)], "label_confidence": top[:, -1], "label_margin": margin, "recon_error": ((branch.decoder(x) - x) ** 2).mean(1)})
+            yield pd.DataFrame({"uid": pdf["uid"], "label_class": np.array(branch.classes)[p.argmax(1)], "label_confidence": top[:, -1], "label_margin": margin, "recon_error": reconstruction_error(branch.decoder(x), x)})
 
     return vectors.select("uid", "features").mapInPandas(over, "uid string, label_class string, label_confidence double, label_margin double, recon_error double")
 
 
-def out_of_fold(vectors: DataFrame, folds: int = 5, seed: str = "fold", epochs: int = 8) -> DataFrame:
-    """key, label (index), probs of every row (uid, features, label_class), by a model that did not see its fold."""
+def class_sample(vectors: DataFrame, most: int = MAX_TRAIN) -> pd.DataFrame:
+    """At most about `most` rows with as many of each class, the same on every run, in key order; no class is left out."""
+    known = vectors.where("label_class is not null")
+    classes = known.select("label_class").distinct().count()
+    return reservoirs(known, "sample", max(1, most // max(1, classes))).toPandas().sort_values("uid").reset_index(drop=True)
+
+
+def out_of_fold(vectors: DataFrame, folds: int = 5, seed: str = "fold", epochs: int = 8, most: int = MAX_TRAIN) -> DataFrame:
+    """key, label (index among the classes in order), probs of every row (uid, features, label_class), by a model that did not see its fold.
+
+    Rows without a label have none to trust and are left out.
+    """
     fold = bucket_of(seed, F.col("uid"), folds)
-    vectors = vectors.withColumn("fold", fold.cast("int"))
-    sample = bounded_sample(vectors)
+    vectors = vectors.where("label_class is not null").withColumn("fold", fold.cast("int"))
+    sample = class_sample(vectors, most)
     classes = sorted(sample["label_class"].unique())
     x, y = np.stack(sample["features"].to_numpy()), np.searchsorted(classes, sample["label_class"])
     nets = [train_classifier(x[(sample["fold"] != k).to_numpy()], y[(sample["fold"] != k).to_numpy()], len(classes), epochs=epochs, seed=k)[0] for k in range(folds)]
@@ -184,7 +317,7 @@ def out_of_fold(vectors: DataFrame, folds: int = 5, seed: str = "fold", epochs:
                 out[mine] = softmax(nets[k](x[mine]))
             yield pd.DataFrame({"key": pdf["uid"], "label": np.searchsorted(classes, pdf["label_class"]).astype(np.int32), "probs": list(out)})
 
-    return vectors.where(F.col("label_class").isin(*classes)).mapInPandas(over, "key string, label int, probs array<double>")
+    return vectors.mapInPandas(over, "key string, label int, probs array<double>")
 
 
 def reservoirs(df: DataFrame, seed: str, size: int = 4096) -> DataFrame:
@@ -232,17 +365,19 @@ def contrast(temperature: float = 0.5):
     return grad
 
 
-def fit_contrastive(x: np.ndarray, labels: Sequence[str], fs: FeatureSet | None = None, seed: int = 0, rounds: int = 3, epochs: int = 3, rate: float = 0.15, latent: int = 32, settle: float = 0.01) -> "ContrastiveBranch":
+def fit_contrastive(x: np.ndarray, labels: Sequence[str], fs: FeatureSet | None = None, seed: int = 0, rounds: int = 3, epochs: int = 3, rate: float = 0.15, latent: int = 32, settle: float = 0.01, reserve: tuple[np.ndarray, Sequence[str]] | None = None) -> "ContrastiveBranch":
     """A labeller from contrastive views: each takes columns from a donor of the row's class and keeps constraints.
 
-    After each round classes are predicted anew and donors drawn from these; it ends when few of them change.
+    Donors come from `reserve`, rows and labels of class reservoirs (see reservoirs()), else from the rows themselves. After
+    each round classes are predicted anew, of donors too; it ends when few of them change.
     """
     rng, classes = np.random.default_rng(seed), sorted(set(labels))
     y = np.searchsorted(classes, labels)
+    pool_x, held = (x, y) if reserve is None else (reserve[0], np.searchsorted(classes, reserve[1]))
     encoder, now, losses, net = Network.of([x.shape[1], 64, latent], seed), y, [], None
     fix = (lambda v: project(v, fs)) if fs else (lambda v: v)
     for _ in range(rounds):
-        donors = {k: x[now == k] for k in range(len(classes))}
+        donors = {k: pool_x[held == k] for k in range(len(classes))}
         state: dict = {}
         for _ in range(epochs):
             order, each = rng.permutation(len(x)), []
@@ -258,7 +393,7 @@ def fit_contrastive(x: np.ndarray, labels: Sequence[str], fs: FeatureSet | None
         net, _ = train_classifier(x, y, len(classes), net=net, frozen=2, epochs=epochs, seed=seed)
         net, _ = train_classifier(x, y, len(classes), net=net, epochs=epochs, seed=seed)
         new = net(x).argmax(1)
-        changed, now = float((new != now).mean()), new
+        changed, now, held = float((new != now).mean()), new, net(pool_x).argmax(1)
         if changed <= settle:
             break
     return ContrastiveBranch(classes, net, losses, rate, x[rng.permutation(len(x))[:512]])
@@ -298,3 +433,27 @@ def churn(before: DataFrame, after: DataFrame) -> DataFrame:
     """compared, changed: flows whose label differs between two rounds."""
     both = before.select("uid", F.col("label_class").alias("a")).join(after.select("uid", F.col("label_class").alias("b")), "uid")
     return both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
+
+
+class Behavioural:
+    name = "behavioural"
+
+    def label(self, vectors: DataFrame, fs: FeatureSet, **options) -> DataFrame:
+        sample = class_sample(vectors, options.pop("most", MAX_TRAIN))
+        return predict(vectors, fit_branch(np.stack(sample["features"].to_numpy()), sample["label_class"].tolist(), fs=fs, **options))
+
+
+class Contrastive:
+    name = "contrastive"
+
+    def label(self, vectors: DataFrame, fs: FeatureSet, **options) -> DataFrame:
+        sample = class_sample(vectors, options.pop("most", MAX_TRAIN))
+        held = reservoirs(vectors.where("label_class is not null"), "donors", options.pop("reservoir", 4_096)).toPandas().sort_values("uid")
+        reserve = (np.stack(held["features"].to_numpy()), held["label_class"].tolist())
+        return predict_contrastive(vectors, fit_contrastive(np.stack(sample["features"].to_numpy()), sample["label_class"].tolist(), fs, reserve=reserve, **options))
+
+
+#: Labellers by name: each labels rows (uid, features, label_class) by a model of some of them.
+LABELLERS = Point("labeller")
+for _labeller in (Behavioural(), Contrastive()):
+    LABELLERS.register(_labeller)

@@ -41,6 +41,11 @@ def valid_rows(df: DataFrame) -> DataFrame:
     return df.where(is_valid(df))
 
 
+def excluded(df: DataFrame) -> DataFrame:
+    """excluded, total: one pass over the rows that a filter on validity would read."""
+    return df.agg(F.count_if(~is_valid(df)).alias("excluded"), F.count(F.lit(1)).alias("total"))
+
+
 def violations(df: DataFrame) -> DataFrame:
     """invariant, violations, rows, share: one pass for all."""
     fits, _ = applicable(df)

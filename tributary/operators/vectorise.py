@@ -125,10 +125,20 @@ def vectors(df: DataFrame, fs: FeatureSet, carry: Sequence[str] = ("uid",)) -> D
     return df.select(*(col(c) for c in carry), F.array(*_named(fs)).alias("features"))
 
 
-def batches(df: DataFrame, fs: FeatureSet) -> Iterator[np.ndarray]:
-    """The matrix in driver-side pieces, one partition in memory at a time."""
-    for row in vectors(df, fs, ()).toLocalIterator(prefetchPartitions=False):
-        yield np.array(row.features)
+def batches(df: DataFrame, fs: FeatureSet, rows: int = 8_192) -> Iterator[np.ndarray]:
+    """The matrix as pieces of at most `rows` rows, packed by the executors; the driver holds one partition's pieces."""
+    width = len(fs.columns())
+
+    def pack(parts):
+        import pyarrow as pa
+
+        for b in parts:
+            for i in range(0, b.num_rows, rows):
+                piece = b.slice(i, rows).column(0)
+                yield pa.RecordBatch.from_arrays([pa.array([len(piece)], pa.int32()), pa.array([piece.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()], pa.binary())], ["n", "data"])
+
+    for r in vectors(df, fs, ()).mapInArrow(pack, "n int, data binary").toLocalIterator(prefetchPartitions=False):
+        yield np.frombuffer(r.data, "<f8").reshape(r.n, width)
 
 
 def clamp_counts(df: DataFrame, fs: FeatureSet) -> DataFrame:
