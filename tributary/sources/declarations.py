@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping
+import json
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -18,57 +18,57 @@ NEEDS_PAYLOAD = (
     "FTP-Patator", "SSH-Patator", "FTP-BruteForce", "SSH-Bruteforce", "WebAttack-BruteForce", "WebAttack-XSS", "WebAttack-SQLInjection", "BruteForce-Web", "BruteForce-XSS",
     "SQL-Injection", "Botnet-ARES", "Bot", "Infiltration", "Heartbleed", "DoS-Hulk", "DoS-GoldenEye", "DDoS-LOIT", "DDoS-LOIC-HTTP", "DDoS-HOIC",
 )
+# The classes that are labelled by default, and why the others are not.
 CORE_CLASSES = ("benign", "ddos", "dos", "brute_force", "botnet")
 CORE_EXCLUDED = {"portscan": "single-domain", "web_attack": "too-few-executed", "infiltration": "too-few", "heartbleed": "unestimable"}
+
+
+@dataclass(frozen=True)
+class Zone:
+    """A stage of a lake. `folders` are the keys that lead to a table, outermost first, so they are also what it needs.
+
+    by_capture: files lie by capture below the table's folder, else the table is one file. population: what its rows
+    are, with keys filled in; only equal populations may be compared.
+    """
+
+    folders: tuple[str, ...]
+    by_capture: bool = False
+    population: str = "{zone}"
+
+
+# The zones, their folders, and what each one's rows are called.
 ZONES = {
-    "raw": "{root}/raw/{source}/{dataset}",
-    "extracted": "{root}/extracted/{source}/{feature_space}/{dataset}",
-    "parquet": "{root}/parquet/{source}/{feature_space}/{dataset}",
-    "labelled": "{root}/labelled/{source}/{feature_space}/{method}/{dataset}",
-    "canonical": "{root}/canonical/{source}/{feature_space}/{dataset}",
-    "csv": "{root}/csv/{source}/{feature_space}/{dataset}",
+    "raw": Zone(("source", "dataset")),
+    "extracted": Zone(("source", "feature_space", "dataset")),
+    "parquet": Zone(("source", "feature_space", "dataset"), True, "prelabel"),
+    "labelled": Zone(("source", "feature_space", "method", "dataset"), False, "postlabel-{method}"),
+    "canonical": Zone(("source", "feature_space", "dataset")),
+    "csv": Zone(("source", "feature_space", "dataset")),
 }
 
 
-@dataclass(frozen=True)
-class FlowTable:
-    """What identifies a flow table; zone decides which keys it needs."""
-
-    root: str
-    zone: str
-    source: str = "datasets"
-    dataset: str | None = None
-    feature_space: str | None = None
-    method: str | None = None
-    captures: tuple[str, ...] = ()
-    log: str = "conn"
-
-    @property
-    def view(self) -> str:
-        """What may be compared with what."""
-        return "prelabel" if self.zone == "parquet" else f"postlabel-{self.method}" if self.zone == "labelled" else self.zone
-
-    def base(self) -> str:
-        """The table's folder; a missing key is refused, as a truncated path would read too much."""
-        template = ZONES[self.zone]
-        missing = [k for k in re.findall(r"{(\w+)}", template) if not getattr(self, k)]
-        if missing:
-            raise ValueError(f"zone {self.zone!r} needs {', '.join(missing)}")
-        return template.format(**{k: getattr(self, k) for k in re.findall(r"{(\w+)}", template)})
-
-    def paths(self) -> list[str]:
-        """Globs of the parquet zone by capture; one table in every later zone."""
-        if self.zone != "parquet":
-            return [f"{self.base()}/{self.log}.parquet"]
-        return [f"{self.base()}/{c}/**/{self.log}.parquet" for c in self.captures or ("*",)]
-
-
-def zone_prefix(zone: str, **keys: str) -> str:
-    """A zone's template up to its first key that is not given, for listing only."""
-    out = ZONES[zone]
-    for k, v in keys.items():
-        out = out.replace("{" + k + "}", v)
-    return out.split("{")[0].rstrip("/")
+def folder(root: str, zone: str, partial: bool = False, **keys: str) -> str:
+    """Where a table of a zone lies. A missing key is refused, as a shorter path would read too much.
+
+    partial: for listing, the path ends before the first key that is missing.
+    """
+    want = ZONES[zone].folders
+    strange, missing = sorted(set(keys) - set(want)), [k for k in want if not keys.get(k)]
+    if strange or (missing and not partial):
+        raise ValueError(f"zone {zone!r} needs {', '.join(want)}; " + "; ".join([f"{k} is missing" for k in missing] + [f"{k} is none of them" for k in strange]))
+    stop = want.index(missing[0]) if missing else len(want)
+    return "/".join([root.rstrip("/"), zone, *(keys[k] for k in want[:stop])])
+
+
+def files(root: str, zone: str, captures: Sequence[str] = (), log: str = "conn", **keys: str) -> list[str]:
+    """The files or patterns to read a table of a zone from."""
+    base = folder(root, zone, **keys)
+    return [f"{base}/{c}/**/{log}.parquet" for c in captures or ("*",)] if ZONES[zone].by_capture else [f"{base}/{log}.parquet"]
+
+
+def population(zone: str, **keys: str) -> str:
+    """What a zone's rows are: what may be compared with what."""
+    return ZONES[zone].population.format(zone=zone, **keys)
 
 
 @dataclass(frozen=True)
@@ -124,3 +124,28 @@ def load_schedule(path: str | Path, taxonomy: dict[str, str] | None = None, need
 def read_schedule(manifest: dict, taxonomy: dict[str, str] | None = None, needs_payload: tuple[str, ...] = NEEDS_PAYLOAD) -> tuple[tuple[Window, ...], tuple[Window, ...], str]:
     """The same of a manifest in memory, as those of tributary.sources.schedules."""
     return manifest_windows(manifest, taxonomy, needs_payload), manifest_regions(manifest), content_sha(manifest)
+
+
+def annotated(document: dict, verdicts: Mapping[str, str], measures: Mapping[str, Mapping[str, float | None]] | None = None) -> dict:
+    """A feature set's document with what screen and relevance found written beside each feature; nothing is taken out.
+
+    FeatureSet.active() leaves out what a verdict drops when the file is loaded. Only keep, drop and hold are verdicts of a
+    declaration; any other finding (missing, zero-variance) drops, with itself as reason.
+    """
+    out = json.loads(json.dumps(document))
+    for part in ("numeric", "categorical"):
+        for name, feature in (out.get(part) or {}).items():
+            if name in verdicts:
+                said = verdicts[name]
+                feature = out[part][name] = dict(feature or {})
+                feature["verdict"] = said if said in ("keep", "drop", "hold") else "keep" if said == "unmeasured" else "drop"
+                if feature["verdict"] != said:
+                    feature["reason"] = said
+                feature |= {k: round(v, 6) for k, v in (measures or {}).get(name, {}).items() if v is not None}
+    return out
+
+
+def write_feature_set(path: str | Path, document: dict) -> None:
+    import yaml
+
+    Path(path).write_text(yaml.safe_dump(document, sort_keys=False, allow_unicode=True), encoding="utf-8")

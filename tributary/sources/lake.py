@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,49 +113,57 @@ def latest_extraction(spark: SparkSession, root: str, dataset: str, sidecar: str
     return max(usable)[2]
 
 
+def _at_once(work, items: Sequence, threads: int = 16) -> list:
+    """Small driver-side calls, each with its own Spark job, some at a time."""
+    with ThreadPoolExecutor(min(threads, max(1, len(items)))) as pool:
+        return list(pool.map(work, items))
+
+
 def summarize(spark: SparkSession, paths: Sequence[str], sample: int = 200) -> dict:
-    """files, rows, bytes, columns, signatures (of at most `sample` files) and the columns that some of them lack."""
-    chosen = list(paths)[:sample]
-    names = [set(spark.read.parquet(p).columns) for p in chosen]
+    """files, rows, bytes, columns, signatures (of at most `sample` files) and the columns that some of them lack.
+
+    Rows are one job over all footers, whatever the files' schemas.
+    """
+    names = [set(x) for x in _at_once(lambda p: spark.read.parquet(p).columns, list(paths)[:sample])]
     every = sorted(set().union(*names))
-    sizes = [n for p in paths for f, n in list_files(spark, p) if f.endswith(".parquet")]
-    return {"files": len(paths), "rows": sum(spark.read.parquet(p).count() for p in paths), "bytes": sum(sizes), "columns": every, "signatures": len({tuple(sorted(n)) for n in names}), "partial": [c for c in every if any(c not in n for n in names)]}
+    sizes = [n for x in _at_once(lambda p: list_files(spark, p), list(paths)) for f, n in x if f.endswith(".parquet")]
+    rows = spark.read.parquet(*paths).count() if paths else 0
+    return {"files": len(paths), "rows": rows, "bytes": sum(sizes), "columns": every, "signatures": len({tuple(sorted(n)) for n in names}), "partial": [c for c in every if any(c not in n for n in names)]}
 
 
-def convert_tree(spark: SparkSession, source: str, target: str, suffix: str = ".log", kinds: Sequence[str] | None = None, formats: Sequence[str] = ("parquet",)) -> list[dict]:
+def convert_tree(spark: SparkSession, source: str, target: str, suffix: str = ".log", kinds: Sequence[str] | None = None, formats: Sequence[str] = ("parquet",), threads: int = 16) -> list[dict]:
     """Converts each NDJSON log below source to the same place below target; sidecars (a leading underscore) are skipped.
 
-    A file that fails is reported and does not stop the others. Each file is parsed once, however many formats.
+    Some files are converted at a time, each in a job of its own, so one that fails is reported and stops no other. Each
+    is parsed once: further formats are written from the first.
     """
-    report = []
     root = spark._jvm.org.apache.hadoop.fs.Path(source)
     root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
-    for path, _ in list_files(spark, source):
+
+    def wanted(path: str) -> bool:
         name = path.rsplit("/", 1)[-1]
-        kind = name.removesuffix(suffix)
-        if not name.endswith(suffix) or name.startswith("_") or (kinds and kind not in kinds):
-            continue
+        return name.endswith(suffix) and not name.startswith("_") and (not kinds or name.removesuffix(suffix) in kinds)
+
+    def convert(path: str) -> dict:
         place = path.removeprefix(root).lstrip("/").removesuffix(suffix)
         entry = {"path": place, "rows": 0, "error": None}
         try:
-            df = read_ndjson(spark, path).persist()
-            try:
-                for f in formats:
-                    entry["rows"] = write_parquet(df, f"{target}/{place}.parquet") if f == "parquet" else write_csv(df, f"{target}/{place}.csv")
-            finally:
-                df.unpersist()
+            df = read_ndjson(spark, path)
+            for i, f in enumerate(formats):
+                entry["rows"] = write_parquet(df, f"{target}/{place}.parquet") if f == "parquet" else write_csv(df, f"{target}/{place}.csv")
+                if not i and len(formats) > 1:
+                    df = spark.read.parquet(f"{target}/{place}.parquet") if f == "parquet" else read_text_csv(spark, f"{target}/{place}.csv")
         except Exception as e:  # noqa: BLE001  one broken log must not hide the rest
             entry["error"] = str(e).splitlines()[0][:200]
-        report.append(entry)
-    return report
+        return entry
+
+    return _at_once(convert, [p for p, _ in list_files(spark, source) if wanted(p)], threads)
 
 
 def footer_inventory(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """file, n_columns, signature (sorted column names) from schemas alone; no data is read."""
-    rows = []
-    for p in paths:
-        names = sorted(spark.read.parquet(p).columns)
-        rows.append((p.rstrip("/").rsplit("/", 1)[-1], len(names), ",".join(names)))
+    found = _at_once(lambda p: sorted(spark.read.parquet(p).columns), list(paths))
+    rows = [(p.rstrip("/").rsplit("/", 1)[-1], len(names), ",".join(names)) for p, names in zip(paths, found)]
     return spark.createDataFrame(rows, "file string, n_columns long, signature string")
 
 
@@ -193,5 +204,81 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Takes one file away, in any file system Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
+
+
 def write_json(spark: SparkSession, path: str, document: dict) -> None:
     write_text(spark, path, json.dumps(document, sort_keys=True, default=str))
+
+
+MANIFEST, SEAL = "_manifest.json", "_sealed"
+
+
+def _local_sha(path: Path) -> str:
+    digest = hashlib.sha256()
+    with path.open("rb") as f:
+        while chunk := f.read(1 << 20):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
+def put_file(spark: SparkSession, source: str | Path, target: str) -> int:
+    """Copies a local file to any file system Spark knows; its bytes."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(target)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(str(source)), where)
+    return Path(source).stat().st_size
+
+
+def put_tree(spark: SparkSession, source: str | Path, target: str) -> int:
+    """Copies a local folder, file by file at its place; the number of files. A sealed target is refused."""
+    refuse_sealed(spark, target)
+    found = sorted(p for p in Path(source).rglob("*") if p.is_file())
+    _at_once(lambda p: put_file(spark, p, f"{target}/{p.relative_to(source).as_posix()}"), found)
+    return len(found)
+
+
+def is_sealed(spark: SparkSession, folder: str) -> bool:
+    return any(p.endswith(f"/{SEAL}") for p, _ in list_files(spark, f"{folder}/{SEAL}", hidden=True))
+
+
+def seal(spark: SparkSession, folder: str) -> None:
+    """Marks a folder as finished: put_tree() and ingest() refuse it from then on."""
+    write_text(spark, f"{folder}/{SEAL}", "")
+
+
+def unseal(spark: SparkSession, folder: str) -> None:
+    remove(spark, f"{folder}/{SEAL}")
+
+
+def refuse_sealed(spark: SparkSession, folder: str) -> None:
+    if is_sealed(spark, folder):
+        raise ValueError(f"{folder} is sealed")
+
+
+def ingest(spark: SparkSession, files: Sequence[str | Path], folder: str, meta: dict | None = None, replace: bool = False) -> dict:
+    """Copies captures into a data set's folder and merges what its manifest says: files (bytes, sha256) and `meta`.
+
+    A file that is there with the same content is left; with another it is refused, unless `replace`. So is `meta` that
+    contradicts the manifest, such as another UTC offset, and a sealed folder. The manifest is written last.
+    """
+    refuse_sealed(spark, folder)
+    known = list_files(spark, f"{folder}/{MANIFEST}", hidden=True)
+    manifest = json.loads(read_text(spark, f"{folder}/{MANIFEST}")) if known else {"files": {}}
+    for k, v in (meta or {}).items():
+        if manifest.get(k, v) != v:
+            raise ValueError(f"{k} is {manifest[k]!r} in the manifest, not {v!r}")
+    new = {Path(f).name: {"bytes": Path(f).stat().st_size, "sha256": _local_sha(Path(f))} for f in files}
+    if len(new) < len(files):
+        raise ValueError("two files have one name")
+    other = sorted(n for n, x in new.items() if n in manifest["files"] and manifest["files"][n] != x)
+    if other and not replace:
+        raise ValueError(f"other content is there already: {', '.join(other)}")
+    fresh = [f for f in files if manifest["files"].get(Path(f).name) != new[Path(f).name]]
+    _at_once(lambda f: put_file(spark, f, f"{folder}/{Path(f).name}"), fresh)
+    manifest = manifest | (meta or {}) | {"files": manifest["files"] | new}
+    write_json(spark, f"{folder}/{MANIFEST}", manifest)
+    return {"copied": [Path(f).name for f in fresh], "replaced": other, "manifest": manifest}

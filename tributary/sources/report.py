@@ -30,18 +30,42 @@ def page(title: str, *parts: str) -> str:
     return f"<!doctype html><html lang=en><meta charset=utf-8><title>{escape(title)}</title><style>{STYLE}</style><h1>{escape(title)}</h1>{''.join(parts)}</html>"
 
 
-def profile_page(title: str, profile: Mapping) -> str:
-    """Moments and a histogram of each feature, all classes together."""
-    hist: dict[str, dict[int, int]] = {}
-    for r in profile["hist"]:
-        h = hist.setdefault(r["feature"], {})
-        h[r["bin"]] = h.get(r["bin"], 0) + r["count"]
-    drawn = "".join(f"<h3>{escape(f)}</h3>{bars([h[b] for b in sorted(h)])}" for f, h in hist.items())
-    return page(title, table(profile["moments"]), drawn)
-
-
-def comparison_page(title: str, rows: Sequence[Mapping]) -> str:
-    return page(title, table(rows))
+def _matrix(pairs: Mapping[tuple[str, str], float | None]) -> str:
+    """Correlations as a grid, coloured by sign and strength."""
+    names = list(dict.fromkeys(x for p in pairs for x in p))
+    both = {**pairs, **{(b, a): r for (a, b), r in pairs.items()}}
+    shade = lambda r: "#fff" if r is None else f"rgba({'200,60,40' if r < 0 else '40,90,200'},{abs(r):.2f})"
+    cell = lambda a, b: "<td></td>" if a == b else f'<td style="background:{shade(both.get((a, b)))}">{_cell(both.get((a, b)))}</td>'
+    return f"<table><tr><th></th>{''.join(f'<th>{escape(n)}</th>' for n in names)}</tr>" + "".join(f"<tr><th>{escape(a)}</th>{''.join(cell(a, b) for b in names)}</tr>" for a in names) + "</table>"
+
+
+def profile_page(title: str, profile: Mapping, views: Mapping[str, Mapping], pearson: Mapping | None = None, ranks: Mapping | None = None) -> str:
+    """Each view's features with their histograms, values and span; correlations of all rows."""
+    parts = [table([{"view": n, "rows": v["n"]} for n, v in views.items()])]
+    for name, v in views.items():
+        rows = [{"feature": f} | {k: s.get(k) for k in ("n", "n_null", "n_zero", "lo", "hi")} | {"mean": s["sum_t"] / s["n"] if s.get("n") else None} for f, s in v["numeric"].items()]
+        drawn = "".join(f"<figure><figcaption>{escape(f)}</figcaption>{bars([s['hist'][b] for b in sorted(s['hist'])])}</figure>" for f, s in v["numeric"].items())
+        words = "".join(f"<h3>{escape(c)}</h3>{table([{'value': x, 'rows': n} for x, n in counts.most_common(20)])}" for c, counts in v["categorical"].items())
+        parts.append(f"<h2>{escape(name)}</h2>{table(rows)}{drawn}{words}")
+    for heading, found in (("Correlation", pearson), ("Rank correlation", ranks)):
+        parts += [f"<h2>{heading}</h2>{_matrix(found)}"] if found else []
+    if profile.get("skipped_features"):
+        parts.append(f"<p>Not measured: {escape(', '.join(profile['skipped_features']))}</p>")
+    return page(title, *parts)
+
+
+def comparison_page(title: str, report: Mapping) -> str:
+    """A comparison's sections, each under its heading."""
+    heads = {"classes": "Classes", "features": "Features", "categorical": "Values", "macro": "Mean over the others", "flips": "Labels that flip", "correlation_drift": "Correlations that drift", "rank_drift": "Rank correlations that drift"}
+    return page(title, *(f"<h2>{h}</h2>{table(report[k]) if report[k] else '<p>none</p>'}" for k, h in heads.items()))
+
+
+def index_page(title: str, entries: Sequence[Mapping]) -> str:
+    """A page of links: entries have href and name, and whatever else is shown beside them."""
+    shown = [k for k in dict.fromkeys(k for e in entries for k in e) if k not in ("href", "name")]
+    head = "".join(f"<th>{escape(k)}</th>" for k in ("page", *shown))
+    rows = "".join(f'<tr><td><a href="{escape(str(e["href"]))}">{escape(str(e["name"]))}</a></td>' + "".join(f"<td>{_cell(e.get(k))}</td>" for k in shown) + "</tr>" for e in entries)
+    return page(title, f"<table><tr>{head}</tr>{rows}</table>")
 
 
 def adjudication_page(title: str, rows: Sequence[Mapping], classes: Sequence[str], context: Mapping[str, Sequence[Mapping]] | None = None) -> str:
