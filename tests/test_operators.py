@@ -5,9 +5,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tributary.functions.ranks import distributed_ntile, value_ranks
+from tributary.functions.ranks import binned_counts, quantiles, value_ranks
 from tributary.operators import audit, compare, confident, fusion, governance, models, pools, profile, relevance, screen, validity, vectorise
 from tributary.sources import lake
 
@@ -52,6 +53,76 @@ def test_profile_document_compares_with_itself(spark, sf):
         compare.compare(doc, [other])
 
 
+def test_views_add_up_and_reports_tell_drift_and_flips(spark):
+    n = F.col("id")
+    base = spark.range(400).select(n.cast("string").alias("uid"), F.when(n % 4 == 0, "dos").otherwise("benign").alias("label_class"), F.when(n % 4 == 0, "S0").otherwise("SF").alias("conn_state"), (n % 50).cast("double").alias("duration"), (n * 7 % 90).cast("double").alias("orig_bytes"), n.alias("resp_bytes"))
+    one = base.withColumn("duration", F.when(F.col("label_class") == "dos", F.col("duration") + 60).otherwise(F.col("duration")))
+    two = base.withColumn("duration", F.when(F.col("label_class") == "dos", F.col("duration") / 50).otherwise(F.col("duration") + 20)).withColumn("orig_bytes", F.col("resp_bytes").cast("double"))
+    a, b = (profile.profile(x) for x in (one, two))
+    whole = compare.view(profile.profile(one.union(two)))["all"]
+    both = compare.pool([compare.view(a), compare.view(b)])["all"]
+    assert both["n"] == whole["n"] == 800 and both["joint"] == whole["joint"] and both["categorical"] == whole["categorical"]
+    for (x, y), r in compare.correlations(whole).items():
+        assert (r is None) == (compare.correlations(both)[x, y] is None) and (r is None or abs(r - compare.correlations(both)[x, y]) < 1e-9)
+    x = one.union(two).select(F.log(F.lit(1.0) + F.col("duration")).alias("x"), F.log(F.lit(1.0) + F.col("orig_bytes")).alias("y")).toPandas()
+    assert abs(compare.correlations(whole)["duration", "orig_bytes"] - np.corrcoef(x.x, x.y)[0, 1]) < 1e-9
+    out = compare.report(a, [b])
+    assert [r["feature"] for r in out["flips"]] == ["duration"] and out["correlation_drift"][0]["change"] > 0.3 and len(out["rank_drift"]) <= 25
+    assert [r["n"] for r in out["classes"]] == [400, 300, 100] and abs(out["categorical"][0]["js_all"]) < 1e-12 and out["macro"][0]["feature"] == "duration"
+    with pytest.raises(ValueError, match="several populations"):
+        compare.of_view({"a": a | {"view": "x"}, "b": b | {"view": "y"}})
+    with pytest.raises(ValueError, match="sample"):
+        compare.of_view({"a": a | {"partial": True}})
+    assert list(compare.of_view({"a": a | {"view": "x"}, "b": b | {"view": "y"}}, "y")) == ["b"]
+
+
+def test_rulers_of_many_bins_count_right(spark):
+    edges = tuple(range(150))
+    f = [profile.Feature(n, lambda n=n: F.col(n).cast("double"), edges, (n,)) for n in ("u", "v")]
+    df = spark.range(3000).select(F.lit("c").alias("label_class"), (F.col("id") % 151).alias("u"), (F.col("id") * 7 % 149).alias("v"))
+    got = {(r.cell // profile.CELL, r.cell % profile.CELL): r["count"] for r in profile.joint_histograms(df, profile.Ruler(f, (), (), ())).collect()}
+    want = {(r.u + 1 if r.u < 150 else 150, r.v + 1): r["count"] for r in df.groupBy(F.least("u", F.lit(149)).alias("u"), "v").count().collect()}
+    assert got == want
+    with pytest.raises(ValueError, match="does not fit"):
+        profile.joint_histograms(df, profile.Ruler([profile.Feature("u", f[0].expr, tuple(range(1000)), ("u",))], (), (), ()), [("u", "u")])
+
+
+def test_a_flood_between_two_hosts_meets_by_time(spark):
+    import time
+
+    flows = spark.range(1_000_000).select(F.col("id").cast("string").alias("uid"), (F.col("id") / 8.0).alias("ts"), F.lit("a").alias("orig_h"), F.lit("b").alias("resp_h"), F.when(F.col("id") % 100_000 == 0, 3000.0).alias("duration"), F.lit(True).alias("label_binary"), F.lit("dos").alias("label_class"), F.lit("c").alias("capture"))
+    log = spark.range(100_000).select((F.col("id") * 1.0).alias("ts"), F.lit("b").alias("src_ip"), F.lit("a").alias("dest_ip"), F.lit("s").alias("signature"))
+    hits = audit.corroborate(flows, log)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_slot" in plan and "(_level" in plan
+    began = time.perf_counter()
+    r = hits.agg(F.sum("alerts").alias("n"), F.max("alerts").alias("most"), F.count(F.lit(1)).alias("rows")).first()
+    assert r.rows == 1_000_000 and r.most == 3005 and abs(r.n - (800_000 * 4.125 + 8 * 3000)) < 3_000 and time.perf_counter() - began < 90
+    near = audit.neighbours(flows.where("ts < 20000"), flows.where("uid in ('5', '70000')"), 600.0, 3)
+    assert "(_slot" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x.candidate_uid, x.uid, x.rank) for x in near.collect()) == [("5", "3", 3), ("5", "4", 1), ("5", "6", 2), ("70000", "69998", 3), ("70000", "69999", 1), ("70000", "70001", 2)]
+
+
+def test_every_class_is_scored_and_matrices_come_in_pieces(spark):
+    rng = np.random.default_rng(1)
+    rows = [(str(i), rng.normal(size=3).tolist(), "rare" if i % 500 == 0 else "often" if i % 2 else "other") for i in range(1500)] + [("x", [0.0, 0.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "uid string, features array<double>, label_class string")
+    got = models.out_of_fold(df, folds=3, epochs=1, most=60).collect()
+    assert len(got) == 1500 and {r.label for r in got} == {0, 1, 2}
+    fs = vectorise.FeatureSet("x", (vectorise.Numeric("a", "a", log=False), vectorise.Numeric("b", "b", log=False)))
+    parts = list(vectorise.batches(spark.range(1000).selectExpr("cast(id as double) a", "cast(-id as double) b"), fs, 64))
+    assert all(p.shape[0] <= 64 and p.shape[1] == 2 for p in parts) and sorted(np.concatenate(parts)[:, 0].tolist()) == list(range(1000))
+
+
+def test_label_space_and_domains_are_looked_at_whole(spark):
+    many = spark.range(3000).select(F.concat(F.lit("c"), F.col("id")).alias("label_class"))
+    with pytest.raises(ValueError, match="c0"):
+        fusion.refuse_unknown_classes(many, {f"c{i}" for i in range(1, 3000)})
+    fusion.refuse_unknown_classes(many, {f"c{i}" for i in range(3000)})
+    with pytest.raises(ValueError, match="domains"):
+        relevance.worst_domain_auc(many.withColumn("x", F.lit(1.0)), ["x"], [], "label_class")
+
+
 def test_js_divergence_bounds():
     assert compare.js_divergence([1, 0], [0, 1]) == 1.0 and compare.js_divergence([1, 1], [2, 2]) == 0.0 and compare.js_divergence([0], [1]) is None
 
@@ -71,8 +142,21 @@ def test_value_ranks_have_no_single_partition_window(spark):
 
 def test_ntile_equals_window(spark):
     df = spark.range(103).select(F.col("id").cast("string").alias("uid"), F.when(F.col("id") % 10 != 0, F.col("id") % 13).cast("double").alias("x"))
-    got = distributed_ntile(df, ["x"], "uid", 7).groupBy("bin").count().collect()
-    assert {r.bin: r["count"] for r in got} == {0: 11, **{i: 14 if i == 1 else 13 for i in range(1, 8)}}
+    df = df.withColumn("y", F.col("uid").cast("long") % 3)
+    got = {(r.bin, r.y): r.n for r in binned_counts(df, ["x"], "uid", 7, "y").collect()}
+    want = {(r.bin or 0, r.y): r["count"] for r in df.withColumn("bin", F.when(F.col("x").isNotNull(), F.ntile(7).over(Window.partitionBy(F.col("x").isNull()).orderBy("x", "uid")))).groupBy("bin", "y").count().collect()}
+    assert got == want
+
+
+def test_quantiles_equal_percentiles_without_their_buffers(spark):
+    df = spark.range(997).select((F.col("id") % 5).alias("g"), F.when(F.col("id") % 11 != 0, (F.col("id") * 37 % 101).cast("double")).alias("x"))
+    df = df.withColumn("g", F.when(F.col("g") != 3, F.concat(F.lit("g"), F.col("g"))))
+    shares = (0.0, 0.01, 0.5, 0.77, 1.0)
+    made = quantiles(df, ["g"], "x", shares)
+    assert "percentile" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.g, r.q): r.value for r in made.collect()}
+    for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("v")).collect():
+        assert [got[r.g, i] for i in range(5)] == pytest.approx(list(r.v))
 
 
 def test_screen_clusters_and_inflation():
@@ -171,6 +255,43 @@ def test_models_learn_and_label_every_row(spark):
     assert a.shape == b.shape == x.shape and models.nt_xent(x, x, 0.5) < models.nt_xent(x, x[::-1].copy(), 0.5)
 
 
+def test_reconstruction_judges_each_part_and_its_gradient_is_right():
+    n, c = vectorise.Numeric, vectorise.Constraint
+    fs = vectorise.FeatureSet("x", (n("t", "t", indicator=True), n("l", "l", centre=0.5, scale=2.0), n("r", "r"), n("s", "s", log=False)), (vectorise.Categorical("p", ("a", "b")),), (c("ratio", "t", "l", "r"), c("sum", "s", "l", "r", "sum")))
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(size=(7, len(fs.columns()))))
+    x[:, 1] = rng.integers(0, 2, 7)
+    x[:, 5:] = np.eye(3)[rng.integers(0, 3, 7)]
+    phi = {"ratio": 0.3, "sum": 0.2}
+    z = x + rng.normal(size=x.shape) * 0.3
+    z[:, 3] = np.abs(z[:, 3]) + 0.5
+    loss, g = models.reconstruction(x, fs, phi)(z)
+    step = rng.normal(size=z.shape) * 1e-6
+    assert abs(models.reconstruction(x, fs, phi)(z + step)[0] - loss - (g * step).sum()) < 1e-10
+    assert models.reconstruction(x, fs, phi)(z)[0] > models.reconstruction(x, fs)(z)[0]
+    net, losses, encodes = models.pretrain_autoencoder(x, 4, 60, fs=fs, phi=phi, rate=1e-2)
+    assert losses[-1] < 0.7 * losses[0] and encodes == 2
+
+
+def test_parts_are_looked_up_and_held_to_their_contract():
+    x = np.random.default_rng(0).normal(size=(60, 5))
+    y = ["a" if r[0] > 0 else "b" for r in x]
+    assert models.fit_branch(x, y, kind="inert", epochs=2).network(x).shape == (60, 2)
+    with pytest.raises(KeyError, match="dense"):
+        models.part("nope")
+
+    class Narrow(models.Dense):
+        name = "narrow"
+
+        def head(self, latent, classes, seed):
+            return models.Network.of([latent, classes + 1], seed)
+
+    models.PARTS.register(Narrow())
+    with pytest.raises(ValueError, match="head gives 3"):
+        models.part("narrow")
+    del models.PARTS.items["narrow"]
+
+
 def test_contrastive_gradient_and_labels(spark):
     rng = np.random.default_rng(2)
     z = rng.normal(size=(8, 3))
@@ -204,9 +325,9 @@ def test_governance(spark, sf, tmp_path):
     governance.refuse_stale(spark, out, "abc")
     with pytest.raises(ValueError, match="abc"):
         governance.refuse_stale(spark, out, "def")
-    good = {"rules": ["a"], "claimed": ["a"], "rows": 2, "distinct": 2, "attack": 1, "benign": 1, "suspicious": 1}
+    good = {"rules": ["a"], "claimed": ["a"], "rows": 2, "distinct": 2, "attack": 1, "benign": 1, "suspicious": 1, "widest": ("a", 2, 3)}
     r = governance.run_gate(governance.LABEL_CHECKS, good)
-    assert r.passed and len(r.advice) == 1 and len(governance.run_gate(governance.LABEL_CHECKS, good | {"claimed": [], "distinct": 1}).failures) == 2
+    assert r.passed and [a for _, a in r.advice] == ['widest is a: 2 sources, 3 destinations', '1 buckets look like an attack'] and len(governance.run_gate(governance.LABEL_CHECKS, good | {"claimed": [], "distinct": 1}).failures) == 2
     with pytest.raises(KeyError, match="not given"):
         governance.run_gate(governance.LABEL_CHECKS, {})
     point = governance.Point("method")

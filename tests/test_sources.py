@@ -29,12 +29,34 @@ def test_alerts(spark, tmp_path):
     assert alerts.alert_table(spark, []).count() == 0
 
 
-def test_flow_table_refuses_missing_keys():
-    t = declarations.FlowTable("/lake", "parquet", dataset="d", feature_space="z_v1", captures=("c1", "c2"))
-    assert t.paths() == ["/lake/parquet/datasets/z_v1/d/c1/**/conn.parquet", "/lake/parquet/datasets/z_v1/d/c2/**/conn.parquet"] and t.view == "prelabel"
-    with pytest.raises(ValueError, match="method"):
-        declarations.FlowTable("/lake", "labelled", dataset="d", feature_space="z").base()
-    assert declarations.zone_prefix("parquet", root="/lake", source="s") == "/lake/parquet/s"
+def test_zones_say_what_they_need():
+    keys = {"source": "s", "feature_space": "z_v1", "dataset": "d"}
+    assert declarations.files("/lake/", "parquet", ("c1", "c2"), **keys) == ["/lake/parquet/s/z_v1/d/c1/**/conn.parquet", "/lake/parquet/s/z_v1/d/c2/**/conn.parquet"]
+    assert declarations.files("/lake", "canonical", **keys) == ["/lake/canonical/s/z_v1/d/conn.parquet"]
+    with pytest.raises(ValueError, match="method is missing"):
+        declarations.folder("/lake", "labelled", **keys)
+    with pytest.raises(ValueError, match="method is none"):
+        declarations.folder("/lake", "raw", source="s", dataset="d", method="m")
+    assert declarations.folder("/lake", "parquet", partial=True, source="s") == "/lake/parquet/s"
+    assert [declarations.population("parquet"), declarations.population("labelled", method="fused"), declarations.population("csv")] == ["prelabel", "postlabel-fused", "csv"]
+
+
+def test_declarations_are_annotated_and_experiments_load(tmp_path):
+    from tributary.operators import governance
+
+    doc = {"name": "x", "numeric": {"a": {"expr": "a"}, "b": None, "c": {}}, "categorical": {"p": {"vocabulary": ["t"]}}}
+    out = declarations.annotated(doc, {"a": "hold", "b": "zero-variance", "p": "unmeasured"}, {"a": {"auc": 0.8123456789, "vif": None}})
+    assert out["numeric"] == {"a": {"expr": "a", "verdict": "hold", "auc": 0.812346}, "b": {"verdict": "drop", "reason": "zero-variance"}, "c": {}} and out["categorical"]["p"]["verdict"] == "keep" and doc["numeric"]["b"] is None
+    declarations.write_feature_set(tmp_path / "f.yaml", out)
+    assert declarations.load_feature_set(tmp_path / "f.yaml").active().columns() == ["a", "c", "p=t", "p=__other"]
+    (tmp_path / "e.yaml").write_text("datasets: {x: train, y: {role: holdout, reason: unseen}}\n")
+    e = governance.load_experiment(tmp_path / "e.yaml", {"x": 1, "y": 1})
+    assert (e.name, e.role("y"), e.role("z"), e.datasets("train")) == ("e", "holdout", "unassigned", ["x"])
+    with pytest.raises(ValueError, match="unknown"):
+        governance.load_experiment(tmp_path / "e.yaml", {"x": 1})
+    (tmp_path / "e.yaml").write_text("datasets: {y: holdout}\n")
+    with pytest.raises(ValueError, match="reason"):
+        governance.load_experiment(tmp_path / "e.yaml")
 
 
 def test_declarations_load(tmp_path):
@@ -68,6 +90,30 @@ def test_catalog_and_latest_extraction(spark, tmp_path):
         lake.latest_extraction(spark, str(tmp_path / "ex"), "nope")
 
 
+def test_ingest_merges_a_manifest_and_seals(spark, tmp_path):
+    a, b = tmp_path / "a.pcap", tmp_path / "b.pcap"
+    a.write_bytes(b"one"), b.write_bytes(b"two")
+    to = str(tmp_path / "raw")
+    assert lake.ingest(spark, [a], to, {"utc_offset": "-03:00"})["copied"] == ["a.pcap"]
+    assert lake.ingest(spark, [a, b], to)["copied"] == ["b.pcap"]
+    m = json.loads((tmp_path / "raw" / "_manifest.json").read_text())
+    assert sorted(m["files"]) == ["a.pcap", "b.pcap"] and m["utc_offset"] == "-03:00" and m["files"]["a.pcap"]["bytes"] == 3
+    with pytest.raises(ValueError, match="utc_offset"):
+        lake.ingest(spark, [a], to, {"utc_offset": "-04:00"})
+    a.write_bytes(b"other")
+    with pytest.raises(ValueError, match="a.pcap"):
+        lake.ingest(spark, [a], to)
+    assert lake.ingest(spark, [a], to, replace=True)["replaced"] == ["a.pcap"] and (tmp_path / "raw" / "a.pcap").read_bytes() == b"other"
+    lake.seal(spark, to)
+    with pytest.raises(ValueError, match="sealed"):
+        lake.put_tree(spark, tmp_path / "raw", to)
+    lake.unseal(spark, to)
+    (tmp_path / "t" / "x").mkdir(parents=True)
+    (tmp_path / "t" / "x" / "y.txt").write_text("z")
+    assert lake.put_tree(spark, tmp_path / "t", to) == 1 and (tmp_path / "raw" / "x" / "y.txt").read_text() == "z"
+    assert cli.main(["ingest", to, str(b), "--seal"]) == 0 and cli.main(["ingest", to, str(b)]) == 2
+
+
 def test_reports_escape():
     html = report.adjudication_page("<t>", [{"uid": "<b>", "x": 1.23456}], ["dos"], {"<b>": [{"y": None}]})
     assert "<b>" not in html and "&lt;b&gt;" in html and "1.235" in html and "<rect" in report.bars([1, 2])
@@ -84,7 +130,29 @@ def test_commands(spark, sf, tmp_path, capsys):
     assert cli.main(["eda", f, "--out", str(tmp_path / "p.json"), "--html", str(tmp_path / "p.html")]) == 0
     assert cli.main(["compare", str(tmp_path / "p.json"), str(tmp_path / "p.json"), "--html", str(tmp_path / "c.html")]) == 0
     assert (tmp_path / "p.html").exists() and (tmp_path / "c.html").exists()
-    assert cli.main(["audit", f, "--floor", "3", "--out", str(tmp_path / "a.csv")]) == 0
+    other = str(tmp_path / "q.json")
+    assert cli.main(["eda", f, "--out", other, "--view", "prelabel"]) == 0
+    (tmp_path / "cmp").mkdir()
+    (tmp_path / "cmp" / "compare_old.json").write_text("{}")
+    assert cli.main(["compare", str(tmp_path / "p.json"), other]) == 2 and "population" in capsys.readouterr().err
+    assert cli.main(["compare", other, other, "--view", "prelabel"]) == 0
+    (tmp_path / "r.json").write_text((tmp_path / "q.json").read_text())
+    assert cli.main(["compare", other, str(tmp_path / "r.json"), "--out", str(tmp_path / "cmp")]) == 0
+    assert sorted(p.name for p in (tmp_path / "cmp").glob("[ci]*")) == ["compare_q.html", "compare_q.json", "compare_r.html", "compare_r.json", "index.html"]
+    log = tmp_path / "eve.json"
+    log.write_text(json.dumps({"timestamp": "2024-01-05T00:00:00+0000", "event_type": "alert", "src_ip": "10.0.0.1", "dest_ip": "192.168.0.3", "alert": {"signature": "s"}}) + "\n")
+    assert cli.main(["audit", f, "--floor", "3", "--out", str(tmp_path / "a.csv"), "--html", str(tmp_path / "a.html"), "--alerts", str(log)]) == 0 and "oracle_alerted" in (tmp_path / "a.html").read_text()
+    (tmp_path / "v.csv").write_text("uid,analyst_class\n1,click\n2,\n")
+    assert cli.main(["audit", f, "--verdicts", str(tmp_path / "v.csv"), "--compare", f]) == 0 and "unadjudicated" in capsys.readouterr().out
+    assert cli.main(["oracle", f, "--alerts", str(log), "--manifest", str(tmp_path / "m.yaml")]) == 0 and "conclusive" in capsys.readouterr().out
+    assert cli.main(["init", str(tmp_path / "new")]) == 0 and declarations.load_schedule(tmp_path / "new" / "schedule.yaml") and declarations.load_partition(tmp_path / "new" / "partition.yaml")
+    assert cli.main(["config", "/lake"]) == 0 and "{method}" in capsys.readouterr().out
+    (tmp_path / "fs.yaml").write_text("name: x\nnumeric: {duration: {}, orig_bytes: {}}\n")
+    assert cli.main(["screen", f, "--declaration", str(tmp_path / "fs.yaml")]) == 0 and "verdict: keep" in (tmp_path / "fs.yaml").read_text()
+    (tmp_path / "plug").mkdir()
+    (tmp_path / "plug" / "mine.py").write_text("from pyspark.sql import functions as F\nclass Mine:\n    name = 'mine'\n    def label(self, vectors, fs, **options):\n        return vectors.select('uid', F.lit('dos').alias('label_class'), F.lit(1.0).alias('label_confidence'))\nPOINT.register(Mine(), 'mine.py')\n")
+    assert cli.main(["behave", f, "--method", "mine", "--plugins", str(tmp_path / "plug"), "--out", str(tmp_path / "mine.parquet")]) == 0
+    assert cli.main(["behave", f, "--method", "nope"]) == 2 and "there are" in capsys.readouterr().err
     (tmp_path / "p.yaml").write_text("pools: {a: {share: 1}}\n")
     assert cli.main(["pools", f, "--partition", str(tmp_path / "p.yaml")]) == 2 and "seed" in capsys.readouterr().err
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators import audit as a
 from tributary.operators import confident as cl
 from tributary.operators import fusion as fu
+from tributary.operators import models as m
 from tributary.operators import pools as po
 from tributary.operators import validity
 from tributary.operators import vectorise as v
@@ -193,15 +195,26 @@ def audited_pool(spark: SparkSession, d: str) -> DataFrame:
     return po.audited(POOLS.rows(_graded(spark, d), "large"), verdicts(spark, d)).select("uid", "label_class")
 
 
+#: A branch with whole weights: two features, a class each for their sum, their difference and neither.
+SCORER = m.Branch(["benign", "ddos", "dos"], m.Network([np.array([[1.0, 2.0, 0.5], [1.0, -1.5, 0.25]])], [np.array([0.0, 0.125, 0.0625])]), m.Network([np.array([[1.0, 0.5], [0.0, 0.5]])], [np.array([0.0, 0.25])]), [])
+
+
 def score_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The likeliest class of each row (the first of equals), its probability and its margin."""
-    top = F.reverse(F.array_sort("probs"))
-    return probabilities(spark, d).select("key", (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("predicted"), F.round(F.get(top, F.lit(0)), 9).alias("confidence"), F.round(F.get(top, F.lit(0)) - F.get(top, F.lit(1)), 9).alias("margin"))
+    """Class, confidence, margin and reconstruction error of every row, by the operator that scores with any branch."""
+    n = F.col("event_id")
+    rows = read_table(spark, d, "events").select(n.cast("string").alias("uid"), F.array((n % 7).cast("double") / 7, (n % 5).cast("double") / 5).alias("features"))
+    return _round(m.predict(rows, SCORER), 9)
 
 
 def excluded_rows(spark: SparkSession, d: str) -> DataFrame:
-    df = dirty_flows(spark, d)
-    return df.agg(F.count_if(~validity.is_valid(df)).alias("excluded"), F.count(F.lit(1)).alias("total"))
+    return validity.excluded(dirty_flows(spark, d))
+
+
+def adjudication_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What the alert log says beside each flow to audit, and what is said where there is none."""
+    chosen = a.candidates(flows(spark, d), SEED, 20)
+    with_log = a.adjudication_rows(chosen, alerts(spark, d)).select("uid", "oracle_alerted", "oracle_signature", "analyst_class", F.lit(True).alias("asked"))
+    return with_log.union(a.adjudication_rows(chosen).select("uid", "oracle_alerted", "oracle_signature", "analyst_class", F.lit(False)))
 
 
 def context_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -284,7 +297,14 @@ _PAIR_AGREE = lambda x, y, nx, ny: f"SELECT '{nx}' AS first, '{ny}' AS second, c
 SQL = {
     "clamp_counts": f"WITH {DIRTY_SQL} " + " UNION ALL ".join(f"SELECT '{f.name}' AS feature, {f'count(*) FILTER ({_SQL_RAW[f.name]} < 0)' if f.log else 'CAST(0 AS BIGINT)'} AS n_clamped FROM dirty{'' if f.log else ' LIMIT 1'}".replace("FROM dirty LIMIT 1", "FROM (SELECT 1)") for f in FEATURES.numeric),
     "audited_pool": f"WITH {_VERDICTS}, g AS (SELECT uid, {_bucket_sql('xdg-1')} AS bucket FROM flows WHERE {_N} % 10 <> 0) SELECT g.uid, analyst_class AS label_class FROM g JOIN said ON g.uid = said.uid WHERE bucket >= 20000 AND bucket < 850000 AND analyst_class NOT IN ('', 'unknown')",
-    "score_rows": f"WITH {_PROBS} SELECT key, CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INTEGER) AS predicted, round(greatest(p0, p1, p2), 9) AS confidence, round(greatest(p0, p1, p2) - (list_sort([p0, p1, p2]))[2], 9) AS margin FROM t",
+    "score_rows": """WITH x AS (SELECT CAST(event_id AS VARCHAR) AS uid, (event_id % 7)::DOUBLE / 7 AS a, (event_id % 5)::DOUBLE / 5 AS b FROM events),
+      z AS (SELECT *, exp(a + b) AS z0, exp(2 * a - 1.5::DOUBLE * b + 0.125::DOUBLE) AS z1, exp(0.5::DOUBLE * a + 0.25::DOUBLE * b + 0.0625::DOUBLE) AS z2 FROM x), p AS (SELECT *, z0 / (z0 + z1 + z2) AS p0, z1 / (z0 + z1 + z2) AS p1, z2 / (z0 + z1 + z2) AS p2 FROM z)
+      SELECT uid, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'benign' WHEN p1 >= p2 THEN 'ddos' ELSE 'dos' END AS label_class, round(greatest(p0, p1, p2), 9) AS label_confidence, round(greatest(p0, p1, p2) - (list_sort([p0, p1, p2]))[2], 9) AS label_margin, round(((a - a) ** 2 + (0.5::DOUBLE * a + 0.5::DOUBLE * b + 0.25::DOUBLE - b) ** 2) / 2, 9) AS recon_error FROM p""",
+    "adjudication_evidence": f"""{_HITS}, b AS (SELECT uid, {_bucket_sql(SEED)} AS bucket, label_class FROM flows), chosen AS (SELECT uid FROM b QUALIFY row_number() OVER (PARTITION BY label_class ORDER BY bucket, uid) <= 20)
+      SELECT uid, alerted AS oracle_alerted, signature AS oracle_signature, CAST(NULL AS VARCHAR) AS analyst_class, true AS asked FROM c JOIN chosen USING (uid) UNION ALL SELECT uid, CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), false FROM chosen""",
+    "offset_verdict": f"""WITH {_ALERTS}, o AS (SELECT unnest([0, -1, -2, -3, -4, -5]) AS offset_hours), flows AS (SELECT CAST(row_number() OVER () AS VARCHAR) AS uid, ts + offset_hours * 3600.0::DOUBLE AS ts, src_ip AS orig_h, dest_ip AS resp_h, offset_hours FROM alerts, o),
+      hits AS (SELECT DISTINCT uid FROM ({' UNION ALL '.join(map(_claims_sql, WINDOWS))})), n AS (SELECT offset_hours, count(hits.uid) AS n FROM flows LEFT JOIN hits ON flows.uid = hits.uid GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, abs(offset_hours)) AS r FROM n)
+      SELECT CAST(CASE WHEN a.n > 0 THEN a.offset_hours END AS INTEGER) AS offset_hours, a.n > 0 AND (SELECT count(*) FROM alerts) >= 20 AND a.n >= 1.5 * b.n AS conclusive FROM r a, r b WHERE a.r = 1 AND b.r = 2""",
     "excluded_rows": f"WITH {DIRTY_SQL} SELECT count(*) FILTER (NOT (" + " AND ".join(f"coalesce({p}, true)" for p in _CHECKS.values()) + ")) AS excluded, count(*) AS total FROM dirty",
     "vectorise_matrix": f"WITH {FLOWS_SQL} SELECT uid, {_encoded_sql()} FROM flows",
     "one_hot": f"WITH {FLOWS_SQL} SELECT uid, {_one_hot_sql()} FROM flows",
@@ -327,5 +347,5 @@ SQL = {
 QUERIES = (
     vectorise_matrix, one_hot, constraint_residuals, pool_assign, pool_counts, pool_sample, fuse_labels, fuse_explain, fuse_confidence_deciles, confident_thresholds, confident_mad, confident_weights, confident_joint,
     confident_hard_joint, balanced_retention, balanced_weights, sce_loss, confident_grid, audit_candidates, audit_availability, audit_state, benchmark_recall, benchmark_confusion, pairwise_agreement, corroborate_alerts,
-    corroboration_counts, alert_signatures, alert_dissent, offset_probe, context_neighbours, offset_verdict, clamp_counts, audited_pool, score_rows, excluded_rows,
+    corroboration_counts, alert_signatures, alert_dissent, offset_probe, context_neighbours, offset_verdict, clamp_counts, audited_pool, score_rows, excluded_rows, adjudication_evidence,
 )

@@ -67,19 +67,35 @@ def relevance_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def joint_domain_probe(spark: SparkSession, d: str) -> DataFrame:
-    auc = r.joint_domain_auc(flows(spark, d), NUMERIC, "dataset")
-    return spark.createDataFrame([(auc,)], "auc double")
+    """What must hold of the probe: two domains are told apart no worse than by chance; three are refused."""
+    f = flows(spark, d)
+    auc = r.joint_domain_auc(f.where(F.col("dataset").isin("dom-0", "dom-1")), NUMERIC, "dataset")
+    three = r.joint_domain_auc(f.withColumn("dataset", F.concat(F.lit("x"), F.col("uid").cast("bigint") % 3)), NUMERIC, "dataset")
+    return spark.createDataFrame([(auc is not None and 0.5 <= auc <= 1.0, three is None)], "above_chance boolean, three_refused boolean")
 
 
 def correlation_clusters(spark: SparkSession, d: str) -> DataFrame:
-    pairs = [tuple(x) for x in s.pearson_pairs(flows(spark, d), NUMERIC).collect()]
-    rows = [(c["keep"], ",".join(c["members"]), c["strongest"]) for c in s.clusters(pairs, NUMERIC)]
+    """Over the features and derived ones, so that some are strongly correlated."""
+    names = [*NUMERIC, "more_bytes", "twice_pkts"]
+    df = flows(spark, d).withColumns({"more_bytes": F.col("orig_bytes") * 3 + F.col("orig_pkts"), "twice_pkts": F.col("orig_pkts") * -2})
+    pairs = [tuple(x) for x in s.pearson_pairs(df, names).collect()]
+    rows = [(c["keep"], ",".join(c["members"]), round(c["strongest"], 6)) for c in s.clusters(pairs, names)]
     return spark.createDataFrame(rows, "keep string, members string, strongest double")
 
 
 def variance_inflation(spark: SparkSession, d: str) -> DataFrame:
-    pairs = [tuple(x) for x in s.pearson_pairs(flows(spark, d), NUMERIC).collect()]
-    return spark.createDataFrame(list(s.inflation(pairs, NUMERIC)[0].items()), "feature string, vif double")
+    """Of three columns, for which the inverse has a closed form; and of all four, that each is one at least."""
+    pairs = [tuple(x) for x in s.pearson_pairs(read_table(spark, d, "lineitem"), LINE).collect()]
+    every, some = s.inflation(pairs, LINE)[0], s.inflation([x for x in pairs if x[0] in LINE[:3] and x[1] in LINE[:3]], LINE[:3])[0]
+    rows = [(n, every[n] >= 1 - 1e-9, round(some[n], 5) if n in some else None) for n in LINE]
+    return spark.createDataFrame(rows, "feature string, at_least_one boolean, vif_of_three double")
+
+
+def standardisation(spark: SparkSession, d: str) -> DataFrame:
+    f = flows(spark, d)
+    found, phi = s.standardisation(f, NUMERIC), s.suggested_phis(f, NUMERIC)
+    rows = [(n, *found[n], phi[n]) for n in NUMERIC]
+    return spark.createDataFrame(rows, "feature string, centre double, scale double, phi double")
 
 
 def _each(make, names) -> str:
@@ -123,6 +139,16 @@ def _target(n: str, positive: str) -> str:
     return f"avg(CASE WHEN {positive} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY {n})"
 
 
+def _clusters_sql() -> str:
+    names = [*NUMERIC, "more_bytes", "twice_pkts"]
+    pairs = " UNION ALL ".join(f"SELECT {i} AS a, {j} AS b, abs(corr({a}, {b})) AS r FROM t" for (i, a), (j, b) in combinations(enumerate(names), 2))
+    listed = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+    return f"""WITH RECURSIVE {FLOWS_SQL}, t AS (SELECT *, orig_bytes * 3 + orig_pkts AS more_bytes, orig_pkts * -2 AS twice_pkts FROM flows), p AS ({pairs}), s AS (SELECT * FROM p WHERE NOT isnan(r) AND r > 0.9),
+      e AS (SELECT a, b FROM s UNION SELECT b, a FROM s), reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+      head AS (SELECT a AS i, least(a, min(b)) AS h FROM reach GROUP BY a), names(i, n) AS (VALUES {listed})
+      SELECT k.n AS keep, string_agg(m.n, ',' ORDER BY m.i) AS members, (SELECT round(max(r), 6) FROM s JOIN head z ON z.i = s.a WHERE z.h = head.h) AS strongest FROM head JOIN names m ON m.i = head.i JOIN names k ON k.i = head.h GROUP BY head.h, k.n"""
+
+
 _POS = "dataset = 'dom-1'"
 _ALL_AUC = " UNION ALL ".join([_auc(n, n, f"dataset = '{x}'") for n in NUMERIC for x in ("dom-0", "dom-1")] + [_auc(_target(n, f"dataset = '{x}'"), n, f"dataset = '{x}'") for n in CATEGORICAL for x in ("dom-0", "dom-1")])
 
@@ -135,6 +161,12 @@ SQL = {
     "spearman_pairs": f"WITH {FLOWS_SQL}, ranked AS (SELECT {', '.join(f'CASE WHEN {n} IS NOT NULL THEN rank() OVER (ORDER BY {n} NULLS LAST) END AS {n}' for n in NUMERIC)} FROM flows) " + " UNION ALL ".join(_corr(a, b, "ranked") for a, b in combinations(NUMERIC, 2)),
     "screen_verdicts": f"""WITH {FLOWS_SQL}, t AS (SELECT *, CAST(NULL AS VARCHAR) AS never, 'x' AS same FROM flows), {_dominant([*CATEGORICAL, 'never', 'same'], 't')}, m AS ({_missing([*CATEGORICAL, 'never', 'same'], 't')})
       SELECT m.feature, round(null_share, 9) AS null_share, round(share, 9) AS share, CASE WHEN null_share > 0.5 THEN 'missing' WHEN share >= 0.99 THEN 'zero-variance' ELSE 'keep' END AS verdict FROM m JOIN dom ON m.feature = dom.feature""",
+    "joint_domain_probe": "SELECT true AS above_chance, true AS three_refused",
+    "correlation_clusters": _clusters_sql(),
+    "variance_inflation": f"""WITH c AS (SELECT {', '.join(f"corr({a}, {b}) AS r{i}{j}" for (i, a), (j, b) in combinations(enumerate(LINE[:3]), 2))} FROM lineitem),
+      d AS (SELECT *, 1 + 2 * r01 * r02 * r12 - r01 ** 2 - r02 ** 2 - r12 ** 2 AS det FROM c)
+      SELECT feature, true AS at_least_one, CASE i WHEN 0 THEN round((1 - r12 ** 2) / det, 5) WHEN 1 THEN round((1 - r02 ** 2) / det, 5) WHEN 2 THEN round((1 - r01 ** 2) / det, 5) END AS vif_of_three FROM d, (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate(LINE))}) v(i, feature)""",
+    "standardisation": f"WITH {FLOWS_SQL} " + _each(lambda n: f"SELECT '{n}' AS feature, round(avg(ln(1 + abs({n}))), 6) AS centre, round(stddev_pop(ln(1 + abs({n}))), 6) AS scale, CASE WHEN median({n}) <> 0 THEN round(0.5::DOUBLE / abs(median({n})), 6) END AS phi FROM flows", NUMERIC),
     "mutual_information": f"WITH {FLOWS_SQL}, {_MI} SELECT feature, round(mi, 9) AS mi, round(relevance, 9) AS relevance FROM info",
     "domain_auc_numeric": f"WITH {FLOWS_SQL} SELECT feature, round(auc, 9) AS auc FROM (" + " UNION ALL ".join(_auc(n, n, _POS) for n in NUMERIC) + ")",
     "domain_auc_categorical": f"WITH {FLOWS_SQL} SELECT feature, round(auc, 9) AS auc FROM (" + " UNION ALL ".join(_auc(_target(n, _POS), n, _POS) for n in CATEGORICAL) + ")",
@@ -144,5 +176,5 @@ SQL = {
 
 QUERIES = (
     shape_stats, shape_stats_lineitem, dominant_value, missingness, pearson_pairs, spearman_pairs, screen_verdicts, mutual_information, domain_auc_numeric, domain_auc_categorical,
-    relevance_verdict, joint_domain_probe, correlation_clusters, variance_inflation,
+    relevance_verdict, joint_domain_probe, correlation_clusters, variance_inflation, standardisation,
 )

@@ -2,57 +2,54 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators import governance as g
 from tributary.operators import models as m
-from tributary.operators import profile, schedule
+from tributary.operators import schedule
 from tributary.operators import vectorise as v
-from tributary.plans.decision_queries import _BRANCHES, FEATURES, branches
-from tributary.plans.feature_queries import _round
+from tributary.plans.decision_queries import _ALERTS, _BRANCHES, FEATURES, alerts, branches
 from tributary.plans.label_queries import LABELLED_SQL, WINDOWS, _labelled
 from tributary.plans.profile_queries import SQL as PROFILE_SQL
 from tributary.plans.profile_queries import RULER
+from tributary.sources import alerts as alert_log
 from tributary.sources import lake
 from tributary.sources.flows import FLOWS_SQL, flows
+from tributary.sources.scratch import scratch
 from tributary.streaming import flows as streaming
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder that all executors share: under the checkpoint folder, or a local one where the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(root or '/tmp/checkpoints').rstrip('/')}/tributary/{what}-{uuid.uuid4().hex}"
-
-
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.vectors(flows(spark, d), FEATURES, ("uid", "label_class"))
 
 
-def behavioural_label(spark: SparkSession, d: str) -> DataFrame:
-    sample = m.bounded_sample(_vectors(spark, d), 4_000)
-    import numpy as np
+def _sound(labelled: DataFrame, classes: list[str], extra: str) -> DataFrame:
+    """What must hold of any model's labels: a row for each flow, a known class, a confidence no less than chance and its margin."""
+    sure, margin = F.col("label_confidence"), F.col("label_margin")
+    return labelled.select("uid", F.col("label_class").isin(*classes).alias("known"), ((sure >= 1 / len(classes) - 1e-9) & (sure <= 1)).alias("sure"), ((margin >= 0) & (margin <= sure)).alias("margin"), (F.col(extra) >= 0).alias(extra))
 
-    branch = m.fit_branch(np.stack(sample["features"].to_numpy()), sample["label_class"].tolist(), epochs=3)
-    return m.predict(_vectors(spark, d), branch)
+
+def behavioural_label(spark: SparkSession, d: str) -> DataFrame:
+    phi = {c.name: 0.1 for c in FEATURES.constraints}
+    return _sound(m.LABELLERS.get("behavioural").label(_vectors(spark, d), FEATURES, most=4_000, epochs=3, phi=phi), _classes(spark, d), "recon_error")
 
 
 def contrastive_label(spark: SparkSession, d: str) -> DataFrame:
-    sample = m.bounded_sample(_vectors(spark, d), 2_000)
-    import numpy as np
+    return _sound(m.LABELLERS.get("contrastive").label(_vectors(spark, d), FEATURES, most=2_000, reservoir=256, rounds=2, epochs=2), _classes(spark, d), "view_agreement")
+
 
-    branch = m.fit_contrastive(np.stack(sample["features"].to_numpy()), sample["label_class"].tolist(), FEATURES, rounds=2, epochs=2)
-    return m.predict_contrastive(_vectors(spark, d), branch)
+def _classes(spark: SparkSession, d: str) -> list[str]:
+    return [r[0] for r in flows(spark, d).select("label_class").distinct().collect()]
 
 
 def oos_probe(spark: SparkSession, d: str) -> DataFrame:
-    return m.out_of_fold(_vectors(spark, d), epochs=2)
+    """Every labelled row with its class's number, and whether its probabilities are some."""
+    out = m.out_of_fold(_vectors(spark, d), epochs=2)
+    total = F.aggregate("probs", F.lit(0.0), lambda s, p: s + p)
+    return out.select(F.col("key").alias("uid"), "label", (F.abs(total - 1) < 1e-9).alias("sums_to_one"), F.forall("probs", lambda p: (p >= 0) & (p <= 1)).alias("probabilities"))
 
 
 def class_reservoir(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +80,38 @@ def footer_inventory(spark: SparkSession, d: str) -> DataFrame:
     return lake.footer_inventory(spark, [f"{d}/{t}.parquet" for t in TABLES])
 
 
+def eve_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts written as an intrusion detection log, beside events of another kind, and read back."""
+    path = scratch(spark, "eve")
+    made = alerts(spark, d)
+    at = F.date_format(F.timestamp_micros(F.round(F.col("ts") * 1e6).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    log = made.select(F.concat(at, F.lit("+0000")).alias("timestamp"), F.lit("alert").alias("event_type"), "src_ip", "dest_ip", F.struct("signature").alias("alert"))
+    other = made.limit(5).select(F.lit("2024-01-01").alias("timestamp"), F.lit("dns").alias("event_type"), "src_ip", "dest_ip", F.struct("signature").alias("alert"))
+    log.union(other).write.json(path)
+    return alert_log.read_alerts(spark, path).withColumn("ts", F.round("ts", 4))
+
+
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A table written as CSV, with the number of rows that the writer gave, and read back as strings."""
+    path, source = scratch(spark, "csv"), lake.read_table(spark, d, "nation")
+    n = lake.write_csv(source, path)
+    return lake.read_text_csv(spark, path).withColumn("rows_written", F.lit(n).cast("long"))
+
+
+def lake_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Logs of a mirror by data set and kind, with what their footers say."""
+    base, f = scratch(spark, "mirror"), flows(spark, d)
+    for name in ("dom-0", "dom-1"):
+        f.where(F.col("dataset") == name).drop("history" if name == "dom-1" else "none").write.parquet(f"{base}/{name}/cap/conn.parquet")
+    f.select("uid").write.parquet(f"{base}/dom-1/cap/dns.parquet")
+    rows = []
+    for dataset, kinds in lake.catalog(spark, base).items():
+        for kind, paths in kinds.items():
+            s = lake.summarize(spark, paths)
+            rows.append((dataset, kind, s["files"], s["rows"], s["signatures"], "history" in s["columns"]))
+    return spark.createDataFrame(rows, "dataset string, log string, files long, n_rows long, signatures long, has_history boolean")
+
+
 def schema_drift(spark: SparkSession, d: str) -> DataFrame:
     diff = lake.schema_diff(lake.read_table(spark, d, "customer").schema, lake.read_table(spark, d, "supplier").schema)
     rows = [("left", c) for c in diff["only_left"]] + [("right", c) for c in diff["only_right"]]
@@ -128,10 +157,30 @@ def stream_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_sample(spark: SparkSession, d: str) -> DataFrame:
-    return _round(profile.moments(lake.scan(flows(spark, d), F.col("duration").isNotNull(), 50.0, None, 3), RULER))
+    """A sample by design: that it is one of the valid rows, and about half of them."""
+    f = flows(spark, d)
+    part = lake.scan(f, F.col("duration").isNotNull(), 50.0, None, 3)
+    total, some, valid, inside = f.where("duration is not null").count(), part.count(), part.where("duration is null").count() == 0, part.join(f, "uid", "left_anti").count() == 0
+    few = lake.scan(f, None, 50.0, 7, 3).count()
+    return spark.createDataFrame([(valid and inside, abs(some - total / 2) <= 4 * (total / 4) ** 0.5, few)], "of_the_rows boolean, about_half boolean, limited long")
 
 
+_KNOWN = "true AS known, true AS sure, true AS margin"
 SQL = {
+    "behavioural_label": f"WITH {FLOWS_SQL} SELECT uid, {_KNOWN}, true AS recon_error FROM flows",
+    "contrastive_label": f"WITH {FLOWS_SQL} SELECT uid, {_KNOWN}, true AS view_agreement FROM flows",
+    "oos_probe": f"WITH {FLOWS_SQL}, c AS (SELECT label_class, CAST(row_number() OVER (ORDER BY label_class) - 1 AS INTEGER) AS label FROM (SELECT DISTINCT label_class FROM flows)) SELECT uid, label, true AS sums_to_one, true AS probabilities FROM flows JOIN c ON flows.label_class = c.label_class",
+    "profile_sample": "SELECT true AS of_the_rows, true AS about_half, CAST(7 AS BIGINT) AS limited",
+    "eve_alerts": f"WITH {_ALERTS} SELECT round(ts, 4) AS ts, src_ip, dest_ip, signature FROM alerts",
+    "csv_roundtrip": "SELECT CAST(COLUMNS(*) AS VARCHAR), (SELECT count(*) FROM nation) AS rows_written FROM nation",
+    "lake_catalogue": f"WITH {FLOWS_SQL} SELECT dataset, 'conn' AS log, 1::BIGINT AS files, count(*) AS n_rows, 1::BIGINT AS signatures, dataset = 'dom-0' AS has_history FROM flows WHERE dataset IN ('dom-0', 'dom-1') GROUP BY dataset UNION ALL SELECT 'dom-1', 'dns', 1, count(*), 1, false FROM flows",
+    "label_gate": f"""{LABELLED_SQL}, r AS (SELECT rule, count(DISTINCT orig_h) AS srcs, count(DISTINCT resp_h) AS dsts FROM labelled WHERE label_binary GROUP BY 1),
+      silent AS (SELECT string_agg(name, ', ' ORDER BY name) AS s FROM (VALUES {', '.join(f"('{w.name}')" for w in WINDOWS)}) v(name) WHERE name NOT IN (SELECT rule FROM r)), n AS (SELECT count(*) AS n, count(DISTINCT uid) AS d FROM labelled),
+      b AS (SELECT capture, floor(ts / 600) AS slot, count(*) AS n, count(*) FILTER (orig_h IN ('192.168.0.3', '192.168.2.5') OR resp_h IN ('192.168.0.3', '192.168.2.5') OR starts_with(orig_h, '192.168.1.') OR starts_with(resp_h, '192.168.1.')) AS v FROM labelled WHERE NOT label_binary GROUP BY 1, 2),
+      top AS (SELECT * FROM b ORDER BY n DESC, capture, slot LIMIT 10), odd AS (SELECT count(*) AS k FROM top, n WHERE top.n > greatest(10000, 0.005 * n.n) AND v > 0.9 * top.n),
+      f AS (SELECT 'every rule claims a flow' AS name, 'fatal' AS kind, 'silent: ' || s AS what FROM silent WHERE s IS NOT NULL UNION ALL SELECT 'uid is unique', 'fatal', (n - d) || ' rows repeat a uid' FROM n WHERE n <> d)
+      SELECT * FROM f UNION ALL (SELECT 'rule breadth', 'advice', 'widest is ' || rule || ': ' || srcs || ' sources, ' || dsts || ' destinations' FROM r ORDER BY srcs + dsts DESC, rule LIMIT 1) UNION ALL SELECT 'no undeclared burst', 'advice', k || ' buckets look like an attack' FROM odd WHERE k > 0
+      UNION ALL SELECT 'gate', 'result', CASE WHEN EXISTS (SELECT 1 FROM f) THEN 'failed' ELSE 'passed' END""",
     "class_reservoir": f"WITH {FLOWS_SQL} SELECT uid, label_class FROM flows QUALIFY row_number() OVER (PARTITION BY label_class ORDER BY CAST('0x' || substr(md5('reservoir' || uid), 1, 15) AS BIGINT) % 1099511627776, uid) <= 100",
     "label_churn": f"WITH {_BRANCHES} SELECT count(*) AS compared, count(*) FILTER (ac <> bc) AS changed FROM j",
     "ndjson_roundtrip": "SELECT * FROM conversations",
@@ -144,4 +193,4 @@ SQL = {
     "stream_profile": PROFILE_SQL["profile_moments"],
 }
 
-QUERIES = (behavioural_label, contrastive_label, oos_probe, class_reservoir, label_churn, ndjson_roundtrip, union_by_name, footer_inventory, schema_drift, provenance_stamp, label_gate, stream_label, stream_profile, profile_sample)
+QUERIES = (behavioural_label, contrastive_label, oos_probe, class_reservoir, label_churn, ndjson_roundtrip, union_by_name, footer_inventory, schema_drift, provenance_stamp, label_gate, stream_label, stream_profile, profile_sample, eve_alerts, csv_roundtrip, lake_catalogue)

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.functions import ranks
 from tributary.operators import compare as c
 from tributary.operators import profile as p
 from tributary.sources.flows import FLOWS_SQL, flows
@@ -14,7 +15,6 @@ from tributary.streaming.flows import merged_moments
 
 RULER = p.Ruler()
 BY_DOMAIN = p.Ruler(group="dataset")
-PAIRS = (("orig_pkts", "resp_pkts"), ("duration", "total_pkts"), ("orig_bytes_per_pkt", "resp_bytes_per_pkt"), ("total_bytes", "byte_ratio"), ("resp_port", "total_pkts"), ("duration", "byte_ratio"))
 
 
 def _r(name: str, digits: int = 6):
@@ -54,7 +54,13 @@ def profile_quantiles_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_quantiles_approx(spark: SparkSession, d: str) -> DataFrame:
-    return p.quantiles(flows(spark, d), RULER, exact=False)
+    """The sketch's quantiles, and whether the share of rows below and up to each is within a hundredth of what was asked."""
+    f, rough = flows(spark, d), p.quantiles(flows(spark, d), RULER, exact=False).withColumnRenamed("value", "rough")
+    ranked = ranks.value_ranks(ranks.count_values(ranks.to_long(p.project(f, RULER), [x.name for x in RULER.features], ["label_class"]), ["label_class", "feature"], "value"), ["label_class", "feature"], "value", "n")
+    met = rough.join(ranked, ["label_class", "feature"], "left").groupBy("label_class", "feature", "q", "rough").agg(F.sum(F.when(F.col("value") < F.col("rough"), F.col("n"))).alias("below"), F.sum(F.when(F.col("value") <= F.col("rough"), F.col("n"))).alias("upto"), F.sum("n").alias("n"))
+    asked = F.get(F.array(*(F.lit(x) for x in p.QUANTILES)), "q")
+    fine = (F.coalesce("below", F.lit(0)) <= (asked + 0.01) * F.col("n")) & (F.coalesce("upto", F.lit(0)) >= (asked - 0.01) * F.col("n"))
+    return met.select("label_class", "feature", "q", F.coalesce(fine, F.col("n").isNull() & F.col("rough").isNull()).alias("within"))
 
 
 def distinct_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +68,10 @@ def distinct_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_approx(spark: SparkSession, d: str) -> DataFrame:
-    return p.distinct_counts(flows(spark, d), RULER)
+    """Whether the sketch's counts are within a tenth of the true ones."""
+    f = flows(spark, d)
+    both = p.distinct_counts(f, RULER).withColumnRenamed("n_distinct", "rough").join(p.distinct_counts(f, RULER, exact=True), ["label_class", "column"])
+    return both.select("label_class", "column", "n_distinct", (F.abs(F.col("rough") - F.col("n_distinct")) <= 0.1 * F.col("n_distinct") + 1).alias("within"))
 
 
 def compare_js(spark: SparkSession, d: str) -> DataFrame:
@@ -93,24 +102,24 @@ def compare_pearson(spark: SparkSession, d: str) -> DataFrame:
 
 def compare_rank_corr(spark: SparkSession, d: str) -> DataFrame:
     f = flows(spark, d)
-    return c.rank_correlation(p.histograms(f, BY_DOMAIN), p.joint_histograms(f, BY_DOMAIN, PAIRS), ["dataset"]).withColumn("rank_corr", F.round("rank_corr", 6))
+    return c.rank_correlation(p.histograms(f, BY_DOMAIN), p.joint_histograms(f, BY_DOMAIN), ["dataset"]).withColumn("rank_corr", F.round("rank_corr", 6))
 
 
 def pooled_moments(spark: SparkSession, d: str) -> DataFrame:
-    """Benign, attack and all as sums of two data sets' profiles, without a second scan of their rows."""
-    f = flows(spark, d)
-    parts = [p.moments(f.where(F.col("dataset") == n), RULER) for n in ("dom-0", "dom-1")]
-    view = F.explode(F.array(F.lit("all"), F.when(F.col("label_class") == "error", "attack").otherwise("benign")))
-    merged = merged_moments(parts[0].union(parts[1]).withColumn("view", view), "view")
+    """Benign, attack and all as sums of the data sets' profiles by class: one scan, then sums of a few rows."""
+    parts = p.moments(flows(spark, d).withColumn("cell", F.struct("dataset", "label_class")), p.Ruler(group="cell"))
+    view = F.explode(F.array(F.lit("all"), F.when(F.col("cell.label_class") == "error", "attack").otherwise("benign")))
+    merged = merged_moments(parts.withColumn("view", view), "view")
     return merged.select("view", "feature", "n", "n_null", "n_zero", _r("lo"), _r("hi"), _r("sum_t", 4), _r("sumsq_t", 4))
 
 
 def compare_profiles(spark: SparkSession, d: str) -> DataFrame:
     """One data set's profile against another's, feature by feature, with verdicts."""
-    f = flows(spark, d)
+    f = flows(spark, d).withColumn("label_class", F.when(F.col("label_class") == "error", "dos").otherwise("benign"))
     docs = [p.profile(f.where(F.col("dataset") == n), RULER) for n in ("dom-0", "dom-1")]
-    rows = [(r["feature"], r["js_all"], r["signal"], r["cohens_d"], r["var_ratio"], r["verdict"]) for r in c.compare(docs[0], docs[1:])]
-    return spark.createDataFrame(rows, "feature string, js_all double, signal double, cohens_d double, var_ratio double, verdict string")
+    names = ("js_all", "js_benign", "js_attack", "signal", "cohens_d", "var_ratio")
+    rows = [(r["feature"], *(None if r[n] is None else round(r[n], 6) for n in names), r["verdict"]) for r in c.compare(docs[0], docs[1:])]
+    return spark.createDataFrame(rows, "feature string, " + ", ".join(f"{n} double" for n in names) + ", verdict string")
 
 
 _EXPR = {
@@ -160,6 +169,26 @@ def _nmi(balanced: bool) -> str:
         / -(max(ya) * log2(max(ya)) + (1 - max(ya)) * log2(1 - max(ya))))), 9) AS signal FROM j GROUP BY 1"""
 
 
+def _two_js(where: str) -> str:
+    """Divergence of dom-0 from dom-1 by feature, of the rows of `side` that `where` names."""
+    return f"""(SELECT feature, CASE WHEN max(tl) > 0 AND max(tr) > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, sum(CASE WHEN l > 0 THEN l / tl * log2(2 * (l / tl) / (l / tl + r / tr)) ELSE 0 END + CASE WHEN r > 0 THEN r / tr * log2(2 * (r / tr) / (l / tl + r / tr)) ELSE 0 END) / 2)) END AS js
+      FROM (SELECT *, sum(l) OVER (PARTITION BY feature) AS tl, sum(r) OVER (PARTITION BY feature) AS tr FROM (SELECT feature, bin, sum(CASE WHEN dataset = 'dom-0' THEN count ELSE 0 END)::DOUBLE AS l, sum(CASE WHEN dataset = 'dom-1' THEN count ELSE 0 END)::DOUBLE AS r FROM side WHERE {where} GROUP BY 1, 2)) GROUP BY 1)"""
+
+
+def _compare() -> str:
+    counted = _each(lambda n: f"SELECT dataset, label_class = 'error' AS attack, '{n}' AS feature, {_bin(n)} AS bin, count(*) AS count FROM f WHERE {n} IS NOT NULL AND dataset IN ('dom-0', 'dom-1') GROUP BY ALL")
+    sums = _each(lambda n: f"SELECT '{n}' AS feature, dataset, count(*)::DOUBLE AS n, count(*) FILTER ({n} IS NULL) / count(*)::DOUBLE AS undefined, count(*) FILTER ({n} = 0) / count(*)::DOUBLE AS zeros, sum({_T[n]}) / count(*) AS mean, greatest(0.0::DOUBLE, sum(({_T[n]}) * ({_T[n]})) / count(*) - (sum({_T[n]}) / count(*)) ** 2) AS var FROM f WHERE dataset IN ('dom-0', 'dom-1') GROUP BY dataset")
+    return f"""{PROJECTED}, side AS ({counted}), m AS ({sums}),
+      w AS (SELECT feature, bin, sum(CASE WHEN attack THEN count ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN NOT attack THEN count ELSE 0 END)::DOUBLE AS b FROM side WHERE dataset = 'dom-0' GROUP BY 1, 2),
+      t AS (SELECT *, sum(a) OVER (PARTITION BY feature) AS ta, sum(b) OVER (PARTITION BY feature) AS tb FROM w),
+      g AS (SELECT feature, greatest(0.0::DOUBLE, least(1.0::DOUBLE, sum(CASE WHEN a > 0 THEN a / (ta + tb) * log2(a * (ta + tb) / (ta * (a + b))) ELSE 0 END + CASE WHEN b > 0 THEN b / (ta + tb) * log2(b * (ta + tb) / (tb * (a + b))) ELSE 0 END)
+        / -(max(ta / (ta + tb)) * log2(max(ta / (ta + tb))) + max(tb / (ta + tb)) * log2(max(tb / (ta + tb)))))) AS signal FROM t GROUP BY 1),
+      j AS (SELECT x.feature, ja.js AS js_all, jb.js AS js_benign, jt.js AS js_attack, g.signal, CASE WHEN x.var + y.var > 0 THEN (x.mean - y.mean) / sqrt((x.var + y.var) / 2) END AS cohens_d, x.var / nullif(y.var, 0) AS var_ratio, x.undefined, x.zeros, x.var
+        FROM m x JOIN m y ON x.feature = y.feature AND x.dataset = 'dom-0' AND y.dataset = 'dom-1' JOIN {_two_js('true')} ja ON ja.feature = x.feature JOIN {_two_js('NOT attack')} jb ON jb.feature = x.feature JOIN {_two_js('attack')} jt ON jt.feature = x.feature JOIN g ON g.feature = x.feature)
+      SELECT feature, {', '.join(f'round({k}, 6) AS {k}' for k in ('js_all', 'js_benign', 'js_attack', 'signal', 'cohens_d', 'var_ratio'))},
+        CASE WHEN undefined > 0.25 THEN 'mostly undefined' WHEN var < 1e-6 THEN 'dead' WHEN zeros > 0.98 AND signal < 0.02 THEN 'dead (zeros)' WHEN js_benign > 0.15 THEN 'domain-biased' WHEN signal < 0.02 THEN 'uninformative' WHEN js_benign < 0.05 AND signal >= 0.10 THEN 'transfers' ELSE 'ok' END AS verdict FROM j"""
+
+
 _CATS = RULER.categorical
 
 
@@ -181,12 +210,15 @@ SQL = {
     "profile_quantiles_exact": PROJECTED + " " + _each(lambda n: f"SELECT label_class, '{n}' AS feature, CAST(q AS INTEGER) AS q, round(v[q + 1], 6) AS value FROM (SELECT label_class, quantile_cont({n}, [{', '.join(map(str, p.QUANTILES))}]) AS v FROM f GROUP BY 1), range(7) r(q)"),
     "distinct_exact": f"WITH {FLOWS_SQL} " + " UNION ALL ".join(f"SELECT label_class, '{k}' AS \"column\", count(DISTINCT {k}) AS n_distinct FROM flows GROUP BY 1" for k in RULER.identity),
     "pooled_moments": PROJECTED + ", v AS (SELECT *, unnest(['all', CASE WHEN label_class = 'error' THEN 'attack' ELSE 'benign' END]) AS view FROM f) " + _each(lambda n: f"SELECT view, '{n}' AS feature, count(*) AS n, count(*) FILTER ({n} IS NULL) AS n_null, count(*) FILTER ({n} = 0) AS n_zero, round(min({n}), 6) AS lo, round(max({n}), 6) AS hi, round(sum({_T[n]}), 4) AS sum_t, round(sum(({_T[n]}) * ({_T[n]})), 4) AS sumsq_t FROM v GROUP BY 1"),
+    "profile_quantiles_approx": f"{PROJECTED} " + _each(lambda n: f"SELECT label_class, '{n}' AS feature, CAST(q AS INTEGER) AS q, true AS within FROM (SELECT DISTINCT label_class FROM f), range({len(p.QUANTILES)}) r(q)"),
+    "distinct_approx": f"WITH {FLOWS_SQL} " + " UNION ALL ".join(f"SELECT label_class, '{k}' AS \"column\", count(DISTINCT {k}) AS n_distinct, true AS within FROM flows GROUP BY 1" for k in RULER.identity),
+    "compare_profiles": _compare(),
     "compare_js": f"{PROJECTED}, {_hist('dataset')}, {_js('hist', 'feature', 'bin')}",
     "compare_cat_js": f"WITH {FLOWS_SQL}, {_cats('dataset')}, " + _js("cats", '"column"', "value"),
     "compare_nmi": _nmi(False),
     "compare_nmi_balanced": _nmi(True),
     "compare_pearson": PROJECTED + " " + " UNION ALL ".join(f"SELECT dataset, '{a}' AS a, '{b}' AS b, round(CASE WHEN stddev_pop({_T[a]}) = 0 OR stddev_pop({_T[b]}) = 0 THEN NULL ELSE corr({_T[a]}, {_T[b]}) END, 6) AS corr FROM f GROUP BY 1" for a, b in combinations(_EXPR, 2)),
-    "compare_rank_corr": f"""{PROJECTED}, {_hist('dataset')}, j AS ({_joint('dataset', PAIRS)}),
+    "compare_rank_corr": f"""{PROJECTED}, {_hist('dataset')}, j AS ({_joint('dataset', combinations(_EXPR, 2))}),
       q AS (SELECT dataset, feature, bin, count, (coalesce(sum(count) OVER (PARTITION BY dataset, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + count / 2) / sum(count) OVER (PARTITION BY dataset, feature) AS q FROM hist),
       m AS (SELECT dataset, feature, sum(count * q) / sum(count) AS mean, sum(count * q * q) / sum(count) - (sum(count * q) / sum(count)) ** 2 AS var FROM q GROUP BY 1, 2),
       e AS (SELECT j.dataset, j.a, j.b, sum(j.count * x.q * y.q) / sum(j.count) AS exy, sum(j.count) AS total FROM j JOIN q x ON x.dataset = j.dataset AND x.feature = j.a AND x.bin = j.cell // 1000 JOIN q y ON y.dataset = j.dataset AND y.feature = j.b AND y.bin = j.cell % 1000 GROUP BY 1, 2, 3)
