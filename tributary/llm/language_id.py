@@ -104,21 +104,33 @@ def learn(docs: DataFrame, max_docs: int = MAX_LEARN) -> Model:
     return Model(langs, (log - log.mean(1, keepdims=True)).astype(np.float32) if langs else counts, np.where(uses | ~uses.any(1, keepdims=True), 0, 1e3))
 
 
-def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best labels of one text's words, given (words, languages) scores; ties go to staying, then to the first language."""
-    best, back = scores[0].copy(), np.zeros(scores.shape, np.int8)
-    stay = np.arange(scores.shape[1])
-    for t in range(1, len(scores)):
-        top = int(best.argmax())
-        moves = best[top] - switch > best
-        back[t] = np.where(moves, top, stay)
-        best = np.where(moves, best[top] - switch, best) + scores[t]
-    path = np.empty(len(scores), np.int64)
-    k = int(best.argmax())
+def viterbi(scores: np.ndarray, switch: float = SWITCH, block: int = 20_000) -> np.ndarray:
+    """The best labels of one text's words, given (words, languages) scores; ties go to staying, then to the first language.
+
+    Of each step it keeps the best language before it and, as bits, which languages are entered from that one. The few
+    numbers of a step are handled as Python floats, which is faster than arrays of a few.
+    """
+    best, tops, entered = scores[0].tolist(), [0], [0]
+    for start in range(1, len(scores), block):
+        for row in scores[start : start + block].tolist():
+            most = max(best)
+            bar = most - switch
+            bits = 0
+            if min(best) < bar:
+                for k, b in enumerate(best):
+                    if b < bar:
+                        bits |= 1 << k
+                        best[k] = bar
+            tops.append(best.index(most))
+            entered.append(bits)
+            best = [b + x for b, x in zip(best, row)]
+    path = [0] * len(scores)
+    k = best.index(max(best))
     for t in range(len(scores) - 1, -1, -1):
         path[t] = k
-        k = int(back[t, k])
-    return path
+        if entered[t] >> k & 1:
+            k = tops[t]
+    return np.array(path)
 
 
 def _pieces(texts: list[str], window: int) -> Iterator[tuple[list[str], list[int]]]:
