@@ -110,21 +110,26 @@ def _ntile(place: Column, total: Column, bins: int) -> Column:
     return F.when(place < edge, F.floor(place / (small + 1)) + 1).otherwise(large + F.floor(F.try_divide(place - edge, small)) + 1).cast("int")
 
 
-def binned_counts(df: DataFrame, columns: Sequence[str], key: str, bins: int, carry: str) -> DataFrame:
+def counts_by_value(df: DataFrame, columns: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """feature, value (null too), the carried columns, n: written once, as ranks and bins both read it."""
+    return materialise(to_long(df, columns, carry).groupBy("feature", "value", *(col(c) for c in carry)).agg(F.count(F.lit(1)).alias("n")), "value-counts")
+
+
+def binned_counts(df: DataFrame, columns: Sequence[str], key: str, bins: int, carry: str, counted: DataFrame | None = None, ranked: DataFrame | None = None) -> DataFrame:
     """feature, bin, carry, n: rows by bin, 1 .. bins of equal numbers of rows by (value, key), 0 for null.
 
-    Bins come from counts by value: a value whose rows all fall into one bin needs no more. Only rows of the values that
-    an edge cuts, fewer than `bins` a feature, are ranked by key.
+    Bins come from counts by value (`counted`: feature, value, carry, n; `ranked`: feature, value, n, before; made here where not
+    given): a value whose rows all fall into one bin needs no more. Only rows of the values that an edge cuts, fewer than
+    `bins` a feature, are ranked by key.
     """
-    counted = to_long(df, columns, [carry]).groupBy("feature", "value", col(carry)).agg(F.count(F.lit(1)).alias("n"))
-    counted = materialise(counted, "value-counts")
-    by_value = counted.where("value is not null").groupBy("feature", "value").agg(F.sum("n").alias("n"))
-    ranked = value_ranks(by_value, ["feature"], "value", "n")
-    totals = by_value.groupBy("feature").agg(F.sum("n").alias("total"))
+    counted = counts_by_value(df, columns, [carry]) if counted is None else counted
+    if ranked is None:
+        ranked = value_ranks(counted.where("value is not null").groupBy("feature", "value").agg(F.sum("n").alias("n")), ["feature"], "value", "n")
+    totals = ranked.groupBy("feature").agg(F.sum("n").alias("total"))
     placed = ranked.join(F.broadcast(totals), "feature")
     first, last = _ntile(F.col("before"), F.col("total"), bins), _ntile(F.col("before") + F.col("n") - 1, F.col("total"), bins)
-    placed = placed.select("feature", "value", "before", "total", first.alias("bin"), last.alias("last"))
-    cut = materialise(placed.where("bin <> last").select("feature", "value", "before", "total"), "cut-values")
+    placed = materialise(placed.select("feature", "value", "before", "total", first.alias("bin"), last.alias("last")), "placed-values")
+    cut = placed.where("bin <> last").select("feature", "value", "before", "total")
     whole = counted.join(placed.where("bin = last").select("feature", "value", "bin"), ["feature", "value"]).select("feature", "bin", col(carry), "n")
     out = whole.union(counted.where("value is null").select("feature", F.lit(0).alias("bin"), col(carry), "n"))
     names = [r.feature for r in cut.select("feature").distinct().collect()]  # at most as many as columns

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.ranks import binned_counts, to_long, value_ranks
+from tributary.functions.ranks import binned_counts, counts_by_value, to_long, value_ranks
 from tributary.sources.scratch import materialise
 
 BINS, DOMAIN_HIGH = 20, 0.75
@@ -26,11 +26,14 @@ def _information(cells: DataFrame) -> DataFrame:
     return mi.join(h, "feature").select("feature", "mi", F.coalesce(F.try_divide("mi", "h"), F.lit(0.0)).alias("relevance"))
 
 
-def mutual_information(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, key: str, bins: int = BINS) -> DataFrame:
-    """Of all features at once; numeric ones in bins of equal frequency (ties by key), null in a bin of its own."""
+def mutual_information(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, key: str, bins: int = BINS, counted: DataFrame | None = None, ranked: DataFrame | None = None) -> DataFrame:
+    """Of all features at once; numeric ones in bins of equal frequency (ties by key), null in a bin of its own.
+
+    counted, ranked: what binned_counts() takes of numeric values, where the caller has them.
+    """
     cells = []
     if numeric:
-        cells.append(binned_counts(df, numeric, key, bins, label).select("feature", F.col("bin").cast("string").alias("b"), F.col(label).alias("y"), "n"))
+        cells.append(binned_counts(df, numeric, key, bins, label, counted, ranked).select("feature", F.col("bin").cast("string").alias("b"), F.col(label).alias("y"), "n"))
     if categorical:
         long = to_long(df, categorical, [label], "string").select("feature", F.coalesce("value", F.lit("__null")).alias("b"), F.col(label).alias("y"))
         cells.append(long.groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n")))
@@ -60,20 +63,34 @@ def domain_auc(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     return _auc(value_ranks(both, ["feature"], "s", "n"))
 
 
-def worst_domain_auc(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], domain: str) -> DataFrame:
-    """The most identifiable domain's AUC of each feature. Values are counted and ranked once for all domains."""
+def domains(df: DataFrame, domain: str) -> list[str]:
     names = [r[0] for r in df.select(domain).distinct().orderBy(domain).limit(MAX_DOMAINS + 1).collect()]
     if len(names) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains: {domain} is no domain")
+    return names
+
+
+def _ranked_by_domain(counted: DataFrame, names: Sequence[str], domain: str) -> DataFrame:
+    """feature, value, n, before and _d0, _d1, ...: rows of each domain that have the value, ranked once for all."""
+    each = [F.sum(F.when(F.col(domain) == d, F.col("n")).otherwise(0)).alias(f"_d{i}") for i, d in enumerate(names)]
+    return value_ranks(counted.where("value is not null").groupBy("feature", "value").agg(F.sum("n").alias("n"), *each), ["feature"], "value", "n")
+
+
+def worst_domain_auc(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], domain: str, names: Sequence[str] | None = None, ranked: DataFrame | None = None) -> DataFrame:
+    """The most identifiable domain's AUC of each feature. Values are counted and ranked once for all domains.
+
+    names, ranked: the domains and numeric values ranked with their counts, where the caller has them.
+    """
+    names = names or domains(df, domain)
     if len(names) < 2:
         return domain_auc(df, numeric, categorical, F.col(domain) == names[0]).select("feature", F.lit(None).cast("double").alias("auc"))
-    per = [F.count_if(F.col(domain) == d).alias(f"_d{i}") for i, d in enumerate(names)]
     each = F.posexplode(F.array(*(F.col(f"_d{i}") for i in range(len(names))))).alias("_d", "n_pos")
     found = []
     if numeric:
-        counted = to_long(df, numeric, [domain]).where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), *per)
-        found.append(value_ranks(counted, ["feature"], "value", "n").select("feature", "before", "n", each))
+        ranked = ranked if ranked is not None else _ranked_by_domain(counts_by_value(df, numeric, [domain]), names, domain)
+        found.append(ranked.select("feature", "before", "n", each))
     if categorical:  # a value's score differs by domain, so ranks do
+        per = [F.count_if(F.col(domain) == d).alias(f"_d{i}") for i, d in enumerate(names)]
         counted = to_long(df, categorical, [domain], "string").where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), *per)
         rated = counted.select("feature", "n", each).groupBy("feature", "_d", (F.col("n_pos") / F.col("n")).alias("s")).agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"))
         found.append(value_ranks(rated, ["feature", "_d"], "s", "n").select("feature", "before", "n", "_d", "n_pos"))
@@ -91,7 +108,14 @@ def decide(measured: DataFrame) -> DataFrame:
 
 
 def analyse(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str = "label_class", domain: str = "dataset", key: str = "uid") -> DataFrame:
-    return decide(mutual_information(df, numeric, categorical, label, key).join(worst_domain_auc(df, numeric, categorical, domain), "feature"))
+    """Relevance and leakage of all features: numeric values are counted by label and domain in one shuffle and ranked once for both."""
+    names, counted, ranked = domains(df, domain), None, None
+    if numeric and len(names) > 1 and label != domain:
+        each = counts_by_value(df, numeric, [label, domain])
+        ranked = _ranked_by_domain(each, names, domain)
+        counted = each.groupBy("feature", "value", label).agg(F.sum("n").alias("n"))
+    information = mutual_information(df, numeric, categorical, label, key, BINS, counted, None if ranked is None else ranked.select("feature", "value", "n", "before"))
+    return decide(information.join(worst_domain_auc(df, numeric, categorical, domain, names, ranked), "feature"))
 
 
 def joint_domain_auc(df: DataFrame, numeric: Sequence[str], domain: str, sample: int = 200_000) -> float | None:
