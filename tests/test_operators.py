@@ -267,7 +267,8 @@ def test_reconstruction_judges_each_part_and_its_gradient_is_right():
     z[:, 3] = np.abs(z[:, 3]) + 0.5
     loss, g = models.reconstruction(x, fs, phi)(z)
     step = rng.normal(size=z.shape) * 1e-6
-    assert abs(models.reconstruction(x, fs, phi)(z + step)[0] - loss - (g * step).sum()) < 1e-10
+    up, down = (models.reconstruction(x, fs, phi)(z + k * step)[0] for k in (1, -1))
+    assert loss > 0 and abs((up - down) / 2 - (g * step).sum()) < 1e-6 * abs((g * step).sum())
     assert models.reconstruction(x, fs, phi)(z)[0] > models.reconstruction(x, fs)(z)[0]
     net, losses, encodes = models.pretrain_autoencoder(x, 4, 60, fs=fs, phi=phi, rate=1e-2)
     assert losses[-1] < 0.7 * losses[0] and encodes == 2
