@@ -80,6 +80,12 @@ def test_clustered_vectors_are_pruned_and_exact():
     assert sorted(asked.rows()) == sorted(want)
 
 
+def test_slots_are_dealt_one_to_a_partition(spark):
+    keys = vector_search.slot_keys(spark, 13)
+    rows = keys.repartition(13, "place").select("slot", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r.slot, r.part) for r in rows) == [(i, i) for i in range(13)]
+
+
 def test_clustered_table_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "BLOCK_ROWS", 64)
     rng = np.random.default_rng(7)

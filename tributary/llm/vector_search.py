@@ -7,8 +7,8 @@ few segments, doubling in length, to more and more single components; at each, c
 the k-th score that a query has already are ruled out. Exact scores, from the untouched integers, are taken of the pairs that
 are left and of no others.
 
-Vectors are packed into blocks of bounded size, longest first; each block of queries meets the blocks of candidates of
-a slot in order of length, and its k-th scores rise from block to block. A query starts with its k-th score in one block.
+Vectors are packed into blocks of bounded size; each block of queries meets the blocks of candidates of a slot one
+after another, and its k-th scores rise from block to block. A query starts with its k-th score in one block.
 
 Components become floor(256 * x). Vectors that are null or hold null or non-finite components take no part; vectors
 are compared with those of their length only. Ties go to the smaller vec_id. A query never meets rows of its own
@@ -31,7 +31,7 @@ LEARN_ROWS = 4_096
 SEED_DIMS = 16
 #: A level that rules out less than this share of the pairs is the last one.
 LEAST_GAIN = 0.02
-BLOCK = "slot int, dim int, number long, norm double, ids binary, data binary"
+BLOCK = "slot int, dim int, number long, ids binary, data binary"
 
 
 def integers(vectors: np.ndarray) -> np.ndarray:
@@ -62,15 +62,14 @@ def _pack(rows: int, slots: int):
         def send(dim):
             nonlocal sent
             ids, data = (np.concatenate(x) for x in zip(*held.pop(dim)))
-            norms = np.sqrt((data * data).sum(1))
-            order = np.argsort(-norms, kind="stable")
-            ids, data, norms = ids[order], data[order], norms[order]
+            order = np.argsort(-(data * data).sum(1), kind="stable")  # blocks of like length, so some fall as a whole
+            ids, data = ids[order], data[order]
             out = []
             for i in range(0, len(ids), rows):
-                out.append(((part + sent) % max(slots, 1), dim, part << 32 | sent, -float(norms[i]), ids[i : i + rows].astype("<i8").tobytes(), data[i : i + rows].astype("<f8").tobytes()))
+                out.append(((part + sent) % max(slots, 1), dim, part << 32 | sent, ids[i : i + rows].astype("<i8").tobytes(), data[i : i + rows].astype("<f8").tobytes()))
                 sent += 1
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["slot", "dim", "number", "norm", "ids", "data"])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["slot", "dim", "number", "ids", "data"])
 
         for dim, ids, data in _vectors(batches):
             held.setdefault(dim, []).append((ids, data))
@@ -83,7 +82,7 @@ def _pack(rows: int, slots: int):
 
 
 def blocks(vectors: DataFrame, rows: int, slots: int) -> DataFrame:
-    """Blocks of at most `rows` vectors of one length, dealt over slots in turn; norm is that of the longest, negated."""
+    """Blocks of at most `rows` vectors of one length, dealt over slots in turn."""
     return map_arrow(vectors.select("vec_id", "embedding"), lambda: _pack(rows, slots), BLOCK)
 
 
@@ -194,11 +193,11 @@ def _start(seeds: dict[int, tuple[bytes, bytes]], k: int):
     def over(batches):
         for b in batches:
             floors = []
-            for dim, ids, data in zip(*(b.column(i).to_pylist() for i in (1, 4, 5))):
+            for dim, ids, data in zip(*(b.column(i).to_pylist() for i in (1, 3, 4))):
                 qids, q = _matrix(dim, ids, data)
                 floor = first_floor(qids, q, *_matrix(dim, *seeds[dim]), k) if dim in seeds else np.full(len(q), -np.inf)
                 floors.append(floor.astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(4), b.column(5), pa.array(floors, pa.binary())], ["dim", "q_number", "q_ids", "q_data", "q_floor"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), b.column(4), pa.array(floors, pa.binary())], ["dim", "q_number", "q_ids", "q_data", "q_floor"])
 
     return over
 
@@ -226,6 +225,18 @@ def _meet(basis: dict[int, np.ndarray], k: int):
     return over
 
 
+def slot_keys(spark: SparkSession, slots: int) -> DataFrame:
+    """slot, place: for each of `slots` partitions a number that hash partitioning deals to it, so that slots are dealt evenly. A row for each."""
+    n = 16 * slots + 64
+    while True:
+        tried = spark.range(n).select(F.col("id").cast("int").alias("place"))
+        keys = tried.groupBy(F.pmod(F.hash("place"), F.lit(slots)).alias("slot")).agg(F.min("place").alias("place"))
+        rows = keys.collect()
+        if len(rows) == slots:
+            return spark.createDataFrame([(r.slot, r.place) for r in rows], "slot int, place int")
+        n *= 2
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score for each of `queries` against all of `vectors`."""
     slots = shuffle_partitions(vectors.sparkSession)
@@ -238,10 +249,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         seeds[r.dim] = (bytes(s.ids), bytes(s.data))
     asked = materialise(map_arrow(blocks(queries.coalesce(max(1, slots // 4)), QUERY_ROWS, 0), lambda: _start(seeds, k), "dim int, q_number long, q_ids binary, q_data binary, q_floor binary"), "queries")
     asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    # Each side is in order before the merge join, which keeps it: a query block meets its slot's blocks longest first.
-    asked = asked.repartition(slots, "slot", "dim").sortWithinPartitions("slot", "dim", "q_number")
-    candidates = candidates.repartition(slots, "slot", "dim").sortWithinPartitions("slot", "dim", "norm")
-    pairs = asked.join(candidates.hint("merge"), ["slot", "dim"]).select("dim", "q_number", "q_ids", "q_data", "q_floor", "ids", "data")
+    # The join is on the slot's key alone, so that each slot is a partition; lengths are compared without being a key. A merge
+    # join takes one row of its left side after another, so a query block meets all blocks of its slot in a row.
+    keys = slot_keys(vectors.sparkSession, slots)
+    asked = asked.join(F.broadcast(keys), "slot").drop("slot").repartition(slots, "place")
+    candidates = candidates.join(F.broadcast(keys), "slot").select("place", F.col("dim").alias("c_dim"), "ids", "data").repartition(slots, "place")
+    pairs = asked.join(candidates.hint("merge"), "place").where(F.col("dim") - F.col("c_dim") == 0).select("dim", "q_number", "q_ids", "q_data", "q_floor", "ids", "data")
     found = map_arrow(pairs, lambda: _meet(basis, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
