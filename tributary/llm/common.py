@@ -53,8 +53,12 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def bins_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Bins to deal df's content over: as many as there are shuffle partitions, or more where the input asks for it."""
-    return min(max(shuffle_partitions(df.sparkSession), -(-input_bytes(df) // bytes_each)), 1 << 20)
+    """Bins to deal df's content over: as many as there are shuffle partitions, or more where the input asks for it.
+
+    At most 32 a partition, as the optimizer's guess of what joins give may be far too large.
+    """
+    parts = shuffle_partitions(df.sparkSession)
+    return min(max(parts, -(-input_bytes(df) // bytes_each)), 32 * parts)
 
 
 def hot_threshold(total_rows: int) -> int:
